@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaver.llm import best_copy, lookalike, packing, same_entry, tokens, top_items
+from quaver.llm import best_copy, lookalike, packing, same_entry, spellings, tokens, top_items
 from quaver.llm.oracles import ORACLES
 from quaver.session import table
 
@@ -37,6 +37,10 @@ def p5_looks(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.equal_looks(table(spark, folder, "charts"), "chart_hash", ["artist", "title"])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.spelling_pairs(table(spark, folder, "charts"), table(spark, folder, "nicknames"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -48,7 +52,7 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every training-data query by its name."""
-    own = [p1_found, p1_entries, p3_found, p4_found, p5_found, p5_looks, p7_ids, p8_packed]
+    own = [p1_found, p1_entries, p3_found, p4_found, p5_found, p5_looks, p6_found, p7_ids, p8_packed]
     return {q.__name__: q for q in own}
 
 
