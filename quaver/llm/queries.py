@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaver.llm import best_copy, lookalike, packing, same_entry, spellings, tokens, top_items
+from quaver.llm import best_copy, linkage, lookalike, packing, same_entry, spellings, tokens, top_items
 from quaver.llm.oracles import ORACLES
 from quaver.session import table
 
@@ -21,6 +21,15 @@ def p1_entries(spark: SparkSession, folder: str) -> DataFrame:
     return same_entry.canonical_entries(table(spark, folder, "charts"), "chart_hash", "artist", "title")
 
 
+def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
+    ini, records, groups, nicknames = (table(spark, folder, t) for t in ("ini_fields", "records", "dupgroups", "nicknames"))
+    return linkage.matched(ini, records, groups, nicknames)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_matches(spark, folder).select("folder", "record_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return best_copy.best_fields(table(spark, folder, "dupgroups"), table(spark, folder, "ini_fields"))
 
@@ -52,7 +61,7 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every training-data query by its name."""
-    own = [p1_found, p1_entries, p3_found, p4_found, p5_found, p5_looks, p6_found, p7_ids, p8_packed]
+    own = [p1_found, p1_entries, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_looks, p6_found, p7_ids, p8_packed]
     return {q.__name__: q for q in own}
 
 

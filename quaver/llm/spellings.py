@@ -11,13 +11,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quaver.llm.acts import read_act
+from quaver.llm.acts import Act, read_act
 from quaver.llm.lookalike import skeleton
 from quaver.llm.metric import components, radius_pairs
 from quaver.session import durable
 
-PARTS = "struct<flat:string,kind:string,given:string,surname:string,core:string,swapped:string,words:int>"
+PARTS = T.StructType([T.StructField(c, T.IntegerType() if c == "words" else T.StringType()) for c in Act._fields])
 
 #: Letters that a name must have before a slip of one letter is taken for the same name.
 SHORTEST = 8
@@ -26,10 +27,10 @@ SHORTEST = 8
 @F.pandas_udf(PARTS)
 def parts_of(column: pd.Series) -> pd.DataFrame:
     """Arrow form of :func:`quaver.llm.acts.read_act`; null reads as a text without letters."""
-    return pd.DataFrame([read_act(t or "") for t in column], columns=["flat", "kind", "given", "surname", "core", "swapped", "words"])
+    return pd.DataFrame([read_act(t or "") for t in column], columns=list(Act._fields))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(column: pd.Series) -> pd.Series:
     """Skeleton in lower case, for words that are only counted."""
     return pd.Series([None if t is None else skeleton(t).casefold() for t in column], dtype=object)
