@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaver.llm import best_copy, linkage, lookalike, packing, same_entry, spellings, tokens, top_items
+from quaver.llm import best_copy, linkage, lookalike, packing, personal, same_entry, spellings, tokens, top_items
 from quaver.llm.oracles import ORACLES
 from quaver.session import table
 
@@ -59,9 +59,17 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(sizes, table(spark, folder, "containers"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_values(table(spark, folder, "documents"))
+
+
+def p9_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.masked(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Every training-data query by its name."""
-    own = [p1_found, p1_entries, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_looks, p6_found, p7_ids, p8_packed]
+    own = [p1_found, p1_entries, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_looks, p6_found, p7_ids, p8_packed, p9_found, p9_masked]
     return {q.__name__: q for q in own}
 
 
