@@ -81,13 +81,13 @@ def _keyed(patterns: list[str], before: bool) -> list[tuple[str, regex.Pattern]]
     out = []
     for p in patterns:
         key = max(regex.findall(r"[^\W\d_]+", regex.sub(r"\\.|\([^)]*\)|\[[^\]]*\]\S?|\{[^}]*\}", " ", p)) or [""], key=len).lower()
-        out.append((key, regex.compile(("" if before else r"\s?") + p.replace(" ", r"\s+") + (r"(?!\p{L})\s*" if before else ""), regex.IGNORECASE)))
+        out.append((key, regex.compile(("" if before else r"\s?") + p.replace(" ", r"\s+") + ((r"(?!\p{L})" if p[-1:].isalpha() else "") + r"\s*" if before else ""), regex.IGNORECASE)))
     return out
 
 
 LINKS, TAILS = _keyed(BEFORE_NAME, True), _keyed(BEHIND_NAME, False)
 # Words that may stand before a name with a capital letter, without accents
-STOPS = frozenset("according ask bonjour by contact cordialement credits d dear de el hallo hello hi hola ich invoice laut le mods my name on organiser organizer owner quedamos regards registered reply saludo selon segun signed thanks und von we with witnesses grusse beste viele best kind great update note edit nachtrag ps pd".split())
+STOPS = frozenset("according ask bonjour by contact cordialement credits dear de el hallo hello hi hola ich invoice laut le mods my name on organiser organizer owner quedamos regards registered reply saludo selon segun signed thanks und von we with witnesses grusse beste viele best kind great update note edit nachtrag ps pd".split())
 NAME_AT = regex.compile(f"(?:{CAPS})(?![\\p{{L}}])")
 ANY_AT = regex.compile(f"(?:{ANY})(?![\\p{{L}}])")
 NAME_END = regex.compile(f"(?<![\\p{{L}}.'’-])(?:{CAPS})$")
@@ -107,7 +107,7 @@ PHONES = [
     rf"(?:\+1{B}?|1{B})?(?:\(\d{{3}}\){B}?\d{{3}}{B}?\d{{4}}|\d{{3}}({B})\d{{3}}\1\d{{4}}){EXT}",
     rf"(?:(?:\+|00)44{B}?(?:\(0\){B}?)?|0)(?:20{B}?7946{B}?0\d{{3}}|7700{B}?900{B}?\d{{3}}|1\d{{2}}{B}?496{B}?0\d{{3}}|20{B}\d{{4}}{B}\d{{4}}|7\d{{3}}{B}\d{{3}}{B}?\d{{3}}|1\d{{2,3}}{B}\d{{3}}{B}?\d{{3,4}}){EXT}",
     rf"(?:(?:\+|00)33{B}?(?:\(0\){B}?)?|0)[1-9](?:{B}?\d\d){{4}}{EXT}",
-    rf"(?:(?:\+|00)49{B}?(?:\(0\){B}?)?|0)(?:1[567]\d|30|40|69|89|221){B}?\d{{3,5}}{B}?\d{{2,5}}{EXT}",
+    rf"(?:(?:\+|00)49{B}?(?:\(0\){B}?)?|\(?0)(?:1[567]\d|30|40|69|89|221)\)?(?:{B}|/)?\d{{3,5}}{B}?\d{{2,5}}{EXT}",
     rf"(?:\(?(?:\+|00)34\)?{B}?)?555{B}?(?:01{B}?\d\d{B}?\d\d|01\d\d{B}?\d\d\d){EXT}",
     rf"(?:\+\d{{1,3}}|\(\+\d{{1,3}}\)){B}?(?:\(0\){B}?)?\d{{1,4}}(?:{B}\d{{2,5}}){{1,4}}{EXT}",
     r"\+\d{9,14}",
