@@ -6,17 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from quaver.plans import book, crowd, library, live
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     """Every query by its name."""
-    return dict(QUERIES)
+    return {**crowd.QUERIES, **book.QUERIES, **library.QUERIES, **live.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL by the name of its query."""
-    return dict(ORACLES)
+    """SQL by the name of its query; queries that SQL can't express have none."""
+    return {**crowd.ORACLES, **book.ORACLES, **library.ORACLES, **live.ORACLES}
