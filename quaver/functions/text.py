@@ -59,9 +59,9 @@ def strip_title_noise(text: Column) -> Column:
 
     A pedal note inside the title goes last, even if nothing is left.
     """
-    for pattern in (rf"(?i)\s*-\s*(?:{DASH_WORDS})\b.*$", rf"(?i)\s*[(\[]\s*(?:{NOTE_WORDS})\b[^)\]]*[)\]]\s*$", rf"(?i)\s*[(\[]\s*{PEDAL}[^)\]]*[)\]]\s*$"):
-        cut = strip(F.regexp_replace(text, pattern, ""))
-        text = F.when(cut != "", cut).otherwise(text)
+    for note in (rf"\s*-\s*(?:{DASH_WORDS})\b.*", rf"\s*[(\[]\s*(?:{NOTE_WORDS})\b[^)\]]*[)\]]\s*", rf"\s*[(\[]\s*{PEDAL}[^)\]]*[)\]]\s*"):
+        # one pattern that leaves alone what would be nothing but the note keeps the expression small
+        text = strip(F.regexp_replace(text, rf"(?i)^(?!{note}$)(\s*\S.*?){note}$", "$1"))
     return strip(F.regexp_replace(text, rf"(?i)\b{PEDAL}\b", ""))
 
 

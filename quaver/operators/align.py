@@ -50,8 +50,8 @@ def landmarks(peaks: DataFrame, key: str, span: int = SPAN, fan: int = FAN) -> D
     The range frame of a window gathers what a band self-join would, without pairing peaks that are far apart.
     """
     ahead = Window.partitionBy(key).orderBy("t").rangeBetween(1, span)
-    later = F.slice(F.array_sort(F.collect_list(F.struct("t", "f")).over(ahead)), 1, fan)
-    pairs = peaks.select(key, "t", "f", F.explode(later).alias("_n"))
+    rows = peaks.withColumn("_later", F.collect_list(F.struct("t", "f")).over(ahead))
+    pairs = rows.select(key, "t", "f", F.explode(F.slice(F.array_sort("_later"), 1, fan)).alias("_n"))
     return pairs.select(key, landmark(F.col("f"), F.col("_n.f"), F.col("_n.t") - F.col("t")).alias("hash"), "t")
 
 

@@ -73,7 +73,7 @@ def used_titles(used: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def rejected_with(rejected: Column, video: Column) -> Column:
     """A comma list of rejected ids with one more, sorted, each once."""
-    ids = F.filter(F.transform(F.split(F.coalesce(rejected, F.lit("")), ","), F.trim), lambda v: v != "")
+    ids = F.filter(F.transform(F.split(F.coalesce(rejected, F.lit("")), ","), lambda v: F.trim(v)), lambda v: v != "")
     return F.array_join(F.array_sort(F.array_union(ids, F.array(video))), ",")
 
 

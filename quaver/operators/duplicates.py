@@ -75,11 +75,11 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
     round folders whose smaller neighbours are all decided are decided. The rounds are joins on the matched pairs;
     no group is collected. Single folders are in no group.
     """
-    edges = pairs.select("i", "j").distinct()
+    edges = durable(pairs.select("i", "j").distinct())
     nodes = edges.select(F.col("i").alias("n")).unionByName(edges.select(F.col("j").alias("n"))).distinct()
     state = nodes.join(edges.select(F.col("j").alias("n")).distinct(), "n", "left_anti").select("n", F.lit(True).alias("lead"))
     total = nodes.count()
-    edges, state = durable(edges), durable(state)
+    state = durable(state)
     while state.count() < total:
         open_ = nodes.join(state.select("n"), "n", "left_anti")
         seen = edges.join(open_.select(F.col("n").alias("j")), "j", "left_semi").join(state.withColumnRenamed("n", "i"), "i", "left")

@@ -114,7 +114,7 @@ def stops(s: SparkSession, d: str) -> DataFrame:
 STOPS = "o AS (SELECT client_id, seq, CASE WHEN c < 0.3 THEN 'throttled' WHEN c > 0.9 THEN 'skipped' ELSE 'hit' END AS outcome FROM (SELECT client_id, seq, max(coalesce(confidence, 0)) AS c FROM votes WHERE seq IS NOT NULL GROUP BY ALL))"
 ISLANDS = f"""{STOPS}, f AS (SELECT *, outcome = 'throttled' AS stop, lag(outcome = 'throttled') OVER w AS was, lead(seq) OVER w AS nxt FROM o WINDOW w AS (PARTITION BY client_id ORDER BY seq)),
     n AS (SELECT *, sum(CASE WHEN stop AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY client_id ORDER BY seq) AS id FROM f),
-    e AS (SELECT client_id, min(seq) AS started_at, max_by(nxt, seq) AS resolved_at, count(*) AS stops FROM n WHERE stop GROUP BY client_id, id)"""
+    e AS (SELECT client_id, min(seq) AS started_at, arg_max_null(nxt, seq) AS resolved_at, count(*) AS stops FROM n WHERE stop GROUP BY client_id, id)"""
 
 
 def stems(s: SparkSession, d: str) -> DataFrame:
@@ -138,8 +138,8 @@ FILES = """files AS (SELECT folder AS parent, unnest(list_filter(['song.ogg', CA
 TEXTS = "c AS (SELECT doc_id, text FROM documents WHERE source = 'chart_file' AND text IS NOT NULL)"
 SECTIONS = rf"""{TEXTS}, z AS (SELECT doc_id, unnest(regexp_extract_all(text, '{charts.SECTION}', 1)) AS section, unnest(regexp_extract_all(text, '{charts.SECTION}', 2)) AS body, unnest(range(len(regexp_extract_all(text, '{charts.SECTION}', 1)))) AS pos FROM c)"""
 NOTES = rf"""{SECTIONS}, n AS (SELECT doc_id, pos, section, TRY_CAST(unnest(regexp_extract_all(body, '{charts.NOTE}', 1)) AS BIGINT) AS tick, TRY_CAST(unnest(regexp_extract_all(body, '{charts.NOTE}', 2)) AS INTEGER) AS type, TRY_CAST(unnest(regexp_extract_all(body, '{charts.NOTE}', 3)) AS BIGINT) AS length FROM z)"""
-TEMPO = rf"""traw AS (SELECT doc_id, TRY_CAST(unnest(regexp_extract_all(text, '{charts.TEMPO}', 1)) AS BIGINT) AS tick, TRY_CAST(unnest(regexp_extract_all(text, '{charts.TEMPO}', 2)) AS BIGINT) / 1000.0 AS bpm, unnest(range(len(regexp_extract_all(text, '{charts.TEMPO}', 1)))) AS at FROM c),
-    tsaid AS (SELECT doc_id, tick, max_by(bpm, at) AS bpm FROM traw WHERE tick IS NOT NULL GROUP BY ALL),
+TEMPO = rf"""traw AS (SELECT doc_id, TRY_CAST(unnest(regexp_extract_all(text, '{charts.TEMPO}', 1)) AS BIGINT) AS tick, TRY_CAST(unnest(regexp_extract_all(text, '{charts.TEMPO}', 2)) AS BIGINT) / 1000.0 AS bpm, unnest(range(len(regexp_extract_all(text, '{charts.TEMPO}', 1)))) AS line FROM c),
+    tsaid AS (SELECT doc_id, tick, max_by(bpm, line) AS bpm FROM traw WHERE tick IS NOT NULL GROUP BY ALL),
     tempo AS (SELECT doc_id, tick, CAST(nullif(bpm, 0) AS DOUBLE) AS bpm FROM (SELECT * FROM tsaid UNION ALL SELECT doc_id, 0, 120.0 FROM c WHERE doc_id NOT IN (SELECT doc_id FROM tsaid WHERE tick = 0)))"""
 # an independent route to seconds: every tempo segment's part before the tick, summed
 SECONDS = """seg AS (SELECT *, lead(tick) OVER (PARTITION BY doc_id ORDER BY tick) AS nxt FROM tempo),
