@@ -1,4 +1,44 @@
 """Queries of the streaming operators, run to the end of what is there, and SQL with the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaver.operators.consensus import activity_windows
+from quaver.plans.crowd import AS_OF
+from quaver.plans.crowd import ORACLES as CROWD
+from quaver.streaming import votes as op
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    told = op.finish(op.consensus(op.stream(spark, folder, "votes")), "update")
+    return told.groupBy("chart_hash").agg(F.max_by("video_id", "last_seq").alias("video_id"), F.max("last_seq").alias("last_seq"))
+
+
+def epoch(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.unix_seconds(column))
+
+
+QUERIES = {
+    "stream_consensus": stream_consensus,
+    "stream_pings": lambda s, d: activity_windows(op.finish(op.latest_pings(op.stream(s, d, "pings")), "complete"), AS_OF),
+    "stream_write_days": lambda s, d: epoch(op.finish(op.daily_writes(op.stream(s, d, "votes")), "complete"), "day"),
+    "stream_event_windows": lambda s, d: epoch(op.finish(op.event_windows(op.stream(s, d, "events")), "complete"), "start"),
+    "stream_sessions": lambda s, d: epoch(op.finish(op.user_sessions(op.stream(s, d, "events")), "complete"), "start"),
+    "stream_enrich": lambda s, d: op.finish(op.first_contents(op.stream(s, d, "documents"))),
+}
+
+ORACLES = {
+    "stream_consensus": CROWD["consensus_replay_winner"],
+    "stream_pings": CROWD["client_activity_windows"],
+    "stream_write_days": "SELECT ip, CAST(floor(ts / 86400.0) AS BIGINT) * 86400 AS day, count(*) AS writes FROM votes WHERE ts IS NOT NULL AND trim(ip) <> '' GROUP BY ALL",
+    "stream_event_windows": """WITH e AS (SELECT event_type, value, CAST(floor(epoch(ts) / 1800) AS BIGINT) * 1800 AS slot FROM events), w AS (SELECT event_type, value, slot AS start FROM e UNION ALL SELECT event_type, value, slot - 1800 FROM e)
+        SELECT event_type, start, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY ALL""",
+    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS id FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, id""",
+    "stream_enrich": "SELECT DISTINCT sha256(text) AS digest FROM documents WHERE text IS NOT NULL",
+}
