@@ -54,7 +54,7 @@ def resume_at(now: Column, schedule: Column, step: Column) -> Column:
 def retry_after(text: Column, now: Column) -> Column:
     """Seconds of a Retry-After header: a number, or an HTTP date; never below zero; null if it is neither."""
     seconds = F.coalesce(F.trim(text).try_cast("double"), (F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(text, r"^\w+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))) - now).cast("double"))
-    return F.greatest(F.lit(0.0), seconds)
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
 
 
 def duration_seconds(text: Column) -> Column:
