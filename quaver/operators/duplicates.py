@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,11 +45,59 @@ def _may_reach(a: str, b: str, least: float) -> Column:
     return (la + lb == 0) | (200.0 * F.least(la, lb) >= least * (la + lb))
 
 
+def _slips(n: int, least: float) -> int:
+    """Most characters by which a text of length ``n`` and any other of that similarity differ."""
+    loss = 1 - least / 100
+    longest = int(n * (1 + loss) / (1 - loss) + 1e-9)
+    return int(loss * (n + longest) + 1e-9)
+
+
+def _cuts(n: int, least: float) -> list[tuple[int, int]]:
+    """Start and length of one more piece of a text of length ``n`` than it may have slips: one piece is left whole."""
+    k = min(_slips(n, least) + 1, max(n, 1))
+    ends = [n * i // k for i in range(k + 1)]
+    return [(s, e - s) for s, e in pairwise(ends)]
+
+
+def _own_keys(text: str, least: float) -> list[str]:
+    return [f"{len(text)}|{i}|{text[s : s + m]}" for i, (s, m) in enumerate(_cuts(len(text), least))]
+
+
+def _other_keys(text: str, least: float) -> list[str]:
+    loss, out = 1 - least / 100, set()
+    for n in range(int(len(text) * (1 - loss) / (1 + loss)), int(len(text) * (1 + loss) / (1 - loss)) + 2):
+        for i, (s, m) in enumerate(_cuts(n, least)):
+            # slips before a piece move it, and there are at most as many as it has pieces before it if it is the first whole one
+            for at in range(max(0, s - i), min(len(text) - m, s + i) + 1):
+                out.add(f"{n}|{i}|{text[at : at + m]}")
+    return sorted(out)
+
+
+def similar_texts(df: DataFrame, text: str, least: float) -> DataFrame:
+    """``a``, ``b``, ``ratio`` of all ordered pairs of different texts of that similarity, and of each text with itself.
+
+    Complete: a text is cut into more pieces than similar texts can differ by characters, so one piece stands in
+    the other text near its place, where both meet by an equi-join. Texts are compared once, however many rows
+    hold them.
+    """
+
+    def keys(of: Callable[[str, float], list[str]]) -> Callable:
+        return F.pandas_udf(lambda column: pd.Series([of(t, least) for t in column], dtype=object), T.ArrayType(T.StringType()))
+
+    texts = df.select(F.col(text).alias("t")).filter("t is not null").distinct()
+    own = texts.select(F.col("t").alias("a"), F.explode(keys(_own_keys)("t")).alias("_k"))
+    other = texts.select(F.col("t").alias("b"), F.explode(keys(_other_keys)("t")).alias("_k"))
+    met = own.join(other, "_k").filter((F.col("a") != F.col("b")) & _may_reach("a", "b", least)).select("a", "b").distinct()
+    rated = met.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
+    return rated.unionByName(texts.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(100.0).alias("ratio")))
+
+
 def blocked_pairs(keys: DataFrame, exact_bound: bool = False) -> DataFrame:
-    """Pairs ``i`` < ``j`` that are worth comparing: equal tags, title buckets at most one apart, lengths that can reach.
+    """Pairs ``i`` < ``j`` that are worth comparing by title: equal tags, similar artists, title buckets at most one apart.
 
-    With ``exact_bound`` every bucket that the length bound allows is compared, not only the neighbours, so that no
-    pair is lost. Equal artists and titles meet through the same equi-join on tag and bucket.
+    Artists are compared as distinct texts first, which leaves to the pairs of rows only their titles. With
+    ``exact_bound`` every bucket that the length bound allows is compared, not only the neighbours, so that no
+    pair is lost.
     """
     near = (
         F.sequence(F.floor(F.length("title") * 0.739 / WIDTH).cast("int"), F.floor(F.length("title") * 1.353 / WIDTH).cast("int"))
@@ -55,16 +105,16 @@ def blocked_pairs(keys: DataFrame, exact_bound: bool = False) -> DataFrame:
         else F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)
     )
     keys = keys.withColumn("_tag", F.coalesce("tag", F.lit("")))
-    left = keys.select(F.col("ord").alias("i"), "_tag", F.col("artist").alias("a1"), F.col("title").alias("t1"), F.explode(near).alias("_b"))
-    right = keys.select(F.col("ord").alias("j"), "_tag", F.col("artist").alias("a2"), F.col("title").alias("t2"), F.col("bucket").alias("_b"))
-    met = left.join(right, ["_tag", "_b"]).filter("i < j")
-    return met.filter(_may_reach("a1", "a2", ARTIST_LEAST) & _may_reach("t1", "t2", TITLE_LEAST)).drop("_b")
+    acts = durable(similar_texts(keys, "artist", ARTIST_LEAST)).withColumnRenamed("ratio", "artist_ratio")
+    left = keys.select(F.col("ord").alias("i"), "_tag", F.col("artist").alias("a"), F.col("title").alias("t1"), F.explode(near).alias("_b")).join(acts, "a")
+    right = keys.select(F.col("ord").alias("j"), "_tag", F.col("artist").alias("b"), F.col("title").alias("t2"), F.col("bucket").alias("_b"))
+    met = left.join(right, ["b", "_tag", "_b"]).filter("i < j")
+    return met.filter(_may_reach("t1", "t2", TITLE_LEAST)).select("i", "j", "_tag", "t1", "t2", "artist_ratio")
 
 
 def similar_pairs(keys: DataFrame, exact_bound: bool = False) -> DataFrame:
-    """Blocked pairs whose artists and titles are similar enough: ``i``, ``j``, tag, and both ratios."""
-    pairs = blocked_pairs(keys, exact_bound).withColumn("artist_ratio", ratio("a1", "a2")).filter(F.col("artist_ratio") >= ARTIST_LEAST)
-    pairs = pairs.withColumn("title_ratio", ratio("t1", "t2")).filter(F.col("title_ratio") >= TITLE_LEAST)
+    """Blocked pairs whose titles are similar enough too: ``i``, ``j``, tag, and both ratios."""
+    pairs = blocked_pairs(keys, exact_bound).withColumn("title_ratio", ratio("t1", "t2")).filter(F.col("title_ratio") >= TITLE_LEAST)
     return pairs.select("i", "j", F.col("_tag").alias("tag"), "artist_ratio", "title_ratio")
 
 
