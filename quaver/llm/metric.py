@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quaver.llm.acts import one_slip
 from quaver.session import durable
 
 
@@ -69,18 +71,49 @@ def within_one(a: Column, b: Column) -> Column:
     return (close >= 0) & (close <= 1) | (close == 2) & (F.length(a) == F.length(b)) & swapped
 
 
-def radius_pairs(names: DataFrame, text: str, within: list[str], pivots: int = 16) -> DataFrame:
+@F.pandas_udf(T.BooleanType())
+def one_slip_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Arrow form of :func:`quaver.llm.acts.one_slip`, linear in the length."""
+    return pd.Series([one_slip(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def _thirds(text: Column, n: Column) -> list[Column]:
+    """Three pieces of a text as if it had length ``n``: from its start, from its middle (moved by up to one), from its end."""
+    k = F.floor(n / 3).cast("int")
+    rest = (n - 2 * k).cast("int")
+    cut = lambda side, at, size: F.xxhash64(n, F.lit(side), F.substr(text, at, size))
+    return [cut(0, F.lit(1), k), *[cut(1, k + 1 + move, k) for move in (-1, 0, 1)], cut(2, F.greatest(F.length(text) - rest + 1, F.lit(1)), rest)]
+
+
+def long_pairs(rows: DataFrame, within: list[str], longest: int) -> DataFrame:
+    """Pairs ``_a`` < ``_b`` at distance 1 of texts ``_t`` of which one is longer than ``longest``.
+
+    One slip touches two neighbouring thirds of a text at most, so that one third stands in the other text where
+    it was, moved by at most one: a few keys a text, however long it is.
+    """
+    n = F.length("_t")
+    own = rows.filter(n > longest).select(*within, F.col("_t").alias("_x"), F.explode(F.array(*_thirds(F.col("_t"), n))).alias("_form"))
+    other = F.array_distinct(F.concat(*[F.array(*_thirds(F.col("_t"), n + more)) for more in (-1, 0, 1)]))
+    near = rows.filter(n >= longest).select(*within, F.col("_t").alias("_y"), F.explode(other).alias("_form"))
+    met = own.join(near, [*within, "_form"]).filter("_x <> _y and abs(length(_x) - length(_y)) <= 1")
+    pairs = met.select(*within, F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
+    return pairs.filter(one_slip_of("_a", "_b"))
+
+
+def radius_pairs(names: DataFrame, text: str, within: list[str], pivots: int = 16, longest: int = 96) -> DataFrame:
     """Pairs of different rows with equal ``within`` columns and texts at a distance of 1: ``text_a`` < ``text_b``.
 
     ``names`` has one row for each text and ``within``. The pivots are names of least hash, a sample of the
     bounded, documented size ``pivots`` that only shapes the cells; every name is joined. Inside a cell texts
     meet over their forms with at most one character taken out, which no pair at distance 1 can miss, and the
-    metric then decides. Nothing is collected but the pivots.
+    metric then decides. Texts longer than ``longest`` meet over their thirds instead, which is exact too and
+    doesn't grow with the square of the length. Nothing is collected but the pivots.
     """
-    rows = names.select(*within, F.col(text).alias("_t"))
+    every = names.select(*within, F.col(text).alias("_t"))
+    rows = every.filter(F.length("_t") <= longest)
     chosen = [r[0] for r in rows.select("_t").distinct().orderBy(F.xxhash64("_t"), "_t").limit(pivots).collect()]
     if not chosen:
-        return rows.select(*within, F.col("_t").alias(f"{text}_a"), F.col("_t").alias(f"{text}_b"))
+        return long_pairs(every, within, longest).select(*within, F.col("_a").alias(f"{text}_a"), F.col("_b").alias(f"{text}_b"))
     placed = rows.withColumn("_cell", cells(F.col("_t"), chosen)).select("*", "_cell.home", "_cell.cells").drop("_cell")
     placed = durable(placed)
     shorter = F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.concat(F.substr(F.col("_t"), F.lit(1), i - 1), F.substr(F.col("_t"), i + 1)))
@@ -89,7 +122,8 @@ def radius_pairs(names: DataFrame, text: str, within: list[str], pivots: int = 1
     near = placed.select(*within, "_t", F.explode("cells").alias("_at")).select(*within, F.col("_t").alias("_y"), "_at", forms.alias("_form"))
     met = own.join(near, [*within, "_at", "_form"]).filter("_x <> _y")
     pairs = met.select(*within, F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
-    return pairs.filter(within_one(F.col("_a"), F.col("_b"))).select(*within, F.col("_a").alias(f"{text}_a"), F.col("_b").alias(f"{text}_b"))
+    both = pairs.filter(within_one(F.col("_a"), F.col("_b"))).unionByName(long_pairs(every, within, longest))
+    return both.select(*within, F.col("_a").alias(f"{text}_a"), F.col("_b").alias(f"{text}_b"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -15,7 +15,7 @@ ORACLES = {
             SELECT *, row_number() OVER (PARTITION BY group_id, field
                        ORDER BY CASE WHEN status = 'confirmed_ok' THEN 0 ELSE 1 END, modified_at DESC NULLS LAST, ord) AS k
             FROM bare WHERE value IS NOT NULL AND b <> '' AND b NOT IN ({NOTHING})
-              AND NOT regexp_full_match(b, '[0-9]{{1,3}}x+|x+') AND NOT regexp_full_match(trim(value), '[0-9]{{1,3}}\\?+'))
+              AND NOT regexp_full_match(b, '[0-9]{{1,3}}x+|x{{2,}}') AND NOT regexp_full_match(trim(value), '[0-9]{{1,3}}\\?+'))
         SELECT group_id, field, value FROM held WHERE k = 1""",
     "p4_found": """
         WITH now AS (
