@@ -108,7 +108,7 @@ PHONES = [
     rf"(?:(?:\+|00)44{B}?(?:\(0\){B}?)?|0)(?:20{B}?7946{B}?0\d{{3}}|7700{B}?900{B}?\d{{3}}|1\d{{2}}{B}?496{B}?0\d{{3}}|20{B}\d{{4}}{B}\d{{4}}|7\d{{3}}{B}\d{{3}}{B}?\d{{3}}|1\d{{2,3}}{B}\d{{3}}{B}?\d{{3,4}}){EXT}",
     rf"(?:(?:\+|00)33{B}?(?:\(0\){B}?)?|0)[1-9](?:{B}?\d\d){{4}}{EXT}",
     rf"(?:(?:\+|00)49{B}?(?:\(0\){B}?)?|\(?0)(?:1[567]\d|30|40|69|89|221)\)?(?:{B}|/)?\d{{3,5}}{B}?\d{{2,5}}{EXT}",
-    rf"(?:\(?(?:\+|00)34\)?{B}?)?555{B}?(?:01{B}?\d\d{B}?\d\d|01\d\d{B}?\d\d\d){EXT}",
+    rf"(?:(?:\((?:\+|00)34\)|(?:\+|00)34){B}?)?555{B}?(?:01{B}?\d\d{B}?\d\d|01\d\d{B}?\d\d\d){EXT}",
     rf"(?:\+\d{{1,3}}|\(\+\d{{1,3}}\)){B}?(?:\(0\){B}?)?\d{{1,4}}(?:{B}\d{{2,5}}){{1,4}}{EXT}",
     r"\+\d{9,14}",
 ]
