@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quaver.functions import numeric
 from quaver.functions import text as fx
-from quaver.operators import align, backoff, candidates, charts, duplicates, enrich, frames, naming, palette
+from quaver.operators import align, backoff, candidates, catalog, charts, duplicates, enrich, frames, naming, palette
 from quaver.plans.book import KIND, sql_strip
 from quaver.session import table
-from quaver.sources import ini
+from quaver.sources import files, ini
 
 
 def chart_texts(s: SparkSession, d: str) -> DataFrame:
@@ -195,7 +195,40 @@ def safe_sql(f: str) -> str:
     return f"CASE WHEN {sql_strip('a.' + f)} <> '' AND NOT regexp_matches(a.{f}, '[\\[\\];#\\r\\n]') THEN substr({sql_strip('a.' + f)}, 1, 200) END"
 
 
+def songs(s: SparkSession, d: str) -> DataFrame:
+    """The library as a catalogue: labels from the settings, a video by the folder's length, and what is known of it."""
+    n = F.length("folder")
+    rows = table(s, d, "ini_fields").filter("name is not null").withColumn("label", catalog.label(F.col("artist"), F.col("name"))).withColumn("has_video", n % 6 == 0)
+    res = F.when(n % 12 == 0, "...").when(n % 6 == 0, F.concat((n * 10).cast("string"), F.lit("p"))).otherwise("-")
+    return rows.select("folder", "label", "artist", F.col("name").alias("title"), "has_video", res.alias("res"))
+
+
+SONGS = f"""songs AS (SELECT folder, CASE WHEN coalesce({sql_strip('artist')} = '', true) THEN name ELSE artist || ' - ' || name END AS label, artist, name AS title, length(folder) % 6 = 0 AS has_video,
+    CASE WHEN length(folder) % 12 = 0 THEN '...' WHEN length(folder) % 6 = 0 THEN length(folder) * 10 || 'p' ELSE '-' END AS res FROM ini_fields WHERE name IS NOT NULL)"""
+
+
+def exported(s: SparkSession, d: str) -> DataFrame:
+    rows = songs(s, d).select("*", F.col("res").alias("resolution"), F.when(F.col("has_video"), -3000).alias("offset_ms"), F.when(F.col("has_video"), "guess").alias("offset_source"), F.when(F.col("has_video"), F.concat("title", F.lit(" lyrics"))).alias("video_title"), F.lit(None).cast("string").alias("video_id"), F.lit("b, a,b").alias("dumped"))
+    return files.csv_rows(rows)
+
+
+def durations(s: SparkSession, d: str) -> DataFrame:
+    """Measured and stated lengths of each settings text; the measured one is off by the document's number."""
+    rows = ini.first_values(ini_texts(s, d), "doc_id").filter("name = 'song_length'").withColumn("expected_ms", F.col("value").try_cast("long"))
+    return rows.select("doc_id", "expected_ms", (F.col("expected_ms") + F.col("doc_id") % 4000).alias("actual_ms"), F.lit("chart").alias("kind"))
+
+
 QUERIES = {
+    "library_view": lambda s, d: catalog.view(songs(s, d), "the", "has"),
+    "library_search": lambda s, d: catalog.search(songs(s, d), "lib0001"),
+    "resolution_order": lambda s, d: catalog.by_resolution(songs(s, d), True).select("folder", "res"),
+    "unprobed": lambda s, d: catalog.unprobed(songs(s, d)).select("folder"),
+    "resume_remaining": lambda s, d: catalog.remaining(songs(s, d), table(s, d, "dupgroups")).select("folder", "label"),
+    "library_csv": exported,
+    "duration_state": lambda s, d: naming.duration_state(durations(s, d)).select("doc_id", "ok"),
+    "migration_plan": lambda s, d: naming.migration_plan(table(s, d, "ini_fields").filter("name is not null").select(F.col("folder").alias("source"), "name"), table(s, d, "records").select("name")),
+    "acquisition_steps": lambda s, d: candidates.acquisition(table(s, d, "mappings").groupBy("chart_hash").agg((F.count_if(F.col("locked") == 1) > 0).alias("has_video"), (F.count("*") > 30).alias("marked"), F.min(F.when(F.col("status") == "approved", F.col("video_id"))).alias("pooled_id"), F.min("video_id").alias("ranked_id"), F.collect_set(F.when(F.col("status") == "rejected", F.col("video_id"))).alias("rejected"))).groupBy("step").agg(F.count("*").alias("n")),
+    "chart_verified": lambda s, d: catalog.verified(charts.song_fields(chart_texts(s, d)).join(table(s, d, "documents").select("doc_id", "chart_hash"), "doc_id").join(table(s, d, "charts").select("chart_hash", "artist", "title"), "chart_hash")).select("doc_id", "artist_ratio", "title_ratio", "ok"),
     "chart_song_fields": lambda s, d: charts.song_fields(chart_texts(s, d)).drop("text"),
     "chart_sections": lambda s, d: charts.sections(chart_texts(s, d), "doc_id").select("doc_id", "pos", "section", F.md5("body").alias("digest")),
     "chart_notes": lambda s, d: charts.notes(charts.sections(chart_texts(s, d), "doc_id"), "doc_id").groupBy("doc_id", "section").agg(F.count("*").alias("notes"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"), F.sum("length").alias("held")),
@@ -241,6 +274,16 @@ QUERIES = {
 }
 
 ORACLES = {
+    "library_view": f"WITH {SONGS} SELECT * FROM songs WHERE has_video AND contains(lower(label), 'the')",
+    "library_search": f"WITH {SONGS} SELECT * FROM songs WHERE contains(lower(concat_ws(' ', label, folder)), 'lib0001')",
+    "resolution_order": f"WITH {SONGS} SELECT folder, res FROM songs",
+    "unprobed": f"WITH {SONGS} SELECT folder FROM songs WHERE has_video AND res = '...'",
+    "resume_remaining": f"WITH {SONGS} SELECT folder, label FROM songs WHERE NOT has_video AND folder IN (SELECT folder FROM dupgroups)",
+    "library_csv": f"""WITH {SONGS} SELECT label AS "Song", coalesce(artist, '') AS "Artist", title AS "Title", CASE WHEN has_video THEN 'yes' ELSE 'no' END AS "Has video", res AS "Resolution", CASE WHEN has_video THEN '-3000' ELSE '' END AS "Offset (ms)",
+        CASE WHEN has_video THEN 'guess' ELSE '' END AS "Offset source", CASE WHEN has_video THEN 'lyric' ELSE '' END AS "Video kind", CASE WHEN has_video THEN title || ' lyrics' ELSE '' END AS "Video title", '' AS "Video ID", 'a b' AS "Dumped videos", folder AS "Folder" FROM songs""",
+    "migration_plan": "SELECT folder AS source, name, CASE WHEN name IN (SELECT name FROM records WHERE name IS NOT NULL) THEN 'conflict' ELSE 'would_move' END AS action FROM ini_fields WHERE name IS NOT NULL",
+    "acquisition_steps": """WITH g AS (SELECT chart_hash, count(*) FILTER (locked = 1) > 0 AS hv, count(*) > 30 AS mk, min(video_id) FILTER (status = 'approved') AS p, list(video_id) FILTER (status = 'rejected') AS rej FROM mappings GROUP BY 1)
+        SELECT CASE WHEN hv THEN 'skip_existing' WHEN mk THEN 'skip_marked' WHEN p IS NOT NULL AND NOT coalesce(list_contains(rej, p), false) THEN 'use_pooled' ELSE 'use_search' END AS step, count(*) AS n FROM g GROUP BY 1""",
     "chart_song_fields": rf"""WITH {TEXTS} SELECT doc_id, """ + ", ".join(rf"""nullif(regexp_extract(text, '(?m)^[ \t]*{f}[ \t]*=[ \t]*"?([^"\r\n]*?)"?[ \t\r]*$', 1), '') AS chart_{f.lower()}""" for f in ("Name", "Artist", "Charter")) + " FROM c",
     "chart_sections": f"WITH {SECTIONS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, section, md5(body) AS digest FROM z",
     "chart_notes": f"WITH {NOTES} SELECT doc_id, section, count(*) AS notes, min(tick) AS first_tick, max(tick) AS last_tick, CAST(sum(length) AS BIGINT) AS held FROM n GROUP BY ALL",
