@@ -48,3 +48,12 @@ def shuffle_width(spark: SparkSession) -> int:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy in each row: spread over all cores where its files are fewer than these.
+
+    A large table has more files than cores and is read as it is, without a shuffle.
+    """
+    df, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
