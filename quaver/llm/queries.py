@@ -8,21 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quaver.llm import best_copy, linkage, lookalike, packing, personal, same_entry, spellings, tokens, top_items
 from quaver.llm.oracles import ORACLES
-from quaver.session import table
+from quaver.session import table, wide_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return same_entry.same_entry_pairs(table(spark, folder, "charts"), "chart_hash", "artist", "title")
+    return same_entry.same_entry_pairs(wide_table(spark, folder, "charts"), "chart_hash", "artist", "title")
 
 
 def p1_entries(spark: SparkSession, folder: str) -> DataFrame:
-    return same_entry.canonical_entries(table(spark, folder, "charts"), "chart_hash", "artist", "title")
+    return same_entry.canonical_entries(wide_table(spark, folder, "charts"), "chart_hash", "artist", "title")
 
 
 def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
-    ini, records, groups, nicknames = (table(spark, folder, t) for t in ("ini_fields", "records", "dupgroups", "nicknames"))
+    ini, records = (wide_table(spark, folder, t) for t in ("ini_fields", "records"))
+    groups, nicknames = (table(spark, folder, t) for t in ("dupgroups", "nicknames"))
     return linkage.matched(ini, records, groups, nicknames)
 
 
@@ -47,24 +48,24 @@ def p5_looks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spellings.spelling_pairs(table(spark, folder, "charts"), table(spark, folder, "nicknames"))
+    return spellings.spelling_pairs(wide_table(spark, folder, "charts"), table(spark, folder, "nicknames"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.encoded(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return tokens.encoded(wide_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = tokens.token_counts(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+    sizes = tokens.token_counts(wide_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
     return packing.packed(sizes, table(spark, folder, "containers"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.personal_values(table(spark, folder, "documents"))
+    return personal.personal_values(wide_table(spark, folder, "documents"))
 
 
 def p9_masked(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.masked(table(spark, folder, "documents"))
+    return personal.masked(wide_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
