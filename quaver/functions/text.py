@@ -190,3 +190,19 @@ def selection(text: Column, most: Column) -> Column:
     some = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(part, numbers)), lambda n: (n >= 1) & (n <= most))))
     every = F.when(most >= 1, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
     return F.when(F.lower(F.trim(text)).isin("a", "all"), every).otherwise(some)
+
+
+# Texts of errors by what they mean
+THROTTLED = ("sign in to confirm", "you're not a bot", "not a bot", "http error 429", "too many requests")
+LOCKED = ("failed to decrypt with dpapi", "failed to load cookies")
+
+
+def error_kind(message: Column) -> Column:
+    """What an error message means: throttled, cookies or other; null for no message."""
+    low = F.lower(message)
+    return F.when(_any(low, THROTTLED), "throttled").when(_any(low, LOCKED), "cookies").when(low.isNotNull(), "other")
+
+
+def quoted(value: Column) -> Column:
+    """A value for a query string, blanks as %20."""
+    return F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))

@@ -61,3 +61,8 @@ def test_numbers(spark):
     cells = values(spark, [[1.0, 0.0, 0.0, 1.0]], numeric.average_hash, "array<double>")
     assert cells == [0b1001]
     assert values(spark, [7], lambda c: numeric.hamming(c.cast("long"), F.lit(4).cast("long")), "int") == [2]
+
+
+def test_messages(spark):
+    assert values(spark, ["HTTP Error 429: x", "Failed to load cookies", "x", None], text.error_kind) == ["throttled", "cookies", "other", None]
+    assert values(spark, ["a b&c"], text.quoted) == ["a%20b%26c"]

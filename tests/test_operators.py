@@ -290,3 +290,27 @@ def test_partition_independence(spark):
     df = table(spark, rows, VOTES)
     once, other = (found(consensus.tallies(df.repartition(n)), "chart_hash", "video_id", "sources", "start_ms") for n in (1, 7))
     assert once == other
+
+
+def test_similar_texts_complete(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 18))) for _ in range(40)]
+    texts = sorted({t for b in base for t in (b, b[:-1], b[:3] + "z" + b[3:], b[1:], b[:5] + b[6:])})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {(x["a"], x["b"]) for x in duplicates.similar_texts(df, "t", 90.0).collect()}
+    want = {(a, b) for a in texts for b in texts if a == b or SequenceMatcher(None, a, b).ratio() * 100 >= 90.0}
+    assert got == want
+
+
+def test_catalog(spark):
+    from quaver.operators import catalog
+
+    s = spark.createDataFrame([("f1", "The A", True, "720p"), ("f2", "b", True, "..."), ("f3", "the C", False, "-")], "folder string, label string, has_video boolean, res string")
+    assert [r["folder"] for r in catalog.view(s, "THE").collect()] == ["f1", "f3"]
+    assert [r["folder"] for r in catalog.by_resolution(s, True).collect()] == ["f1", "f2", "f3"]
+    assert found(catalog.unprobed(s), "folder") == [("f2",)] and found(catalog.search(s, "F3"), "folder") == [("f3",)]
+    line = s.select(catalog.summary_line(F.create_map(F.lit("done"), F.lit(2), F.lit("bad"), F.lit(0)))).first()[0]
+    assert line == "2 done"
