@@ -69,9 +69,14 @@ def offsets(votes: DataFrame) -> DataFrame:
     """
     binned = votes.withColumn("bin", F.expr(f"cast(bround(delta / {BIN}.0D) as long)"))
     bins = binned.groupBy("pair", "bin").agg(F.count("*").alias("n"), F.sum("delta").alias("s"))
-    best = bins.groupBy("pair").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("best"), F.max("n").alias("votes"), F.avg("n").alias("_mean"), F.sum("n").alias("all_votes"))
+    # bins of a pair are few, and a window over them reads the matches once where a self-join would read them twice
+    pair = Window.partitionBy("pair")
+    over = bins.select(
+        "pair", "bin", "n", "s", F.max_by("bin", F.struct("n", -F.col("bin"))).over(pair).alias("best"), F.max("n").over(pair).alias("votes"),
+        F.avg("n").over(pair).alias("_mean"), F.sum("n").over(pair).alias("all_votes"),
+    )
     near = F.abs(F.col("bin") - F.col("best")) <= 1
-    parts = bins.join(best, "pair").groupBy("pair", "best", "votes", "all_votes", "_mean").agg(
+    parts = over.groupBy("pair", "best", "votes", "all_votes", "_mean").agg(
         F.sum(F.when(near, F.col("n")).otherwise(0)).alias("near"), F.coalesce(F.max(F.when(~near, F.col("n"))), F.lit(0)).alias("rival"), F.sum(F.when(near, F.col("s"))).alias("_s")
     )
     return parts.select(
