@@ -89,7 +89,9 @@ def spelling_classes(names: DataFrame, name: str, nicknames: DataFrame, rows: st
     read = durable(read.withColumn("_keys", keys).withColumn("_initial", initial))
     shared = read.select(F.col("_core").alias("a"), F.explode("_keys").alias("b"))
     # slips: one letter, between names whose given names aren't two different ones of the reference list
-    full = read.filter(~F.col("_initial") & (F.length("core") >= SHORTEST)).groupBy("kind", "core").agg(F.min(F.when(F.col("_known"), F.col("given"))).alias("_given"))
+    formal_core = F.when(F.col("_full").isNotNull() & ~F.col("_known").eqNullSafe(True), F.concat("_full", "surname"))
+    cores = read.filter(~F.col("_initial")).select("kind", F.explode(F.array_compact(F.array("core", formal_core))).alias("core"), "given", "_known")
+    full = cores.filter(F.length("core") >= SHORTEST).groupBy("kind", "core").agg(F.min(F.when(F.col("_known"), F.col("given"))).alias("_given"))
     close = radius_pairs(full.select("kind", "core"), "core", ["kind"])
     side = lambda s: full.select("kind", F.col("core").alias(f"core_{s}"), F.col("_given").alias(f"_g{s}"))
     close = close.join(side("a"), ["kind", "core_a"]).join(side("b"), ["kind", "core_b"])

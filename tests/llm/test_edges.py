@@ -102,12 +102,12 @@ def test_best_fields(spark):
 
 
 def test_spellings(spark):
-    names = ["Jemar Tambotox", "Tambotox, Jemar", "J. Tambotox", "Jemar Tabmotox", "JEMAR  TAMBOTOX", "Jem Tambotox", 'Jemar "Jem" Tambotox', "Jemar K. Tambotox", "Nenonda and the Skairkennils", "The Skairkennils & Nenonda", "Loska Derezols, The", "Th Loska Derezols", "Cura Kilvossath Project", "Cura Kilvossath Prj", "Catas Tambotox"]
+    names = ["Jemar Tambotox", "Tambotox, Jemar", "J. Tambotox", "Jemar Tabmotox", "JEMAR  TAMBOTOX", "Jem Tambotox", 'Jemar "Jem" Tambotox', "Jemar K. Tambotox", "Jem Tambottox", "Nenonda and the Skairkennils", "The Skairkennils & Nenonda", "Loska Derezols, The", "Th Loska Derezols", "Cura Kilvossath Project", "Cura Kilvossath Prj", "Catas Tambotox"]
     rows = [(f"h{i}", n, f"Song number {i} of love") for i, n in enumerate(names)] + [("s", "Song number 3 of love", "Jemar Tambotox"), ("n", None, "x"), ("e", " ", "x"), ("l", LONG, None)]
     charts = clashing(spark.createDataFrame(rows, "chart_hash string, artist string, title string"))
     nick = spark.createDataFrame([("Jemar", "Jem"), ("Catas", "Cat")], "given string, nickname string")
     pairs = set(found(spellings.spelling_pairs(charts, nick)))
-    acts = [names[:8], names[8:10], names[10:12], names[12:14]]
+    acts = [names[:9], names[9:11], names[11:13], names[13:15]]
     assert pairs == {(a, b) for act in acts for a in act for b in act if a < b}
     assert spellings.spelling_pairs(charts.limit(0), nick).count() == 0
 
