@@ -8,6 +8,7 @@ with the estimated probabilities as targets, and decides all spans.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -95,7 +96,7 @@ ANY_END = regex.compile(f"(?<![\\p{{L}}.'’-])(?:{ANY})$")
 PAIR = regex.compile(rf"(?<![\p{{L}}.'’\"-])(?:{CAPS})(?!\p{{L}})")
 
 DOT = r"(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?|\sdot\s)"
-AT = regex.compile(r"\s?[@＠]\s?(?=[\w-])|\s?[(\[]\s?at\s?[)\]]\s?|\sat\s(?=[\w-]+\sdot\s)")
+AT = re.compile(r"[@＠]|[(\[]\s?at\s?[)\]]|\sat\s(?=[\w-]{1,60}\sdot\s)")
 LOCAL = regex.compile(r"(?<![\w.+@-])\w(?:[\w.+-]*\w)?$")
 LOCAL_DOT = regex.compile(r"(?<![\w.+@-])\w[\w+-]*(?:\sdot\s|[(\[]dot[)\]])\w[\w.+-]*$")
 HOST = regex.compile(rf"[\w-]+(?:{DOT}[\w-]+)*{DOT}\p{{L}}{{2,}}(?![\w@])")
@@ -143,6 +144,25 @@ PAPERS = regex.compile(r"(?i)(?<![^\W\d_])(?:licen[cs]e|ssn|passport no\.|passpo
 GOODS = regex.compile(r"(?i)(?:order|serial|serikal|ticket|checksum|recorded|catalogue|number qrx|build|score|video|tick)\w*[\s#:-]*$")
 TRIPS = regex.compile(r"(?i)(?:near|moved to|return to|stickers to|guitar to|up at|flat is at|it was|drum kit to|checked by [^\n]{3,40} at|adresse|adresse :|livrer au|dirección:|guitarra a|quedamos en|bitte an|abholung in der|lieferung an|lives|goes to [^\n]{3,40},|chez [^\n]{3,40},|bei [^\n]{3,40},|id: [^;\n]{3,30};|住所は|адрес:?)[\s:]*$")
 
+# what a span of these kinds must hold, for a quick look at where the patterns are worth trying
+DIGITS = re.compile(r"\d[\d()+.\-/ \u00a0\u2009\u202f]{5,}")
+STREET = re.compile(rf"\b{STREETS}\b|Box \d|(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm)\s\d|\d,?\s(?:bis|ter|quater|rue|avenue|boulevard|chemin|place|impasse|quai|allée|route|cours)\b|\b(?:Calle|Avda|Avenida|Plaza|Pza|Paseo|Camino)\b|C/\s")
+
+
+def _around(pattern: regex.Pattern, sign: re.Pattern, text: str, before: int, after: int) -> Iterator[regex.Match]:
+    """Matches of a pattern within a distance of a sign that each of them holds."""
+    start = end = -1
+    for m in sign.finditer(text):
+        if end >= 0 and m.start() - before <= end:
+            end = m.end() + after
+            continue
+        if end >= 0:
+            yield from pattern.finditer(text, start, min(end, len(text)))
+        start, end = max(0, m.start() - before), m.end() + after
+    if end >= 0:
+        yield from pattern.finditer(text, start, min(end, len(text)))
+
+
 LABELERS = ("format", "gazetteer", "before", "behind", "echo", "shape", "against")
 
 
@@ -171,25 +191,29 @@ def spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     out: list[tuple[str, int, int, tuple[int, ...]]] = []
     mails = []
     for at in AT.finditer(text):
-        left, right = text[max(0, at.start() - 80) : at.start()], HOST.match(text, at.end())
+        at_start, at_end = at.span()
+        # one blank on either side may belong to it
+        at_start -= text[at_start - 1 : at_start].isspace()
+        at_end += text[at_end : at_end + 1].isspace()
+        left, right = text[max(0, at_start - 80) : at_start], HOST.match(text, at_end)
         local = right and ((LOCAL_DOT.search(left) if "dot" in right[0] else None) or LOCAL.search(left))
         if not local:
             continue
-        start, end = at.start() - len(left) + local.start(), right.end()
+        start, end = at_start - len(left) + local.start(), right.end()
         value, before = text[start:end], text[max(0, start - 46) : start]
         plain = "@" in value and " " not in value
         mails.append(_low(regex.sub(r"\W+", ".", local[0])))
         out.append(("email", start, end, (1, int(plain), int(MAILS.search(before) is not None), 0, 0, 1, 0)))
     taken = [(s, e) for _, s, e, _ in out]
     free = lambda s, e: not any(s < b and a < e for a, b in taken)
-    for m in ADDRESS.finditer(text):
+    for m in _around(ADDRESS, STREET, text, 90, 150):
         s, e = m.start(), m.end() - m[0].endswith(".")
         before, after = _near(text, s, e, 70)
         coded = regex.search(CODE + r"|\b\d{5}\b", m[0]) is not None
         out.append(("address", s, e, (1, int(coded), int(TRIPS.search(before) is not None or regex.search(r"\n[ \t>;#*]*$", before) is not None), int(regex.match(r"\W*(?:on \p{L}+day|ring twice|so come|schicken|\(c/o|phone|nach|$)", after) is not None), 0, int("," in m[0] or "\n" in m[0]), 0)))
         taken.append(m.span())
     for kind, pattern, good in (("id_number", ID, PAPERS), ("phone", PHONE, CALLS)):
-        for m in pattern.finditer(text):
+        for m in _around(pattern, DIGITS, text, 8, 16):
             s, e = m.span()
             before, after = _near(text, s, e)
             if not free(s, e) or len(set(filter(str.isdigit, m[0]))) < 2:
