@@ -31,6 +31,10 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([100.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() * 100.0 for x, y in zip(a, b, strict=True)])
 
 
+# the planner may not compare once for a filter and once more for the column
+ratio = ratio.asNondeterministic()
+
+
 def name_keys(folders: DataFrame, ord: str, name: str) -> DataFrame:
     """``ord``, version tag, normalised artist and title, and the title's length bucket of each folder name."""
     cleaned = folders.select(F.col(ord).alias("ord"), clean_folder(F.col(name)).alias("_c"))
