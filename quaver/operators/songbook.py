@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.functions.text import blank, bucket_letter, html_escape, sort_key, strip
+from quaver.session import durable
 
 # Fixed values of the page, in pixels
 CAPACITY, GAP, PAGE, PADDING = 900, 20, 816, 52.8
@@ -26,6 +27,8 @@ def entries(songs: DataFrame, ord: str) -> DataFrame:
     rows = rows.withColumn("artist_key", F.lower("artist")).withColumn("title_key", F.lower("title"))
     first = lambda c: F.min_by(c, F.struct("_ord", F.col(c)))
     pairs = rows.groupBy("artist_key", "title_key").agg(first("title").alias("title"), F.min(F.struct("_ord", F.col("artist"))).alias("_a"))
+    # both sides of the join are these pairs, which are far fewer than the rows
+    pairs = durable(pairs)
     names = pairs.groupBy("artist_key").agg(F.min("_a").alias("_first"))
     return pairs.join(names, "artist_key").select("artist_key", "title_key", F.col("_first.artist").alias("artist"), "title")
 
@@ -44,6 +47,7 @@ def stats(acts: DataFrame, k: float = 1.5) -> DataFrame:
 
 def outliers(acts: DataFrame, k: float = 1.5) -> DataFrame:
     """Artists with more titles than the threshold, in alphabetical order. The one-row statistics are broadcast."""
+    acts = durable(acts)
     return acts.crossJoin(F.broadcast(stats(acts, k).select("threshold"))).filter("songs > threshold").orderBy("sort_key", "artist_key").select("artist", "songs", "letter")
 
 
