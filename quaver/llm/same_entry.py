@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.lookalike import has_letters, letters_of
+from quaver.session import durable
 
 SEP = "\u001f"
 
@@ -19,7 +20,7 @@ SEP = "\u001f"
 def keyed(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
     """Rows with letters or digits in both fields: ``key``, ``first``, ``second``, ``_text``, ``_hash``."""
     fields = df.select(F.col(key).alias("_key"), F.col(first).alias("_a"), F.col(second).alias("_b"))
-    fields = fields.withColumn("_ka", letters_of("_a")).withColumn("_kb", letters_of("_b"))
+    fields = fields.select("*", letters_of("_a").alias("_ka"), letters_of("_b").alias("_kb"))
     fields = fields.filter(has_letters(F.col("_ka")) & has_letters(F.col("_kb")))
     text = F.concat_ws(SEP, F.array_sort(F.array("_ka", "_kb")))
     return fields.withColumn("_text", text).withColumn("_hash", F.unhex(F.md5(text)))
@@ -54,7 +55,8 @@ def same_entry_pairs(df: DataFrame, key: str, first: str, second: str) -> DataFr
     that adaptive execution splits where an entry is hot; entries of one row are dropped by their count first,
     so that only duplicates are shuffled for it, and the text is compared after the hash.
     """
-    rows = keyed(df, key, first, second).select("_key", "_text", "_hash").filter("_key is not null")
+    # kept once, as both sides of the join and the counts read it
+    rows = durable(keyed(df, key, first, second).select("_key", "_text", "_hash").filter("_key is not null"))
     several = rows.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("_hash")
     held = rows.join(several, "_hash", "left_semi")
     other = held.select(F.col("_key").alias("hash_b"), F.col("_text").alias("_other"), "_hash")
