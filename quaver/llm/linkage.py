@@ -93,6 +93,10 @@ def plain_of(column: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+# the planner may not read a title once for a filter and once more for the columns
+title_of, plain_of = title_of.asNondeterministic(), plain_of.asNondeterministic()
+
+
 def year_of(column: Column) -> Column:
     """Year as a number: four digits anywhere, else two alone, as years of this century or the last; else null."""
     four = F.regexp_extract(column, r"(?<!\d)(1[89]\d\d|20\d\d)(?!\d)", 1)
