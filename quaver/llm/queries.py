@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quaver.llm import best_copy, linkage, lookalike, packing, personal, same_entry, spellings, tokens, top_items
 from quaver.llm.oracles import ORACLES
@@ -51,6 +52,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return spellings.spelling_pairs(wide_table(spark, folder, "charts"), table(spark, folder, "nicknames"))
 
 
+def p6_acts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling with the act it names and how many spellings the act has."""
+    classes = spellings.spelling_classes(spellings.acts_only(wide_table(spark, folder, "charts"), "chart_hash", "artist", "title"), "artist", table(spark, folder, "nicknames"))
+    sizes = classes.groupBy("act").agg(F.count("*").alias("spellings"))
+    return classes.join(sizes, "act").select("artist", "act", "spellings")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(wide_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -70,7 +78,7 @@ def p9_masked(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every training-data query by its name."""
-    own = [p1_found, p1_entries, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_looks, p6_found, p7_ids, p8_packed, p9_found, p9_masked]
+    own = [p1_found, p1_entries, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_looks, p6_found, p6_acts, p7_ids, p8_packed, p9_found, p9_masked]
     return {q.__name__: q for q in own}
 
 

@@ -36,6 +36,10 @@ def folded(column: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else skeleton(t).casefold() for t in column], dtype=object)
 
 
+# the planner may not read a name once for a filter and once more for the columns
+parts_of, folded = parts_of.asNondeterministic(), folded.asNondeterministic()
+
+
 def words(text: Column) -> Column:
     """Words of letters and digits of a folded text."""
     return F.filter(F.split(text, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
@@ -48,7 +52,8 @@ def acts_only(df: DataFrame, key: str, artist: str, title: str) -> DataFrame:
     all rows; a row is taken as swapped where its title reads more like an artist than its artist does.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(artist).alias("_artist"), F.col(title).alias("_title")).filter("_artist is not null")
-    rows = rows.select("*", F.array_distinct(words(folded("_artist"))).alias("_wa"), F.array_distinct(words(folded("_title"))).alias("_wt"))
+    rows = rows.select("*", folded("_artist").alias("_fa"), folded("_title").alias("_ft"))
+    rows = rows.select("_key", "_artist", "_title", F.array_distinct(words(F.col("_fa"))).alias("_wa"), F.array_distinct(words(F.col("_ft"))).alias("_wt"))
     rows = rows.withColumn("_wt", F.coalesce("_wt", F.array().cast("array<string>")))
     side = lambda c, s: F.transform(F.col(c), lambda w: F.struct(w.alias("word"), F.lit(s).alias("side")))
     rows = durable(rows.withColumn("_row", F.xxhash64("_key", "_artist", "_title")))
