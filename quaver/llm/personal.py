@@ -382,6 +382,8 @@ def personal_spans(df: DataFrame, key: str = "doc_id", text: str = "text", sampl
         score = [float(w[features(k, v, b, a, tuple(x))].sum()) for k, v, b, a, x in zip(kind, value, before, after, votes, strict=True)]
         return pd.Series(1 / (1 + np.exp(-np.clip(score, -30, 30))))
 
+    # not deterministic to the planner, which else scores every span once for the filter and once for the column
+    decide = decide.asNondeterministic()
     scored = found.withColumn("probability", decide("kind", "value", "before", "after", "votes")).filter(F.col("probability") >= least)
 
     # a document's spans lie in one task already when they are found; they are few
