@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from quaver.llm.acts import without_accents
 from quaver.llm.best_copy import states
 from quaver.llm.lookalike import skeleton
-from quaver.llm.metric import within_one
+from quaver.llm.metric import slip_keys, within_one
 from quaver.llm.spellings import parts_of
 from quaver.session import durable
 
@@ -118,30 +118,46 @@ def _read(df: DataFrame, key: str) -> DataFrame:
     ).filter("key is not null and t.core <> '' and a.core <> ''")
 
 
-def _keys(lengths: list[int]) -> Column:
-    """Hashes of one artist's word and half a title of a given length: a slip leaves one of each whole."""
-    n = F.length("t.core")
-    words = F.array_distinct(F.filter(F.array("a.core", "a.surname", "a.given", "a.swapped"), lambda w: F.length(w) >= 3))
-    halves = []
-    for more in lengths:
-        half = F.floor((n + more) / 2).cast("int")
-        halves.append(F.struct((n + more).alias("n"), F.lit(0).alias("side"), F.substr(F.col("t.core"), F.lit(1), half).alias("part")))
-        rest = (n + more - half).cast("int")
-        halves.append(F.struct((n + more).alias("n"), F.lit(1).alias("side"), F.substr(F.col("t.core"), F.greatest(n - rest + 1, F.lit(1)), rest).alias("part")))
-    whole = F.filter(F.array(*halves), lambda h: h["n"] > 0)
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(whole, lambda h: F.xxhash64(w, h)))))
+def _near(left: DataFrame, right: DataFrame, left_texts: Column, right_texts: Column, of: str) -> DataFrame:
+    """Pairs of the numbers ``l<of>`` and ``r<of>`` that have a text of one place at most one slip apart."""
+
+    def keyed(side: DataFrame, texts: Column, number: str, own: bool) -> DataFrame:
+        each = side.select(F.col(of).alias(number), F.explode(texts).alias("_x")).select(number, "_x.place", "_x.text").distinct()
+        return each.select(number, F.explode(slip_keys(F.col("text"), own)).alias("_h"), "place").select(number, F.xxhash64("place", "_h").alias("_h"))
+
+    return keyed(left, left_texts, f"l{of}", True).join(keyed(right, right_texts, f"r{of}", False), "_h").select(f"l{of}", f"r{of}").distinct()
+
+
+def _names(*forms: str, initials: str, all_of: str) -> Column:
+    """Texts by which an artist is found: whole forms of the name, and the surname behind a first letter.
+
+    Surnames meet only where one of the two sides has an initial: those with one have the place ``initials``,
+    all have the place ``all_of``.
+    """
+    at = lambda place, text: F.struct(place.alias("place"), F.col(text).alias("text"))
+    letter = F.substring("a.given", 1, 1)
+    short = F.when(F.length("a.given") == 1, at(F.concat(F.lit(initials), letter), "a.surname"))
+    every = F.when(F.length("a.given") > 0, at(F.concat(F.lit(all_of), letter), "a.surname"))
+    return F.array_compact(F.array(*[at(F.lit("name"), f) for f in forms], short, every))
 
 
 def candidates(left: DataFrame, right: DataFrame, nicknames: DataFrame) -> DataFrame:
     """``folder`` and ``record_id`` with the evidence of every pair whose artists and titles may be the same.
 
-    Complete for artists with one word intact and titles at most one slip apart: such pairs share a key. Keys
-    join by equality and are as selective as an artist's word and half a title together.
+    Complete: whatever the rules below accept is proposed. Artists and titles are first met as different texts,
+    each on its own, over keys that no two texts at most one slip apart can miss; rows then join by equality on
+    the artists and titles near their own, so that no rows meet for half a key.
     """
     nick = nicknames.select(F.lower("nickname").alias("_nick"), F.lower("given").alias("_full")).groupBy("_nick").agg(F.min("_full").alias("_full"))
     full = lambda d: d.join(nick, F.col("a.given") == F.col("_nick"), "left").withColumn("formal", F.concat(F.coalesce("_full", "a.given"), "a.surname")).drop("_nick", "_full")
-    left, right = durable(full(left)), durable(full(right))
-    met = left.select(F.col("key").alias("lk"), F.explode(_keys([-1, 0, 1])).alias("h")).join(right.select(F.col("key").alias("rk"), F.explode(_keys([0])).alias("h")), "h").select("lk", "rk").distinct()
+    # numbers only propose: if two texts had the same one, the rules would still part them
+    number = lambda d: d.withColumn("act", F.xxhash64("a", "formal")).withColumn("song", F.xxhash64("t"))
+    left, right = durable(number(full(left))), durable(number(full(right)))
+    artists = _near(left, right, _names("a.core", "a.swapped", "a.flat", "formal", initials="l", all_of="r"), _names("a.core", "a.flat", "formal", initials="r", all_of="l"), "act")
+    title_text = F.array(F.struct(F.concat_ws("|", "t.take", "t.numbers").alias("place"), F.col("t.core").alias("text")))
+    titles = _near(left, right, title_text, title_text, "song")
+    near = left.select(F.col("key").alias("lk"), F.col("act").alias("lact"), F.col("song").alias("lsong")).join(artists, "lact").join(titles, "lsong")
+    met = near.join(right.select(F.col("key").alias("rk"), F.col("act").alias("ract"), F.col("song").alias("rsong")), ["ract", "rsong"]).select("lk", "rk").distinct()
     pairs = met.join(left.select(F.col("key").alias("lk"), F.struct("a", "t", "year", "album", "charter", "genre", "formal").alias("l")), "lk")
     pairs = pairs.join(right.select(F.col("key").alias("rk"), F.struct("a", "t", "year", "album", "charter", "genre", "formal").alias("r")), "rk")
     la, ra = F.col("l.a"), F.col("r.a")

@@ -85,6 +85,20 @@ def _thirds(text: Column, n: Column) -> list[Column]:
     return [cut(0, F.lit(1), k), *[cut(1, k + 1 + move, k) for move in (-1, 0, 1)], cut(2, F.greatest(F.length(text) - rest + 1, F.lit(1)), rest)]
 
 
+def slip_keys(text: Column, own: bool, longest: int = 96) -> Column:
+    """Hashes of a text for one side (``own``) or the other: texts at a distance of 1 at most share one.
+
+    Up to ``longest`` characters these are the text and its forms with one character taken out, from there on
+    its thirds; a text of just that length has both.
+    """
+    n = F.length(text)
+    less = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)))
+    forms = F.transform(F.concat(F.array(text), less), lambda s: F.xxhash64(s))
+    thirds = F.flatten(F.array(*[F.array(*_thirds(text, n + more)) for more in ((0,) if own else (-1, 0, 1))]))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(F.when(n <= longest, forms).otherwise(none), F.when(n >= longest, thirds).otherwise(none)))
+
+
 def long_pairs(rows: DataFrame, within: list[str], longest: int) -> DataFrame:
     """Pairs ``_a`` < ``_b`` at distance 1 of texts ``_t`` of which one is longer than ``longest``.
 
