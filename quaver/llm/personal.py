@@ -82,7 +82,7 @@ def _keyed(patterns: list[str], before: bool) -> list[tuple[str, regex.Pattern]]
     out = []
     for p in patterns:
         key = max(regex.findall(r"[^\W\d_]+", regex.sub(r"\\.|\([^)]*\)|\[[^\]]*\]\S?|\{[^}]*\}", " ", p)) or [""], key=len).lower()
-        out.append((key, regex.compile(("" if before else r"\s?") + p.replace(" ", r"\s+") + ((r"(?!\p{L})" if p[-1:].isalpha() else "") + r"\s*" if before else ""), regex.IGNORECASE)))
+        out.append((key, regex.compile(("" if before else r"\s?") + p.replace(" ", r"\s+") + ((r"(?!\p{L})" if p[-1:].isalpha() else "") + r"\s*(?:[/|·•–—-]{1,2}\s+)?" if before else ""), regex.IGNORECASE)))
     return out
 
 
@@ -93,7 +93,7 @@ NAME_AT = regex.compile(f"(?:{CAPS})(?![\\p{{L}}])")
 ANY_AT = regex.compile(f"(?:{ANY})(?![\\p{{L}}])")
 NAME_END = regex.compile(f"(?<![\\p{{L}}.'’-])(?:{CAPS})$")
 ANY_END = regex.compile(f"(?<![\\p{{L}}.'’-])(?:{ANY})$")
-PAIR = regex.compile(rf"(?<![\p{{L}}.'’\"-])(?:{CAPS})(?!\p{{L}})")
+PAIR = regex.compile(rf"(?<![\w.'’-])(?:{CAPS})(?!\p{{L}})")
 
 DOT = r"(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?|\sdot\s)"
 AT = re.compile(r"[@＠]|[(\[]\s?at\s?[)\]]|\sat\s(?=[\w-]{1,60}\sdot\s)")
@@ -250,10 +250,14 @@ def spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
         if found:
             shift = m.start() - len(piece)
             name(found.start() + shift, found.end() + shift, 3)
-    for m in PAIR.finditer(text):
-        given, surname = _name_parts(m[0])
-        if given in GIVEN or NAME_ENDS.search(surname) and len(surname) >= 6 and (len(given) == 1 or given in GIVEN):
-            name(*m.span(), 1)
+    # every shape of a name, also those that begin inside another one; list, ending and context only vote
+    whole = -1
+    for m in PAIR.finditer(text, overlapped=True):
+        # a middle initial behind a listed given name begins no name of its own
+        if m.end() == whole and m[0][1] == ".":
+            continue
+        whole = m.end() if _name_parts(m[0])[0] in GIVEN else whole
+        name(*m.span(), 0)
     for (s, e), votes in sorted(seen.items()):
         value = text[s:e]
         words = _low(value).replace(",", " ").replace(".", " ").split()
@@ -283,6 +287,11 @@ def spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
 SIZE = 1 << 14
 
 
+def supported(kind: str, votes: tuple[int, ...]) -> bool:
+    """Whether a name has more for it than its shape: list, context, echo, or an ending behind an initial. Other kinds do."""
+    return kind != "name" or any(v > 0 for v in votes[1:5]) or votes[1] == 0 and votes[5] > 0
+
+
 def features(kind: str, value: str, before: str, after: str, votes: tuple[int, ...]) -> list[int]:
     """Hashed features of a span: its votes, shape, endings and the words around it."""
     shape = regex.sub(r"\p{Lu}+", "A", regex.sub(r"\p{Ll}+", "a", regex.sub(r"\d+", "0", value)))[:24]
@@ -295,34 +304,40 @@ def features(kind: str, value: str, before: str, after: str, votes: tuple[int, .
     return [zlib.crc32(f.encode()) % SIZE for f in found]
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> dict[tuple[int, ...], float]:
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40, kind: str = "") -> dict[tuple[int, ...], float]:
     """Probability that a span with a pattern of votes is real, by expectation-maximisation.
 
     Labelers are taken as independent given the truth and each has one accuracy over the spans it votes on; an
     abstention says nothing. Accuracies stay better than a guess, which fixes which side is the real one. The
-    start is a majority of the votes.
+    start is a majority of the votes. Accuracies are those among spans with support (see ``supported``), as the many
+    without would make each vote against as sure as they are common; these have a prior of their own.
     """
     if not patterns:
         return {}
     votes = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
+    ours = np.array([supported(kind, p) for p, _ in patterns])
     accuracy = np.full(votes.shape[1], 0.75)
     accuracy[0], accuracy[-1] = 0.6, 0.9
-    q, prior = np.zeros(len(n)), 0.5
+    q, prior = np.zeros(len(n)), np.full(len(n), 0.5)
     for _ in range(rounds):
         log = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
         q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
         # a few votes' worth of belief in the start keeps rare labelers in place
-        right = ((votes > 0) * q[:, None] + (votes < 0) * (1 - q[:, None])) * n[:, None]
-        cast = (votes != 0) * n[:, None]
+        right = ((votes > 0) * q[:, None] + (votes < 0) * (1 - q[:, None])) * (n * ours)[:, None]
+        cast = (votes != 0) * (n * ours)[:, None]
         accuracy = np.clip((right.sum(0) + 15) / (cast.sum(0) + 20), 0.55, 0.98)
         accuracy[0] = 0.6
-        prior = float(np.clip(((q * n).sum() + 5) / (n.sum() + 10), 0.1, 0.9))
+        for group, least in ((ours, 0.1), (~ours, 0.001)):
+            prior[group] = np.clip(((q * n)[group].sum() + 5) / (n[group].sum() + 10), least, 0.9)
     return {p: float(x) for (p, _), x in zip(patterns, q, strict=True)}
 
 
-def train(rows: list[list[int]], target: np.ndarray, rounds: int = 12, rate: float = 0.5) -> np.ndarray:
-    """Weights of a logistic classifier over hashed features for soft targets, by adaptive gradient steps."""
+def train(rows: list[list[int]], target: np.ndarray, share: np.ndarray, rounds: int = 12, rate: float = 0.5) -> np.ndarray:
+    """Weights of a logistic classifier over hashed features for soft targets, by adaptive gradient steps.
+
+    ``share`` says for how many spans each row stands.
+    """
     w, g = np.zeros(SIZE), np.full(SIZE, 1e-6)
     order = np.arange(len(rows))
     for turn in range(rounds):
@@ -333,7 +348,7 @@ def train(rows: list[list[int]], target: np.ndarray, rounds: int = 12, rate: flo
             owner = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
             flat = np.concatenate([rows[i] for i in batch])
             score = np.bincount(owner, w[flat], len(batch))
-            gap = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - target[batch]
+            gap = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target[batch]) * share[batch]
             step = np.bincount(flat, gap[owner], SIZE) / len(batch) + 1e-6 * w
             g += step**2
             w -= rate * step / np.sqrt(g)
@@ -360,20 +375,28 @@ def personal_spans(df: DataFrame, key: str = "doc_id", text: str = "text", sampl
 
     Null, empty and blank texts have none. Spans of one kind don't overlap: the more probable wins, then the
     longer, then the earlier. Vote patterns are counted over all spans; ``sample`` bounds the spans of each kind
-    the classifier is fitted on, those of least hash; every span is decided by it. What reaches the driver is
-    one row for each vote pattern (at most 3^7 of a kind) and the sample.
+    the classifier is fitted on, of those that a labeler speaks for and of the others, those of least hash;
+    each stands for its share of all. Every span is decided by it. What reaches the driver is one row for each
+    vote pattern (at most 3^7 of a kind) and the sample.
     """
     found = durable(candidates(df, key, text))
     counts = found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
-    real = {k: reliabilities(sorted((tuple(r["votes"]), r["n"]) for r in counts if r["kind"] == k)) for k in KINDS}
-    rows, target = [], []
+    real = {k: reliabilities(sorted((tuple(r["votes"]), r["n"]) for r in counts if r["kind"] == k), kind=k) for k in KINDS}
+    rows, target, share = [], [], []
+    vote = lambda k: F.element_at("votes", k + 1)
+    spoken_for = (F.col("kind") != "name") | F.exists(F.slice("votes", 2, 4), lambda v: v > 0) | (vote(1) == 0) & (vote(5) > 0)
     for k in KINDS:
-        some = found.filter(F.col("kind") == k).orderBy(F.xxhash64("value", "before", "after"), "_key", "start").limit(sample).select("value", "before", "after", "votes").collect()
-        for r in some:
-            votes = tuple(r["votes"])
-            rows.append(features(k, r["value"], r["before"], r["after"], votes))
-            target.append(real[k][votes])
-    weights = train(rows, np.array(target)) if rows else np.zeros(SIZE)
+        for side in (True, False):
+            total = sum(r["n"] for r in counts if r["kind"] == k and supported(k, tuple(r["votes"])) == side)
+            if not total:
+                continue
+            some = found.filter((F.col("kind") == k) & (spoken_for == side)).orderBy(F.xxhash64("value", "before", "after"), "_key", "start").limit(sample).select("value", "before", "after", "votes").collect()
+            for r in some:
+                votes = tuple(r["votes"])
+                rows.append(features(k, r["value"], r["before"], r["after"], votes))
+                target.append(real[k][votes])
+                share.append(total / len(some))
+    weights = train(rows, np.array(target), np.array(share)) if rows else np.zeros(SIZE)
     shared = found.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     @F.pandas_udf("double")

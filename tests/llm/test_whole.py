@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quaver.llm import linkage, metric
+from quaver.llm import linkage, metric, personal
 from tests.llm.test_joins import damerau
 
 
@@ -31,3 +31,20 @@ def test_linkage_meets_slips_in_the_artist(spark):
     nick = spark.createDataFrame([("Loska", "Lo")], "given string, nickname string")
     got = {(r["folder"], r["record_id"]) for r in linkage.matched(left, right, groups, nick).collect()}
     assert got == {(f"f{i}", i) for i in range(len(pairs))}
+
+
+def test_every_shape_of_a_name_is_proposed():
+    text = 'Yesterday Colin Tambbydell and "Sven Ostmarch" came with K. Zwill; Viele Grüße / Bodil Trask\nHallo Joel Fenwick'
+    found = {text[s:e] for kind, s, e, _ in personal.spans(text) if kind == "name"}
+    assert {"Colin Tambbydell", "Sven Ostmarch", "K. Zwill", "Bodil Trask", "Joel Fenwick"} <= found
+    votes = {text[s:e]: v for _, s, e, v in personal.spans(text)}
+    assert votes["Bodil Trask"][2] == 1 and votes["Sven Ostmarch"][2] == 0
+    assert "G. Bramnewright" not in {x[0] for x in [("Nadia G. Bramnewright"[s:e],) for _, s, e, _ in personal.spans("Nadia G. Bramnewright")]}
+
+
+def test_a_name_is_found_without_list_or_fragment(spark):
+    filler = [(i, f"Contact: Anna Lindvigny{i}, anna{i}@fretnet.example. The Blue Window has {i} notes. Broken Harbor drifts. Silent Meadow is fine.") for i in range(100, 160)]
+    rows = [(1, "Blue Window is fine. Colin Tambbydell, colin.tambbydell@fretnet.example, has the stems.")]
+    df = spark.createDataFrame(rows + filler, "doc_id long, text string")
+    got = {(r["kind"], r["value"]) for r in personal.personal_values(df).collect() if r["doc_id"] == 1}
+    assert got == {("email", "colin.tambbydell@fretnet.example"), ("name", "Colin Tambbydell")}
