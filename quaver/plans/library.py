@@ -22,8 +22,8 @@ def ini_texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def folder_names(s: SparkSession, d: str) -> DataFrame:
-    ini_ = table(s, d, "dupgroups").join(table(s, d, "ini_fields"), "folder")
-    return ini_.select((F.col("group_id") * 100 + F.col("ord")).alias("ord"), F.concat_ws(" - ", "artist", "name").alias("name"))
+    """Every folder of the library with its name; the folder itself is the order, which is unique."""
+    return table(s, d, "ini_fields").select(F.col("folder").alias("ord"), F.concat_ws(" - ", "artist", "name").alias("name"))
 
 
 def copies(s: SparkSession, d: str) -> DataFrame:
