@@ -2,7 +2,8 @@
 
 Rules weigh partial, noisy attributes: similar artist and title speak for a match; year, album, charter and
 genre speak for or against it; two members of one known group of copies have the same partner (transitivity);
-nobody has more than one partner (exclusivity). The rules are hinge losses over match variables in [0, 1],
+no entity has more than one partner (exclusivity, of folders only: a record may be the partner of several
+entities, as copies outside a known group share one). The rules are hinge losses over match variables in [0, 1],
 a convex problem that alternating directions (ADMM) solve: each variable takes its own small step, then the
 copies of an entity's variables agree on the simplex. Entities share no variable, so that they are solved
 where they lie, many at a time; the evidence of an entity's members is summed before the shuffle. The
