@@ -11,7 +11,7 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
-from quaver.llm.lookalike import letters, skeleton
+from quaver.llm.lookalike import letters, plain_form
 
 # Words for sorts of groups, and short forms that their letters alone don't give away
 KINDS = ("band", "brothers", "choir", "collective", "duo", "ensemble", "orchestra", "project", "quartet", "quintet", "sisters", "trio")
@@ -84,7 +84,7 @@ def _is_the(tokens: list[str]) -> bool:
 @lru_cache(maxsize=200_000)
 def read_act(text: str) -> Act:
     """The parts of a name. Text without letters gives an act of empty parts."""
-    plain = " ".join(without_accents(skeleton(text).casefold()).replace("_", " ").split())
+    plain = " ".join(without_accents(plain_form(text).casefold()).replace("_", " ").split())
     flat = letters(text)
     bare = plain.strip(" .,;:?!-–—\"'“”‘’[](){}")
     nick = NICK.match(bare)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from quaver.llm.acts import without_accents
 from quaver.llm.best_copy import states
-from quaver.llm.lookalike import skeleton
+from quaver.llm.lookalike import plain_form
 from quaver.llm.metric import slip_keys, within_one
 from quaver.llm.spellings import parts_of
 from quaver.session import durable
@@ -47,7 +47,7 @@ GENRE_SAME, GENRE_APART = 0.1, 0.1
 @lru_cache(maxsize=100_000)
 def read_title(text: str) -> tuple[str, str, str]:
     """Letters of a title without notes, the take it names (or empty), and its numbers in order."""
-    plain = without_accents(skeleton(text).casefold()).replace("_", " ")
+    plain = without_accents(plain_form(text).casefold()).replace("_", " ")
     take = ""
 
     def bracket(m: re.Match) -> str:
@@ -85,10 +85,10 @@ def title_of(column: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StringType())
 def plain_of(column: pd.Series) -> pd.Series:
-    """Letters and digits of a skeleton, without case and accents, without mark-up and what follows an album's name."""
+    """Letters and digits of a plain_form, without case and accents, without mark-up and what follows an album's name."""
     out = []
     for t in column:
-        t = re.sub(r"<[^>]*>", "", without_accents(skeleton(t or "").casefold())).strip()
+        t = re.sub(r"<[^>]*>", "", without_accents(plain_form(t or "").casefold())).strip()
         t = re.sub(r"\s*[(\[](deluxe|expanded|special|bonus|explicit|remastered)[^)\]]*[)\]]\s*$|\s+ep$|^by\s+", "", t)
         out.append("".join(filter(str.isalnum, t)))
     return pd.Series(out, dtype=object)

@@ -36,6 +36,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return best_copy.best_fields(table(spark, folder, "dupgroups"), table(spark, folder, "ini_fields"))
 
 
+def p3_agreed(spark: SparkSession, folder: str) -> DataFrame:
+    return best_copy.agreed_fields(table(spark, folder, "dupgroups"), table(spark, folder, "ini_fields"))
+
+
+def p3_majority(spark: SparkSession, folder: str) -> DataFrame:
+    return best_copy.majority_fields(table(spark, folder, "dupgroups"), table(spark, folder, "ini_fields"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_items.best_videos(table(spark, folder, "mappings"))
 
@@ -78,7 +86,7 @@ def p9_masked(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every training-data query by its name."""
-    own = [p1_found, p1_entries, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_looks, p6_found, p6_acts, p7_ids, p8_packed, p9_found, p9_masked]
+    own = [p1_found, p1_entries, p2_found, p2_matches, p3_found, p3_agreed, p3_majority, p4_found, p5_found, p5_looks, p6_found, p6_acts, p7_ids, p8_packed, p9_found, p9_masked]
     return {q.__name__: q for q in own}
 
 

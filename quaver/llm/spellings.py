@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaver.llm.acts import Act, read_act
-from quaver.llm.lookalike import skeleton
+from quaver.llm.lookalike import plain_form
 from quaver.llm.metric import components, radius_pairs
 from quaver.session import durable
 
@@ -33,7 +33,7 @@ def parts_of(column: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.StringType())
 def folded(column: pd.Series) -> pd.Series:
     """Skeleton in lower case, for words that are only counted."""
-    return pd.Series([None if t is None else skeleton(t).casefold() for t in column], dtype=object)
+    return pd.Series([None if t is None else plain_form(t).casefold() for t in column], dtype=object)
 
 
 # the planner may not read a name once for a filter and once more for the columns

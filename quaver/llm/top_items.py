@@ -29,19 +29,31 @@ def top_items(df: DataFrame, group: str, item: str, score: list[Column], n: int
 
     ``score`` columns are compared in order and must not be null; a null ``item`` comes last; a null group is
     a group of its own. Groups with fewer than ``n`` rows give fewer rows; an empty table gives none. Equal
-    rows get different places. At most ``salts * n`` rows of a group reach the last window.
+    rows get different places.
+
+    A group lies in parts (``salts`` hashes of the item), and each part keeps its own ``n`` best. The greatest
+    n-th best of a group's parts is a small aggregate, one row for each group that has a full part. It is sent
+    back only to the parts of groups that have several, where the rows lie already, so that rows below
+    the bound go before the last exchange and no survivor is moved to meet it.
     """
     salts = salts or max(4, shuffle_width(df.sparkSession))
     best = F.struct(*[s.alias(f"s{i}") for i, s in enumerate(score)])
     last = [F.col(item).isNull(), F.col(item)]
-    rows = df.withColumn("_score", best).withColumn("_salt", F.pmod(F.xxhash64(F.col(item)), F.lit(salts)))
+    rows = df.withColumn("_score", best).withColumn("_salt", F.pmod(F.xxhash64(F.col(item)), F.lit(salts)).cast("int"))
     local = Window.partitionBy(group, "_salt").orderBy(F.col("_score").desc(), *last)
     rows = rows.withColumn("_rank", F.row_number().over(local)).filter(F.col("_rank") <= n)
-    whole = Window.partitionBy(group)
-    bound = F.max(F.when(F.col("_rank") == n, F.col("_score"))).over(whole)
-    rows = rows.withColumn("_bound", bound).filter(F.col("_bound").isNull() | (F.col("_score") >= F.col("_bound")))
-    rows = rows.withColumn("place", F.row_number().over(whole.orderBy(F.col("_score").desc(), *last)).cast("long"))
-    return rows.filter(F.col("place") <= n).drop("_score", "_salt", "_rank", "_bound")
+    survivors = bounded(rows, group, n)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("_score").desc(), *last)).cast("long")
+    return survivors.withColumn("place", place).filter(F.col("place") <= n).drop("_score", "_salt", "_rank")
+
+
+def bounded(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """``rows`` of the local best (``group``, ``_salt``, ``_rank``, ``_score``) that reach the greatest bound of their group."""
+    bounds = rows.groupBy(F.col(group).alias("_g")).agg(F.max(F.when(F.col("_rank") == n, F.col("_score"))).alias("_bound"), F.collect_set("_salt").alias("_parts"))
+    # a group in one part is cut to n rows already; a list of parts has at most ``salts`` numbers
+    bounds = bounds.filter(F.col("_bound").isNotNull() & (F.size("_parts") > 1)).select("_g", "_bound", F.explode("_parts").alias("_part"))
+    met = rows.join(bounds, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_salt") == F.col("_part")), "left")
+    return met.filter(F.col("_bound").isNull() | (F.col("_score") >= F.col("_bound"))).drop("_g", "_part", "_bound")
 
 
 def best_videos(mappings: DataFrame, n: int = 3) -> DataFrame:

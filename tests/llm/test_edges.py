@@ -78,9 +78,9 @@ def test_top_items(spark):
 
 
 def test_consensus():
-    assert best_copy.consensus(["a b c", "a x c", "a x c"]) == 0
-    assert best_copy.consensus(["a b c", "a x c", "a x c"], ratio=1.0) == 1
-    assert best_copy.consensus(["x"]) == 0
+    assert best_copy.consensus(["a b c", "a x c"], best_copy.by_trust([1, 2])) == 0
+    assert best_copy.consensus(["a b c", "a x c"], best_copy.by_copies([1, 2])) == 1
+    assert best_copy.consensus(["x"], [1.0]) == 0
 
 
 def test_states(spark):
