@@ -1,9 +1,13 @@
 """Personal information inside free text: candidate spans, weak labelers, and a classifier trained from them.
 
-Patterns propose spans. Labelers (format, gazetteer, context, agreement with the rest of the text) vote for,
-against or not at all. Expectation-maximisation over the counts of vote patterns estimates how reliable each
-labeler is, without any labelled text; a logistic span classifier is then trained on a bounded sample of spans
-with the estimated probabilities as targets, and decides all spans.
+General grammars propose spans: addresses of mail, digit groups that may be a phone or identity number, street
+addresses by their words for ways in several languages, and every pair of words that is written like a name.
+Labelers (format, list of given names, words before and behind, other personal pieces beside it, agreement with
+addresses of mail) vote for, against or not at all. Three more labelers come from the whole corpus: how often the
+spans with the same given name are vouched for by their context, and how often those in the same context, before
+or behind, are vouched for by their given name. Expectation-maximisation over the counts of vote patterns estimates how each labeler
+votes on real and on other spans, without any labelled text; a logistic span classifier is then trained on a
+bounded sample of spans with the estimated probabilities as targets, and decides all spans.
 """
 
 from __future__ import annotations
@@ -12,8 +16,6 @@ import re
 import zlib
 from collections.abc import Iterator
 
-
-
 import numpy as np
 import pandas as pd
 import regex
@@ -23,147 +25,158 @@ from pyspark.sql import functions as F
 from quaver.session import durable
 
 KINDS = ("email", "phone", "id_number", "address", "name")
+LABELERS = ("format", "gazetteer", "before", "behind", "beside", "echo", "against", "given", "around", "ahead")
+#: Labelers that look at one text; the others count over all.
+LOCAL_LABELERS = 7
 
-# Given names, without accents
+# Common given names, without accents
 GIVEN = frozenset(
     """
     adam agnes aiko alexander alice alvaro amelie amina ana andre andrea andres anna antonio astrid beatriz berenice
-    boris bruno carla carlos carmen caroline cecile celine charlotte chloe christian claire clara claudia daniel
+    boris bruno carla carlos carmen caroline cecile celine charlotte chloe christian claire clara claudia colin daniel
     darius david dennis diana diego dimitri dominik edith elena elias elisa emeka emil emily emma eric esther eva
-    fabian farah fatima felix fiona florian francois frank gabriel george gisela giulia goran grace gustav hannah
-    hans harald hassan helena henrik hilde hiro hugo ida imani ines ingrid irene isabel ivan jan jana jarek jasmin
-    john jonas jorge jose josef juan julia julien jurgen karin karl katrin kenji kirsten klara laura lea leila lena
+    fabian farah fatima felix fiona florian francois frank gabriel george gisela giulia goran gordon grace gustav hannah
+    hans harald hassan helena henrik hilde hiro hugo ida imani ines ingrid irene isabel ivan ivana jan jana jarek jasmin
+    joel john jonas jorge jose josef juan julia julien jurgen karin karl katrin kenji kirsten klara kwame laura lea leila lena
     leon linda louis lucia luis luisa magda manuel marcus maria marie mario markus marta martin mateo matteo max
-    mia michael miguel mireille mohammed monica nadia nicolas nina noor olga olivia omar oscar owen pablo paula
-    pedro peter petra pilar priya quentin rajesh rita robert rosa ruth samuel sandra sanna sara simon sofia sophie
-    stefan steffen susanne svetlana tariq teresa thomas tilda tomas ursula uwe valerie vera victor viktor walter
-    wanda wilma xavier ximena yasmin yusuf yvonne zeynep zoe
+    mia michael miguel mireille mohammed monica nadia nicolas niklas nina noor olga olivia omar oscar owen pablo paula
+    pedro peter petra pilar priya quentin rajesh rita robert rosa ruth samuel sandra sanna sara simon siobhan sofia sophie
+    stefan steffen susanne sven svetlana tariq teresa thomas tilda tomas ursula uwe valerie vera victor viktor walter
+    wanda wendy wilma xavier ximena yasmin yusuf yvonne zeynep zoe
     """.split()
 )
 
-NAME_ENDS = regex.compile(r"(?:thorpe|shaw|sby|usby|by|lund|dell|vigny|gny|rico|ntis|bert|strom|rault|ker|mann|ham|lecki|nelli|dottir|oglu|quez|sky|wright|son|sen|stein|berg|ova|ez)$")
-LOW = str.maketrans("äáàâãåçéèêëíìîïñóòôöõøúùûüýğşıž", "aaaaaaceeeeiiiinoooooouuuuygsiz")
-
-# What stands before or behind a name, by language
-BEFORE_NAME = [
-    # English
-    r"signed:", r"Deliver before \d\d:\d\d:", r"Mods:", r"We met", r"Contact:", r"My name is", r"Thanks again,", r"Witnesses of the \d+% run:",
-    r"Reply-To:", r"\"user\":\s*\"", r"The account holder is", r"fell out of the guitar case, owner", r"stems by", r", art by", r"\bAsk",
-    r"Invoice goes to", r"\(c/o", r"According to", r"My dad", r"\bI am", r"was first played at", r"Organi[sz]er", r"our drummer",
-    r"lane was checked by", r"> On (?:\p{L}+day)", r"contact details were typed as", r"Registered to:", r"Best regards,", r"Kind regards,", r"\bHi", r"\bDear", r"\bHello",
-    # German
-    r"\bLaut", r"Ich heiße", r"Rückfragen an", r"\bHallo", r"Das Treffen ist bei", r"Viele Grüße,?", r"Mit freundlichen Grüßen,?", r", Name",
-    # Spanish
-    r"Me llamo", r"Preguntad por", r"\bHola", r"Quedamos en [^.\n]{4,60}? con", r"a nombre de", r"\bSegún", r"Un saludo,",
-    # French
-    r"Je m['’]appelle", r"\bBonjour", r"\bSelon", r"D['’]après", r"Cordialement,", r"Le tournoi a lieu chez", r"Demandez", r"au nom de",
-    # Russian and Japanese
-    r"Меня зовут", r"С уважением,", r"Спросите", r"担当は", r"名前は",
-]
-BEHIND_NAME = [
-    r"will bring the second drum kit", r"sings on the demo", r"['’]s birthday", r"lives near", r"moved to \S", r"posted my mail", r"at the finals, lovely",
-    r", the (?:\w+[- ]?){1,3} pack is ready", r"\(\+?[\d(][^)\n]{6,22}\d(?:\)[^)\n]{4,14}\d)?(?: (?:x|ext\. )\d+)?\) tested", r"tested [^.\n]{2,60} on easy", r"wrote:", r"\([^)\n]{8,30}\) tested",
-    r", das Paket ist da", r"hat [^.\n]{2,60}? auf \w+ getestet", r"beginnt [^.\n]{2,60}? -?\d+ ms", r"und habe das Paket",
-    r", el paquete está", r"probó", r"y pedí el paquete", r", [^.\n]{2,60}? empieza -?\d+ ms",
-    r"a testé", r"et j['’]ai commandé", r", le pack est", r", [^.\n]{2,60}? commence -?\d+ ms", r", [^.\n]{2,60}? starts -?\d+ ms",
-    r"さん", r"様",
-]
-NOT_NAME = regex.compile(r"(?:charted by|charting by|prints|called \"|by the band|trabajo de|Arbeit von|travail de|The credits say|steht|указан|dice|dit|von|de|by|Artist =|artist =|Name =|name =|match \"|scan \"|zeigt|affiche|muestra)\s*$")
-ACT = regex.compile(r"(?i)^(?:\s*(?:Orchestra|Ensemble|Quartet|Project|Collective|Brothers|Sisters|Band)\b|\s*(?:deserve|share|twice|doppelt|deux fois|dos veces|only has|and the\b|and The\b))")
-DAYS = frozenset("monday tuesday wednesday thursday friday saturday sunday".split())
-
-WORD = r"\p{Lu}\p{L}+(?:['’]\p{Lu}\p{L}+)?(?:-\p{Lu}\p{L}+)?"
-CAPS = rf"(?:{WORD}|\p{{Lu}}\.)(?:\s\p{{Lu}}\.)?\s{WORD}|{WORD},\s(?:{WORD}|\p{{Lu}}\.)(?:\s\p{{Lu}}\.)?"
-ANY = r"(?:\p{L}{2,}(?:-\p{L}+)?|\p{L}\.)(?:\s\p{L}\.)?\s\p{L}{3,}(?:-\p{L}+)?|\p{L}{3,}(?:-\p{L}+)?,\s(?:\p{L}{2,}|\p{L}\.)(?:\s\p{L}\.)?(?!\p{L})"
-
-
-def _keyed(patterns: list[str], before: bool) -> list[tuple[str, regex.Pattern]]:
-    """Each pattern with a word that a text must hold for it, which is much faster to look for."""
-    out = []
-    for p in patterns:
-        key = max(regex.findall(r"[^\W\d_]+", regex.sub(r"\\.|\([^)]*\)|\[[^\]]*\]\S?|\{[^}]*\}", " ", p)) or [""], key=len).lower()
-        out.append((key, regex.compile(("" if before else r"\s?") + p.replace(" ", r"\s+") + ((r"(?!\p{L})" if p[-1:].isalpha() else "") + r"\s*(?:[/|·•–—-]{1,2}\s+)?" if before else ""), regex.IGNORECASE)))
-    return out
-
-
-LINKS, TAILS = _keyed(BEFORE_NAME, True), _keyed(BEHIND_NAME, False)
-# Words that may stand before a name with a capital letter, without accents
-STOPS = frozenset("according ask bonjour by contact cordialement credits dear de el hallo hello hi hola ich invoice laut le mods my name on organiser organizer owner quedamos regards registered reply saludo selon segun signed thanks und von we with witnesses grusse beste viele best kind great update note edit nachtrag ps pd".split())
-NAME_AT = regex.compile(f"(?:{CAPS})(?![\\p{{L}}])")
-ANY_AT = regex.compile(f"(?:{ANY})(?![\\p{{L}}])")
-NAME_END = regex.compile(f"(?<![\\p{{L}}.'’-])(?:{CAPS})$")
-ANY_END = regex.compile(f"(?<![\\p{{L}}.'’-])(?:{ANY})$")
-PAIR = regex.compile(rf"(?<![\w.'’-])(?:{CAPS})(?!\p{{L}})")
+# Words of several languages after which a person is named, without accents
+TITLES = "mr mrs ms miss dr prof sir herr frau sr sra senor senora monsieur madame mme signor signora"
+GREETINGS = "hi hello hey dear hallo liebe lieber hola querido querida estimado bonjour salut cher chere ciao caro olá привет здравствуйте"
+CLOSINGS = "regards sincerely yours cheers best thanks again signed grusse gruss grussen saludo saludos abrazo cordialement amicalement bisous saluti уважением"
+ROLES = "name user owner holder contact organiser organizer drummer guitarist singer bassist driver landlord author witness witnesses attn recipient sender from reply mods admin note dad mom mum mother father brother sister wife husband son daughter friend neighbour neighbor colleague teacher boss"
+VERBS = "ask asked call phone text meet met meeting tell told visit invite with see heiße heisse bin llamo soy appelle suis зовут спросите according laut selon segun preguntad pregunta demandez rückfragen ruckfragen"
+LINKS = frozenset(f"{TITLES} {GREETINGS} {CLOSINGS} {ROLES} {VERBS}".split()) - {"user"}
+#: Two words before a name, where the last alone says little.
+PAIRS = frozenset("i am|name is|this is|holder is|my name|ruckfragen an|according to|registered to|invoice to|goes to|deliver to|c o|nombre de|nom de|d apres|lieu chez|ist bei|thanks again|and i".split("|"))
+BEHIND = frozenset("wrote writes says said lives lived moved works worked called phoned asked told schrieb wohnt sagt escribio dijo vive ecrit habite".split())
+#: Those after which a name in small letters is looked for.
+STATED = regex.compile(r"(?i)(?<![^\W\d_])(?:(?:llamo|appelle|heiße|heisse|зовут|name is|i am|according to|holder is|laut|selon|según|owner|drummer|organi[sz]er)\s{1,2}|(?:contact|regards|signed|owner|reply-to|user)\W*[:,]\W{0,3}|担当は|名前は)")
+SUFFIXES = ("さん", "様", "氏", "先生")
+ENDINGS_BEFORE = ("担当は", "名前は", "連絡先は")
+
+# What says that the words are a work, an act or a handle
+WORKS = frozenset("charted charting chart charter prints artist title song album band video match scan track".split())
+#: Words that begin no name: articles, pronouns, prepositions and the like.
+FUNCTION = frozenset(
+    """
+    the a an this that these those no not my our your his her their its it he she we they you i is was are were be been has have had will would can in on at of for from with without and or but
+    if when while who what where why how all any some every each only just also el los las un una unos unas mi tu su por para con sin en de del y o no que
+    der die das den dem des ein eine einen mein meine meiner dein deine sein seine ihr ihre unser unsere und oder aber mit von bei nach auf im am zu le les du une mon ton son ma ta sa mes tes ses nous vous et ou mais
+    avec pour dans sur à au aux il lo gli uno dei del di da per che как на по из для это мой
+    monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag samstag sonntag
+    lunes martes miércoles jueves viernes sábado domingo lundi mardi mercredi jeudi vendredi samedi dimanche
+    """.split()
+)
+ACTS = regex.compile(r"(?i)^\s*(?:orchestra|ensemble|quartet|quintet|trio|duo|project|collective|brothers|sisters|band|choir|and the|& the)\b")
+KEY_LINE = regex.compile(r"(?i)(?:^|\n)[ \t;#>]*(?:artist|name|title|album|charter|genre)\s*=\s*\"?$")
+LOW = str.maketrans("äáàâãåçéèêëíìîïñóòôöõøúùûüýğşıžœ", "aaaaaaceeeeiiiinoooooouuuuygsizo")
+
+M = r"[\p{L}\p{M}]"
+# letters of scripts that have capitals
+C = r"[\p{Lu}\p{Ll}\p{M}]"
+WORD = rf"\p{{Lu}}{C}+(?:['’]\p{{Lu}}{C}+)?(?:-\p{{Lu}}{C}+)*"
+PARTICLES = r"(?:\s(?:van|von|de|del|della|di|da|dos|la|le|der|den|ten|ter|bin|al)){1,2}"
+CAPS = rf"(?:{WORD}|\p{{Lu}}\.)(?:\s\p{{Lu}}\.)?(?:{PARTICLES})?\s{WORD}|{WORD},\s(?:{WORD}|\p{{Lu}}\.)(?:\s\p{{Lu}}\.)?"
+ANY = rf"(?:{C}{{2,}}(?:-{C}+)?|{C}\.)(?:\s{C}\.)?\s{C}{{3,}}(?:-{C}+)*|{C}{{3,}}(?:-{C}+)*,\s(?:{C}{{2,}}|{C}\.)(?:\s{C}\.)?(?!{C})"
+AFTER = rf"(?![\p{{Lu}}\p{{Ll}}\p{{M}}\d_]|[-'’]\p{{Lu}})"
+PAIR = regex.compile(rf"(?<![\p{{Lu}}\p{{Ll}}\p{{M}}\d_.'’-])(?:{CAPS}){AFTER}")
+TRIPLE = regex.compile(rf"(?<![\p{{Lu}}\p{{Ll}}\p{{M}}\d_.'’-]){WORD}\s{WORD}\s{WORD}{AFTER}")
+SMALL = regex.compile(rf"(?<![\p{{Lu}}\p{{Ll}}\p{{M}}\d_.'’@-])(?:{ANY}){AFTER}")
+TURNED = regex.compile(rf"(?r)(?<![\p{{Lu}}\p{{Ll}}\p{{M}}\d_.'’@-]){C}{{3,}}(?:-{C}+)*,\s{C}{{2,}}{AFTER}")
+WORDS = regex.compile(rf"{M}+")
+FOLLOW, AHEAD = regex.compile(rf"\s*({M}+)"), regex.compile(rf"([^\w]*)({M}+)?(?:\s({M}+|\d))?")
+MIDDLE = regex.compile(rf"({WORD})\s$")
 
 DOT = r"(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?|\sdot\s)"
-AT = re.compile(r"[@＠]|[(\[]\s?at\s?[)\]]|\sat\s(?=[\w-]{1,60}\sdot\s)")
-LOCAL = regex.compile(r"(?<![\w.+@-])\w(?:[\w.+-]*\w)?$")
-LOCAL_DOT = regex.compile(r"(?<![\w.+@-])\w[\w+-]*(?:\sdot\s|[(\[]dot[)\]])\w[\w.+-]*$")
+AT = re.compile(r"[@＠]|[(\[]\s?at\s?[)\]]|\sat\s(?=[\w-]{1,200}\sdot\s)")
+# read from its end backwards, so that no length bounds it
+LOCAL = regex.compile(r"(?r)(?<![\w.+@-])\w(?:[\w.+-]*\w)?")
+LOCAL_DOT = regex.compile(r"(?r)(?<![\w.+@-])\w[\w+-]*(?:(?:\sdot\s|[(\[]dot[)\]])\w[\w.+-]*)+")
 HOST = regex.compile(rf"[\w-]+(?:{DOT}[\w-]+)*{DOT}\p{{L}}{{2,}}(?![\w@])")
 
-B = r"[ \u00a0.\u2009\u202f-]"
-EXT = r"(?:\s?(?:x|ext\.?)\s?\d{1,5})?"
-PHONES = [
-    rf"(?:(?:\+|00)1{B}?|1{B})?(?:\(\d{{3}}\){B}?|\d{{3}}{B}?)555{B}?01\d\d{EXT}",
-    rf"(?:\+1{B}?|1{B})?(?:\(\d{{3}}\){B}?\d{{3}}{B}?\d{{4}}|\d{{3}}({B})\d{{3}}\1\d{{4}}){EXT}",
-    rf"(?:(?:\+|00)44{B}?(?:\(0\){B}?)?|0)(?:20{B}?7946{B}?0\d{{3}}|7700{B}?900{B}?\d{{3}}|1\d{{2}}{B}?496{B}?0\d{{3}}|20{B}\d{{4}}{B}\d{{4}}|7\d{{3}}{B}\d{{3}}{B}?\d{{3}}|1\d{{2,3}}{B}\d{{3}}{B}?\d{{3,4}}){EXT}",
-    rf"(?:(?:\+|00)33{B}?(?:\(0\){B}?)?|0)[1-9](?:{B}?\d\d){{4}}{EXT}",
-    rf"(?:(?:\+|00)49{B}?(?:\(0\){B}?)?|\(?0)(?:1[567]\d|30|40|69|89|221)\)?(?:{B}|/)?\d{{3,5}}{B}?\d{{2,5}}{EXT}",
-    rf"(?:(?:\((?:\+|00)34\)|(?:\+|00)34){B}?)?555{B}?(?:01{B}?\d\d{B}?\d\d|01\d\d{B}?\d\d\d){EXT}",
-    rf"(?:\+\d{{1,3}}|\(\+\d{{1,3}}\)){B}?(?:\(0\){B}?)?\d{{1,4}}(?:{B}\d{{2,5}}){{1,4}}{EXT}",
-    r"\+\d{9,14}",
-]
-PHONE = regex.compile(r"(?<![\w+(.#=-])(?<!\d[ ])(?:" + "|".join(PHONES) + r")(?![\w-]|\.\d)")
+B = r"[  .  /-]"
+EXT = r"(?:\s?(?:x|ext\.?|extension)\s?\d{1,5})?"
+PHONE = regex.compile(rf"(?<![\w+.#-])(?<!\d[ ])(?:\((?:\+|00)\d{{1,3}}\){B}?|(?:\+|00)\d{{1,3}}{B}?)?(?:\(0\){B}?)?(?:\(\d{{1,5}}\)|\d+)(?:{B}?(?:\(\d{{1,5}}\)|\d+))*{EXT}(?![\w-]|\.\d)")
+# Country codes of two digits; all others but 1 and 7 have three
+CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+DATE = re.compile(r"(?:19|20)\d\d[-./ ][01]?\d[-./ ][0-3]?\d(?!\d)|[0-3]?\d[-./ ][01]?\d[-./ ](?:19|20)\d\d|\d{1,3}(?:\.\d{1,3}){3}$")
+# Public formats of identity, tax, insurance and passport numbers
 IDS = [
     r"\d{3}-\d{2}-\d{4}", r"\d{3} \d{2} \d{4}", r"\d{6}[-+]\d{4}", r"\d{3}\.\d{3}\.\d{3}-\d{2}", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]",
     r"[A-Z]{1,2}\d{7,8}[A-Z]?", r"\d{8}-?[A-Z]", r"\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}", r"\d{2} \d{3} \d{3} \d{3}", r"[A-Z]-\d{7,8}(?:-[A-Z])?",
 ]
 ID = regex.compile(r"(?<![\w.#/=-])(?<!\d[ ])(?:" + "|".join(IDS) + r")(?![\w-]|\.\d| \d)")
 
-PLACE = r"\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+)?"
-ONE_PLACE = r"\p{Lu}\p{L}+"
+PLACE = rf"\p{{Lu}}{M}+(?:[ -]\p{{Lu}}{M}+)?"
+ONE_PLACE = rf"\p{{Lu}}{M}+"
+CITY = rf"\p{{Lu}}{M}+(?:[ -](?:\p{{Lu}}{M}+|de|la|le|sur|am|an der)){{0,3}}"
 CODE = r"(?:[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2}|[A-Z]{2} \d{5}(?:-\d{4})?)"
 GAP = r"(?:,\s{1,6}|\s?/\s|,?\s?\n[ \t>;#*-]{0,14}|,? {0,2}\n[ \t]{0,14})"
 STREETS = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Terrace|Blvd|Boulevard|Drive|Dr|Court|Ct|Way|Square|Sq|Place|Pl|Crescent|Row)"
+WAYS = r"(?:rue|avenue|boulevard|chemin|place|impasse|quai|allée|route|cours)"
+FIRST = r"(?:Calle|C/|Avda\.?|Avenida|Plaza|Pza\.|Paseo|Camino|Via|Viale|Piazza|Corso|Largo|Rua|Travessa|Ulica|ul\.|Улица|улица|ул\.|Проспект|проспект)"
 ADDRESSES = [
     # number first, as in Britain and the United States
-    rf"(?:(?:Flat|Apt|Unit|Suite|Apartment)\.? \w{{1,4}},\s)?\d{{1,5}}[a-z]?,? {PLACE}\s{STREETS}\b\.?(?:,?\s(?:Apt|Flat|Unit|Suite|#)\.? ?\w{{1,4}}\b)?(?:{GAP}{ONE_PLACE}(?:(?:,\s{{1,3}}|\s{{1,3}}|{GAP}){CODE}\b)|(?:,\s{{1,6}}|\s/\s){ONE_PLACE}\b(?!\p{{L}}|['’])|{GAP}{CODE}\b)?",
-    rf"P\.? ?O\.? ?Box \d+(?:{GAP}{ONE_PLACE}(?:(?:,\s|\s){CODE}\b)|,\s{{1,6}}{ONE_PLACE})?",
+    rf"(?:(?:Flat|Apt|Unit|Suite|Apartment)\.? \w{{1,4}},\s)?\d{{1,5}}[a-z]?,? {PLACE}\s{STREETS}\b\.?(?:\s(?:N|S|E|W|NE|NW|SE|SW)\b)?(?:,?\s(?:Apt|Flat|Unit|Suite|#)\.? ?\w{{1,4}}\b)?(?:{GAP}{CITY}(?:(?:,\s{{1,3}}|\s{{1,3}}|{GAP}){CODE}\b)|(?:,\s{{1,6}}|\s/\s){ONE_PLACE}\b(?!\p{{L}}|['’])|{GAP}{CODE}\b)?",
+    rf"P\.? ?O\.? ?Box \d+(?:{GAP}{CITY}(?:(?:,\s|\s){CODE}\b)|,\s{{1,6}}{ONE_PLACE})?",
     # street first, as in Germany
-    rf"(?:(?:Am|An der|Im|Auf der|Zum) )?\p{{Lu}}\p{{L}}+(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm)\s\d+ ?[a-z]?\b(?:{GAP}\d{{5}}\s{ONE_PLACE}|,\s{{1,6}}{ONE_PLACE})?",
+    rf"(?:(?:Am|An der|Im|Auf der|Zum) )?\p{{Lu}}{M}+(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm)\s\d+ ?[a-z]?\b(?:{GAP}\d{{4,5}}\s{ONE_PLACE}|,\s{{1,6}}{ONE_PLACE})?",
     # number and the word for the way, as in France
-    rf"\d+(?: (?:bis|ter|quater))?,?\s(?:rue|avenue|boulevard|chemin|place|impasse|quai|allée|route|cours)\s(?:(?:de la|des|du|de l['’]|de|d['’])\s?)?[\p{{L}}-]+(?: \p{{Lu}}[\p{{L}}-]+)?(?:{GAP}\d{{5}}\s{ONE_PLACE}|,\s{{1,6}}{ONE_PLACE})?",
-    # the word for the way first, as in Spain
-    rf"(?:Calle|C/|Avda\.?|Avenida|Plaza|Pza\.|Paseo|Camino)\s(?:(?:de la|del|de los|de) )?{PLACE},?\s(?:n[º°.]\s?)?\d+(?:,\s\d+[º°ª]\s?\p{{L}}?)?(?:{GAP}\d{{5}}\s{ONE_PLACE}|,\s{{1,6}}{ONE_PLACE})?",
+    rf"\d+(?: (?:bis|ter|quater))?,?\s(?i:{WAYS})\s(?:(?i:de la|des|du|de l['’]|de|d['’])\s?)?[\p{{L}}\p{{M}}-]+(?: \p{{Lu}}[\p{{L}}\p{{M}}-]+)?(?:{GAP}\d{{5}}\s{ONE_PLACE}|,\s{{1,6}}{ONE_PLACE})?",
+    # the word for the way first, as in Spain, Italy and Russia
+    rf"{FIRST}\s(?:(?i:de la|del|de los|de|dei|della|da) )?{PLACE},?\s(?:n[º°.]\s?|д\.\s?)?\d+[a-z]?(?:,\s\d+[º°ª]\s?\p{{L}}?)?(?:{GAP}\d{{5}}\s{ONE_PLACE}|,\s{{1,6}}{ONE_PLACE})?",
 ]
 ADDRESS = regex.compile(r"(?<![\w/.-])(?:" + "|".join(ADDRESSES) + ")")
 
-MAILS = regex.compile(r"(?i)(?:mail|reach me at|goes to|write to|to|cc|contact|password for|[ &=:<,\"/à]|на|は|correo|oder|ou)\W*$")
-CALLS = regex.compile(r"(?i)(?<![^\W\d_])(?:call|phone|tel|tél|fax|mobile|ring|text me|whatsapp|number is|no answer on|handy|unter|joindre au|appelez|au|al|en el|teléfono|llamad|телефон|связи|звоните|電話|の件は|or|oder|ou|/|tel:|=|maybe)[\s:.=(]*(?:es|is|на|は|le)?[\s:(]*$")
-PAPERS = regex.compile(r"(?i)(?<![^\W\d_])(?:licen[cs]e|ssn|passport no\.|passport|insurance|id card|\bid|health card|for payment use|mine is|ausweis|ausweisnummer lautet|steuernummer|personalausweis|documento es|dni|nif|pasaporte|sécurité sociale|identité|carte est|id:|паспорт|инн|снилс|マイナンバー|番号は|番号：|card)[\s:.=]*(?:is|es|est|lautet|no\.|number|nr\.)?[\s:]*$")
-GOODS = regex.compile(r"(?i)(?:order|serial|serikal|ticket|checksum|recorded|catalogue|number qrx|build|score|video|tick)\w*[\s#:-]*$")
-TRIPS = regex.compile(r"(?i)(?:near|moved to|return to|stickers to|guitar to|up at|flat is at|it was|drum kit to|checked by [^\n]{3,40} at|adresse|adresse :|livrer au|dirección:|guitarra a|quedamos en|bitte an|abholung in der|lieferung an|lives|goes to [^\n]{3,40},|chez [^\n]{3,40},|bei [^\n]{3,40},|id: [^;\n]{3,30};|住所は|адрес:?)[\s:]*$")
+# Words before a piece of each kind
+MAILS = regex.compile(r"(?i)(?:mail|reach me at|write to|to|cc|contact|[ &=:<,\"/à]|на|は|correo|oder|ou)\W*$")
+CALLS = regex.compile(r"(?i)(?<![^\W\d_])(?:call|phone|tel|tél|fax|mobile|cell|ring|text me|whatsapp|number is|answer on|handy|unter|joindre au|appelez|telefon|teléfono|telefono|llamad|телефон|связи|звоните|電話|の件は|or|oder|ou|al|en el|au)[\s:.=(/]*(?:es|is|на|は|le)?[\s:(]*$")
+PAPERS = regex.compile(r"(?i)(?<![^\W\d_])(?:licen[cs]e|ssn|passport|insurance|id|identity|health card|ausweis|steuernummer|personalausweis|documento|dni|nif|pasaporte|sécurité sociale|identité|carte|паспорт|инн|снилс|マイナンバー|番号|card)[\s:.=]*(?:は|：|is|es|est|lautet|no\.|number|nr\.|nummer lautet)?[\s:]*$")
+GOODS = regex.compile(r"(?i)(?:order|serial|ticket|checksum|catalogue|catalog|number [a-z]{3}|build|version|score|video|tick|isbn|model|part no)\w*[\s#:.-]*$")
+TRIPS = regex.compile(r"(?i)(?:near|at|to|is at|address|adresse|dirección|lives|lives in|livrer au|in|in der|bitte an|an|bei|chez|en|住所は|адрес|from)[\s:]*$")
 
 # what a span of these kinds must hold, for a quick look at where the patterns are worth trying
-DIGITS = re.compile(r"\d[\d()+.\-/ \u00a0\u2009\u202f]{5,}")
-STREET = re.compile(rf"\b{STREETS}\b|Box \d|(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm)\s\d|\d,?\s(?:bis|ter|quater|rue|avenue|boulevard|chemin|place|impasse|quai|allée|route|cours)\b|\b(?:Calle|Avda|Avenida|Plaza|Pza|Paseo|Camino)\b|C/\s")
+DIGITS = re.compile(r"\d[\d()+.\-/    ]{5,}")
+STREET = re.compile(rf"\b{STREETS}\b|Box \d|(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm)\s\d|\d,?\s(?:bis|ter|quater|(?i:{WAYS}))\b|\b{FIRST}\s")
+
+
+#: Kind, start, end, the vote (1, 0 or -1) of each local labeler; of names also the given name and the contexts before and behind.
+Span = tuple[str, int, int, tuple[int, ...], str, str, str]
+
 
+def _around(pattern: regex.Pattern, sign: re.Pattern, text: str, words: int, after: int) -> Iterator[regex.Match]:
+    """Matches of a pattern that hold a sign: from ``words`` words before it on.
 
-def _around(pattern: regex.Pattern, sign: re.Pattern, text: str, before: int, after: int) -> Iterator[regex.Match]:
-    """Matches of a pattern within a distance of a sign that each of them holds."""
+    The window only says where matches may begin; one that reaches its end is read again without an end.
+    """
     start = end = -1
+
+    def within(start: int, end: int) -> Iterator[regex.Match]:
+        at = start
+        while found := pattern.search(text, at, min(end, len(text))):
+            whole = pattern.match(text, found.start()) if found.end() > end - after // 2 else found
+            yield whole or found
+            at = max((whole or found).end(), found.start() + 1)
+
     for m in sign.finditer(text):
-        if end >= 0 and m.start() - before <= end:
+        first = m.start()
+        for _ in range(words):
+            first = max(text.rfind(" ", 0, first), text.rfind("\n", 0, first), 0)
+        if end >= 0 and first <= end:
             end = m.end() + after
             continue
         if end >= 0:
-            yield from pattern.finditer(text, start, min(end, len(text)))
-        start, end = max(0, m.start() - before), m.end() + after
+            yield from within(start, end)
+        start, end = max(first, end, 0), m.end() + after
     if end >= 0:
-        yield from pattern.finditer(text, start, min(end, len(text)))
-
-
-LABELERS = ("format", "gazetteer", "before", "behind", "echo", "shape", "against")
+        yield from within(start, end)
 
 
 def _low(word: str) -> str:
@@ -186,150 +199,202 @@ def _name_parts(value: str) -> tuple[str, str]:
     return words[0], words[-1]
 
 
-def spans(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """Candidate spans of a text: kind, start, end, and the vote (1, 0 or -1) of each of ``LABELERS``."""
-    out: list[tuple[str, int, int, tuple[int, ...]]] = []
-    mails = []
+def dialled(value: str) -> int:
+    """1 where digits are grouped and counted like a phone number of some country, -1 for dates and the like, else 0."""
+    digits = "".join(filter(str.isdigit, regex.sub(rf"(?<=\d){EXT}$|\(0\)", "", value)))
+    if DATE.match(value) or not 7 <= len(digits) <= 15:
+        return -1
+    groups = regex.findall(r"\d+", value)
+    # only the last group, or a lone one, is long
+    if any(len(g) > 5 for g in groups[:-1]):
+        return 0
+    bare = value.lstrip("(")
+    if bare.startswith(("+", "00")):
+        rest = digits.removeprefix("00")
+        size = 1 if rest[:1] in "17" else 2 if rest[:2] in CODES else 3
+        return 1 if rest[:1] != "0" and 7 <= len(rest) - size <= 12 and len(groups[0].removeprefix("00")) in (size, len(digits.removeprefix("00"))) else -1
+    if digits[0] == "0":
+        return 1 if 9 <= len(digits) <= 12 else 0
+    plain = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
+    return 1 if len(plain) == 10 and plain[0] > "1" else 0
+
+
+CLOSING, ROLE, TITLE = frozenset(CLOSINGS.split()), frozenset(ROLES.split()), frozenset(TITLES.split())
+STOP = regex.compile(r"[.!?]\s+\p{Lu}?|\n\s*\n")
+ENDED = regex.compile(r"[.!?\n][^:]*$")
+MARKS = regex.compile(r"[\w\s]+")
+
+
+def _linked(before: str) -> tuple[bool, str]:
+    """Whether the words before a span announce a person, and those words themselves."""
+    found = list(WORDS.finditer(before))[-3:]
+    if not found:
+        return False, MARKS.sub("", before)[-2:]
+    words, gap = [_low(m[0]) for m in found], before[found[-1].end() :]
+    pair = " ".join(words[-2:])
+    context = pair + ("" if not gap or gap.isspace() else "|" + "".join(sorted(set(MARKS.sub("", gap))))[:4])
+    if words[-1].endswith(ENDINGS_BEFORE):
+        return True, context
+    if ENDED.search(gap) and words[-1] not in CLOSING and not (gap.startswith(".") and words[-1] in TITLE):
+        return False, context
+    return words[-1] in LINKS or pair in PAIRS or ":" in gap and not ROLE.isdisjoint(words), context
+
+
+def spans(text: str) -> list[Span]:
+    """Candidate spans of a text."""
+    out: list[Span] = []
+    mails, taken = [], []
+    free = lambda s, e: not any(s < b and a < e for a, b in taken)
     for at in AT.finditer(text):
         at_start, at_end = at.span()
         # one blank on either side may belong to it
         at_start -= text[at_start - 1 : at_start].isspace()
         at_end += text[at_end : at_end + 1].isspace()
-        left, right = text[max(0, at_start - 80) : at_start], HOST.match(text, at_end)
-        local = right and ((LOCAL_DOT.search(left) if "dot" in right[0] else None) or LOCAL.search(left))
+        right = HOST.match(text, at_end)
+        local = right and ((LOCAL_DOT.match(text, 0, at_start) if "dot" in right[0] else None) or LOCAL.match(text, 0, at_start))
         if not local:
             continue
-        start, end = at_start - len(left) + local.start(), right.end()
+        start, end = local.start(), right.end()
         value, before = text[start:end], text[max(0, start - 46) : start]
         plain = "@" in value and " " not in value
         mails.append(_low(regex.sub(r"\W+", ".", local[0])))
-        out.append(("email", start, end, (1, int(plain), int(MAILS.search(before) is not None), 0, 0, 1, 0)))
-    taken = [(s, e) for _, s, e, _ in out]
-    free = lambda s, e: not any(s < b and a < e for a, b in taken)
-    for m in _around(ADDRESS, STREET, text, 90, 150):
+        out.append(("email", start, end, (1, int(plain), int(MAILS.search(before) is not None), 0, 0, 0, 0), "", "", ""))
+        taken.append((start, end))
+    for m in _around(ADDRESS, STREET, text, 9, 150):
         s, e = m.start(), m.end() - m[0].endswith(".")
         before, after = _near(text, s, e, 70)
         coded = regex.search(CODE + r"|\b\d{5}\b", m[0]) is not None
-        out.append(("address", s, e, (1, int(coded), int(TRIPS.search(before) is not None or regex.search(r"\n[ \t>;#*]*$", before) is not None), int(regex.match(r"\W*(?:on \p{L}+day|ring twice|so come|schicken|\(c/o|phone|nach|$)", after) is not None), 0, int("," in m[0] or "\n" in m[0]), 0)))
+        line = regex.search(r"\n[ \t>;#*]*$", before) is not None
+        out.append(("address", s, e, (1, int(coded), int(TRIPS.search(before) is not None or line), 0, 0, int("," in m[0] or "\n" in m[0]), 0), "", "", ""))
         taken.append(m.span())
     for kind, pattern, good in (("id_number", ID, PAPERS), ("phone", PHONE, CALLS)):
-        for m in _around(pattern, DIGITS, text, 8, 16):
+        for m in _around(pattern, DIGITS, text, 2, 24):
             s, e = m.span()
             before, after = _near(text, s, e)
-            if not free(s, e) or len(set(filter(str.isdigit, m[0]))) < 2:
+            digits = list(filter(str.isdigit, m[0]))
+            if not free(s, e) or len(set(digits)) < 2:
                 continue
-            ours, other = good.search(before) is not None, (CALLS if kind == "id_number" else PAPERS).search(before) is not None
-            if kind == "phone" and other and not ours and ID.fullmatch(m[0]):
+            shape = dialled(m[0]) if kind == "phone" else 1
+            if shape < 0:
                 continue
+            ours, other = good.search(before) is not None, (CALLS if kind == "id_number" else PAPERS).search(before) is not None
             bad = GOODS.search(before) is not None or (other and not ours)
-            digits = sum(map(str.isdigit, m[0]))
             line = regex.search(r"(?:^|\n)[ \t>;#*-]*$", before) is not None
-            behind = regex.match(r"\W*(?:as asked|please delete|see the scan|fell out|was used|as reference|that is my|a nombre|gracias|à supprimer|bitte löschen|Name|evenings|le soir|abends|por la tarde|before the|since|for the \w+ stems|and say|まで|へお電話|после|tested)", after) is not None
-            out.append((kind, s, e, (1, int(digits >= 9 and not bad), int(ours and not bad), int(behind and not bad), int(line), 0, -1 if bad else 0)))
+            out.append((kind, s, e, (shape, 0, int(ours and not bad), 0, int(line), 0, -int(bad)), "", "", ""))
             taken.append((s, e))
-    seen: dict[tuple[int, int], list[int]] = {}
-
-    def name(s: int, e: int, at: int) -> None:
-        if not free(s, e):
-            return
-        votes = seen.setdefault((s, e), [0] * len(LABELERS))
-        votes[at] = 1
-
-    folded = text.lower()
-    for m in (m for key, link in LINKS if key in folded for m in link.finditer(text)):
-        found = NAME_AT.match(text, m.end()) or ANY_AT.match(text, m.end())
-        steps = 0
-        while found and steps < 2:
-            name(*found.span(), 2)
-            follow = regex.compile(r"\s+and\s+").match(text, found.end()) if "itness" in m[0] else None  # two names in a row
-            found = (NAME_AT.match(text, follow.end()) or ANY_AT.match(text, follow.end())) if follow else None
-            steps += 1
-    for m in (m for key, tail in TAILS if key in folded for m in tail.finditer(text)):
-        piece = text[max(0, m.start() - 64) : m.start()]
-        found = NAME_END.search(piece) or ("," not in m[0] and ANY_END.search(piece) or None)
-        if found:
-            shift = m.start() - len(piece)
-            name(found.start() + shift, found.end() + shift, 3)
-    # every shape of a name, also those that begin inside another one; list, ending and context only vote
-    whole = -1
+    return out + names(text, mails, taken)
+
+
+def names(text: str, mails: list[str], taken: list[tuple[int, int]]) -> list[Span]:
+    """Candidate spans that are written like names: a given name or initial and a surname in either order.
+
+    With capitals any such pair is one; in small letters those with a listed given name, or behind words that
+    state a name.
+    """
+    found: dict[tuple[int, int], bool] = {}
     for m in PAIR.finditer(text, overlapped=True):
-        # a middle initial behind a listed given name begins no name of its own
-        if m.end() == whole and m[0][1] == ".":
-            continue
-        whole = m.end() if _name_parts(m[0])[0] in GIVEN else whole
-        name(*m.span(), 0)
-    for (s, e), votes in sorted(seen.items()):
-        value = text[s:e]
-        words = _low(value).replace(",", " ").replace(".", " ").split()
-        while words and words[0] in DAYS:
-            s += regex.match(r"\S+\s+", text[s:e]).end()
-            value, words = text[s:e], words[1:]
-        if len(words) < 2 or _low(regex.match(r"\P{L}*(\p{L}*)", value)[1]) in STOPS and len(words) < 3:
-            continue
-        if words[0] in STOPS:
-            s += regex.match(r"\S+\s+", value).end()
-            value = text[s:e]
-            if (s, e) in seen or ANY_AT.fullmatch(value) is None:
+        if m[0][1] == ".":
+            # a middle initial begins no name of its own
+            middle = MIDDLE.search(text, max(0, m.start() - 40), m.start())
+            if middle and _low(middle[1]) not in LINKS:
                 continue
+        found[m.span()] = True
+    for m in TRIPLE.finditer(text, overlapped=True):
+        first, second = _low(m[0]).split()[:2]
+        if first in GIVEN and second in GIVEN:
+            found[m.span()] = True
+    for w in WORDS.finditer(text):
+        if _low(w[0]) in GIVEN:
+            for m in (SMALL.match(text, w.start()), TURNED.match(text, 0, w.end())):
+                if m and m.span() not in found and m[0][0].islower() and (_name_parts(m[0])[1] not in GIVEN or "," in m[0]):
+                    found[m.span()] = False
+    for link in STATED.finditer(text):
+        m = SMALL.match(text, link.end())
+        if m and m.span() not in found:
+            found[m.span()] = False
+    out = []
+    for (s, e), cased in sorted(found.items()):
+        if any(s < b and a < e for a, b in taken):
+            continue
+        value, (before, after) = text[s:e], _near(text, s, e)
         given, surname = _name_parts(value)
-        before, after = _near(text, s, e)
-        if NAME_AT.fullmatch(value) is None and given not in GIVEN and not NAME_ENDS.search(surname):
+        first = _low(WORDS.search(value)[0])
+        # a word that announces a person is no part of the name
+        if first in LINKS and first not in GIVEN or any(len(w) > 1 and w.lower() in FUNCTION for w in (WORDS.search(value)[0], WORDS.findall(value)[-1])):
             continue
-        votes[0] = int(ANY_AT.fullmatch(value) is not None and value[:1].isupper())
-        votes[1] = 1 if given in GIVEN else (0 if len(given) == 1 else -1)
-        votes[4] = int(any(surname.split("-")[0] in mail for mail in mails))
-        votes[5] = 1 if NAME_ENDS.search(surname) else -1
-        votes[6] = -1 if (NOT_NAME.search(before) and not votes[2] and not votes[3]) or ACT.match(after) else 0
-        out.append(("name", s, e, tuple(votes)))
+        linked, context = _linked(before)
+        words = context.partition("|")[0].split()
+        quoted = before[-1:] in "\"“«'" and after[:1] in "\"”»'" and before[-1:] != ""
+        work = (bool(words) and not linked and (words[-1] in WORKS or words[-1] == "by" and words[0] in WORKS)) or (quoted and not linked) or ACTS.match(after) is not None or KEY_LINE.search(before) is not None or (words[-1:] == ["the"] and before[-1:] == " ")
+        follow = FOLLOW.match(after)
+        behind = after.startswith(SUFFIXES) or (follow is not None and _low(follow[1]) in BEHIND)
+        beside = any(0 <= a - e <= 12 and not STOP.search(text, e, a) or 0 <= s - b <= 12 and not STOP.search(text, b, s) for a, b in taken)
+        echo = len(surname) > 2 and any(_plain(surname.split("-")[0]) in mail for mail in mails)
+        votes = (int(cased) - 1, int(given in GIVEN), int(linked), int(behind), int(beside), int(echo), -int(work))
+        out.append(("name", s, e, votes, given if len(given) > 1 else "", context, _ahead(after)))
     return out
 
 
-SIZE = 1 << 14
+def _ahead(after: str) -> str:
+    """What follows a span: the next two words, of the second only its kind where it is a number or has a capital."""
+    m = AHEAD.match(after)
+    gap = "".join(sorted(set(MARKS.sub("", m[1]))))[:3]
+    second = m[3] or ""
+    return " ".join(filter(None, [gap, _low(m[2] or ""), "0" if second.isdigit() else "A" if second[:1].isupper() else _low(second)]))
+
 
+def _plain(word: str) -> str:
+    return "".join(ch for ch in word if ch.isascii() and ch.isalnum())
 
-def supported(kind: str, votes: tuple[int, ...]) -> bool:
-    """Whether a name has more for it than its shape: list, context, echo, or an ending behind an initial. Other kinds do."""
-    return kind != "name" or any(v > 0 for v in votes[1:5]) or votes[1] == 0 and votes[5] > 0
+
+SIZE = 1 << 15
+CAPITALS, SMALLS, GROUPS, MARKED = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{Ll}+"), regex.compile(r"\d+"), regex.compile(r"[\p{L}\p{M}]+|[^\s\p{L}\d]")
+NEAR_BEFORE, NEAR_BEHIND = regex.compile(r"\p{Lu}\S*\s$"), regex.compile(r"\s\p{Lu}")
+
+
+def spoken_for(votes: tuple[int, ...]) -> int:
+    """1 where more labelers speak for a span than against it, 0 where only one that counts over all texts does, else -1."""
+    score = 2 * sum(votes[:LOCAL_LABELERS]) + sum(votes[LOCAL_LABELERS:])
+    return (score > 1) - (score < 1)
 
 
 def features(kind: str, value: str, before: str, after: str, votes: tuple[int, ...]) -> list[int]:
     """Hashed features of a span: its votes, shape, endings and the words around it."""
-    shape = regex.sub(r"\p{Lu}+", "A", regex.sub(r"\p{Ll}+", "a", regex.sub(r"\d+", "0", value)))[:24]
-    words = [_low(w) for w in regex.findall(r"\p{L}+|[^\s\p{L}\d]", before)[-3:]]
-    next_words = [_low(w) for w in regex.findall(r"\p{L}+|[^\s\p{L}\d]", after)[:2]]
-    found = [kind, f"{kind}|{shape}", *(f"{kind}|v{k}={v}" for k, v in enumerate(votes)), *(f"{kind}|b={w}" for w in words[-2:]), f"{kind}|bb={' '.join(words)}", *(f"{kind}|n={w}" for w in next_words)]
+    shape = CAPITALS.sub("A", SMALLS.sub("a", value if kind == "name" else GROUPS.sub(lambda m: str(len(m[0])), value)))[:24]
+    words = [_low(w) for w in MARKED.findall(before)[-3:]]
+    next_words = [_low(w) for w in MARKED.findall(after[:24])[:2]]
+    found = [kind, f"{kind}|{shape}", *(f"{kind}|v{k}={v}" for k, v in enumerate(votes)), *(f"{kind}|b={w}" for w in words[-2:]), f"{kind}|bb={' '.join(words[-2:])}", f"{kind}|bbb={' '.join(words)}", *(f"{kind}|n={w}" for w in next_words[:1]), f"{kind}|nn={' '.join(next_words)}"]
     if kind == "name":
         given, surname = _name_parts(value)
-        found += [f"g={given if len(given) > 1 else '.'}", *(f"e{k}={surname[-k:]}" for k in (2, 3, 4, 5)), f"s={surname[:4]}"]
+        found += [f"g={given if len(given) > 1 else '.'}", *(f"e{k}={surname[-k:]}" for k in (2, 3, 4, 5)), f"s={surname[:4]}", f"w={surname}", f"script={ord(surname[0]) // 128 if surname and ord(surname[0]) > 0x24F else 0}"]
+        found += [f"pc={NEAR_BEFORE.search(before) is not None}", f"nc={NEAR_BEHIND.match(after) is not None}"]
     return [zlib.crc32(f.encode()) % SIZE for f in found]
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40, kind: str = "") -> dict[tuple[int, ...], float]:
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
     """Probability that a span with a pattern of votes is real, by expectation-maximisation.
 
-    Labelers are taken as independent given the truth and each has one accuracy over the spans it votes on; an
-    abstention says nothing. Accuracies stay better than a guess, which fixes which side is the real one. The
-    start is a majority of the votes. Accuracies are those among spans with support (see ``supported``), as the many
-    without would make each vote against as sure as they are common; these have a prior of their own.
+    Labelers are taken as independent given the truth. For real and for other spans each labeler has its own shares
+    of votes for, against and none, all of them estimated; silence where a labeler mostly speaks tells something as
+    well. The start is the majority of the votes, which also stays as one more vote that is right nine times in ten:
+    that fixes which side is the real one, and keeps a kind whole whose spans are all real.
     """
     if not patterns:
         return {}
     votes = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
-    ours = np.array([supported(kind, p) for p, _ in patterns])
-    accuracy = np.full(votes.shape[1], 0.75)
-    accuracy[0], accuracy[-1] = 0.6, 0.9
-    q, prior = np.zeros(len(n)), np.full(len(n), 0.5)
+    side = np.array([spoken_for(p) for p, _ in patterns])
+    q, anchor = 0.5 + 0.4 * side, side * np.log(9)
+    cast = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
+    # two votes' worth of belief that labelers are better than a guess
+    belief = np.array([[1.0, 2.0, 0.2], [0.2, 2.0, 1.0]])
     for _ in range(rounds):
-        log = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
-        q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-        # a few votes' worth of belief in the start keeps rare labelers in place
-        right = ((votes > 0) * q[:, None] + (votes < 0) * (1 - q[:, None])) * (n * ours)[:, None]
-        cast = (votes != 0) * (n * ours)[:, None]
-        accuracy = np.clip((right.sum(0) + 15) / (cast.sum(0) + 20), 0.55, 0.98)
-        accuracy[0] = 0.6
-        for group, least in ((ours, 0.1), (~ours, 0.001)):
-            prior[group] = np.clip(((q * n)[group].sum() + 5) / (n[group].sum() + 10), least, 0.9)
+        mass = np.stack([(1 - q) * n, q * n])
+        shares = np.einsum("sp,plv->slv", mass, cast) + belief[:, None, :]
+        shares /= shares.sum(2, keepdims=True)
+        prior = (mass.sum(1) + 1) / (mass.sum() + 2)
+        log = np.log(prior)[:, None] + np.einsum("plv,slv->sp", cast, np.log(shares))
+        q = 1 / (1 + np.exp(-np.clip(log[1] - log[0] + anchor, -30, 30)))
     return {p: float(x) for (p, _), x in zip(patterns, q, strict=True)}
 
 
@@ -356,18 +421,41 @@ def train(rows: list[list[int]], target: np.ndarray, share: np.ndarray, rounds:
 
 
 def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Every candidate span: ``key``, ``kind``, ``start``, ``stop`` (code points), ``value``, ``before``, ``after``, ``votes``."""
+    """Every candidate span: ``key``, ``kind``, ``start``, ``stop`` (code points), ``value``, ``before``, ``after``, ``votes``, ``given``, ``context``, ``ahead``, ``form``."""
     kind = dict(df.dtypes)[key]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, t in zip(batch["_key"], batch["_text"], strict=True):
-                rows += [(k, n, s, e, t[s:e], *_near(t, s, e), list(v)) for n, s, e, v in spans(t)]
-            yield pd.DataFrame(rows, columns=["_key", "kind", "start", "stop", "value", "before", "after", "votes"])
+                rows += [(k, n, s, e, t[s:e], *_near(t, s, e), list(v), g, c, a, "initial" if n == "name" and not g else "") for n, s, e, v, g, c, a in spans(t)]
+            yield pd.DataFrame(rows, columns=["_key", "kind", "start", "stop", "value", "before", "after", "votes", "given", "context", "ahead", "form"])
 
-    held = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 5)
-    return held.mapInPandas(find, f"_key {kind}, kind string, start int, stop int, value string, before string, after string, votes array<int>")
+    held = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    return held.mapInPandas(find, f"_key {kind}, kind string, start int, stop int, value string, before string, after string, votes array<int>, given string, context string, ahead string, form string")
+
+
+def with_corpus_votes(found: DataFrame, often: int = 8) -> DataFrame:
+    """Spans of :func:`candidates` with the three votes that count over all texts.
+
+    The given name's vote follows the share of its spans whose context speaks for them, that of the words before and of the
+    words behind the share of their spans whose given name or mail address does: for where it is three times the share of all names, against
+    where at least ``often`` spans have a quarter of it at most. Only names and contexts with a vote are joined back;
+    the empty ones, of other kinds and of initials, have none.
+    """
+    vote = lambda k: F.element_at("votes", k + 1)
+    named = found.filter("kind = 'name'").select("given", "context", "ahead", ((F.greatest(vote(2), vote(3), vote(5)) > 0) & (vote(6) == 0)).cast("int").alias("_by_context"), ((F.greatest(vote(1), vote(5)) > 0) & (vote(6) == 0)).cast("int").alias("_by_name"))
+    base = named.agg(F.avg("_by_context").alias("c"), F.avg("_by_name").alias("n")).first()
+
+    def voted(by: str, support: str, share: float, name: str) -> DataFrame:
+        counted = named.filter(F.col(by) != "").groupBy(by).agg(F.count("*").alias("_n"), F.sum(support).alias("_k"))
+        rate = F.col("_k") / F.col("_n")
+        votes = F.when((F.col("_k") >= 2) & (rate >= min(3 * share, 0.5)), 1).when((F.col("_n") >= often) & (rate <= share / 4), -1)
+        return counted.select(by, votes.alias(name)).filter(F.col(name).isNotNull())
+
+    held = found.join(voted("given", "_by_context", base["c"] or 0.0, "_given"), "given", "left").join(voted("context", "_by_name", base["n"] or 0.0, "_around"), "context", "left").join(voted("ahead", "_by_name", base["n"] or 0.0, "_ahead"), "ahead", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return held.withColumn("votes", F.concat("votes", F.array(zero("_given"), zero("_around"), zero("_ahead")))).drop("given", "context", "ahead", "_given", "_around", "_ahead")
 
 
 def personal_spans(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 40_000, least: float = 0.5) -> DataFrame:
@@ -375,26 +463,27 @@ def personal_spans(df: DataFrame, key: str = "doc_id", text: str = "text", sampl
 
     Null, empty and blank texts have none. Spans of one kind don't overlap: the more probable wins, then the
     longer, then the earlier. Vote patterns are counted over all spans; ``sample`` bounds the spans of each kind
-    the classifier is fitted on, of those that a labeler speaks for and of the others, those of least hash;
+    the classifier is fitted on, of those that labelers speak for and of the others, those of least hash;
     each stands for its share of all. Every span is decided by it. What reaches the driver is one row for each
-    vote pattern (at most 3^7 of a kind) and the sample.
+    vote pattern (at most 3^10 of a kind) and the sample.
     """
-    found = durable(candidates(df, key, text))
-    counts = found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
-    real = {k: reliabilities(sorted((tuple(r["votes"]), r["n"]) for r in counts if r["kind"] == k), kind=k) for k in KINDS}
+    found = durable(with_corpus_votes(durable(candidates(df, key, text))))
+    counts = found.groupBy("kind", "form", "votes").agg(F.count("*").alias("n")).collect()
+    # initials can't be in the list of given names, so their labelers are another matter
+    real = {(k, form): reliabilities(sorted((tuple(r["votes"]), r["n"]) for r in counts if (r["kind"], r["form"]) == (k, form))) for k in KINDS for form in ("", "initial")}
     rows, target, share = [], [], []
-    vote = lambda k: F.element_at("votes", k + 1)
-    spoken_for = (F.col("kind") != "name") | F.exists(F.slice("votes", 2, 4), lambda v: v > 0) | (vote(1) == 0) & (vote(5) > 0)
+    summed = lambda at, size: F.aggregate(F.slice("votes", at, size), F.lit(0), lambda a, v: a + v)
+    in_favour = 2 * summed(1, LOCAL_LABELERS) + summed(LOCAL_LABELERS + 1, len(LABELERS)) > 0
     for k in KINDS:
         for side in (True, False):
-            total = sum(r["n"] for r in counts if r["kind"] == k and supported(k, tuple(r["votes"])) == side)
+            total = sum(r["n"] for r in counts if r["kind"] == k and (spoken_for(tuple(r["votes"])) >= 0) == side)
             if not total:
                 continue
-            some = found.filter((F.col("kind") == k) & (spoken_for == side)).orderBy(F.xxhash64("value", "before", "after"), "_key", "start").limit(sample).select("value", "before", "after", "votes").collect()
+            some = found.filter((F.col("kind") == k) & (in_favour == side)).orderBy(F.xxhash64("value", "before", "after"), "_key", "start").limit(sample).select("value", "before", "after", "votes", "form").collect()
             for r in some:
                 votes = tuple(r["votes"])
                 rows.append(features(k, r["value"], r["before"], r["after"], votes))
-                target.append(real[k][votes])
+                target.append(real[k, r["form"]][votes])
                 share.append(total / len(some))
     weights = train(rows, np.array(target), np.array(share)) if rows else np.zeros(SIZE)
     shared = found.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
