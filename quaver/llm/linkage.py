@@ -1,13 +1,14 @@
 """Matching entities across two sources without keys, by soft logic.
 
 Rules weigh partial, noisy attributes: similar artist and title speak for a match; year, album, charter and
-genre speak for or against it; two members of one known group of copies have the same partner (transitivity);
-no entity has more than one partner (exclusivity, of folders only: a record may be the partner of several
-entities, as copies outside a known group share one). The rules are hinge losses over match variables in [0, 1],
-a convex problem that alternating directions (ADMM) solve: each variable takes its own small step, then the
-copies of an entity's variables agree on the simplex. Entities share no variable, so that they are solved
-where they lie, many at a time; the evidence of an entity's members is summed before the shuffle. The
-variables' values are the confidences.
+genre speak for or against it; members of one known group of copies have the same partner (transitivity, a hard
+rule: their variables are one, with the sum of their evidence); no entity and no record has more than one partner
+(exclusivity on both sides). The rules are hinge losses over match variables in [0, 1], a convex problem that
+alternating directions (ADMM) solve: each variable takes its own small step, then its copies on the entity's and
+on the record's side agree on the simplexes there. The variables' values are the confidences.
+
+The problem falls into parts that share no variable, the connected components of the pairs; parts of usual size are
+brought together and solved many at a time, larger ones by the same steps as aggregations over the cluster.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaver.llm.acts import without_accents
 from quaver.llm.best_copy import states
 from quaver.llm.lookalike import plain_form
-from quaver.llm.metric import slip_keys, within_one
+from quaver.llm.metric import components, slip_keys, within_one
 from quaver.llm.spellings import parts_of
 from quaver.session import durable
 
@@ -200,21 +201,35 @@ def candidates(left: DataFrame, right: DataFrame, nicknames: DataFrame) -> DataF
     return pairs.select(F.col("lk").alias("folder"), F.col("rk").alias("record_id"), plus.alias("plus"), minus.alias("minus"))
 
 
-def solve(plus: np.ndarray, minus: np.ndarray, start: np.ndarray, rounds: int = 60, rho: float = 1.0) -> np.ndarray:
-    """Match values of many entities at once: minimal sum of plus (1 - x)^2 + minus x^2, each entity's sum at most 1.
+def solve(plus: np.ndarray, minus: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, close: float = 1e-5, rounds: int = 5000, rho: float = 0.5) -> np.ndarray:
+    """Match values: minimal sum of plus (1 - x)^2 + minus x^2, where no number of ``left`` and none of ``right`` has a sum over 1.
 
-    ``start`` has the place where each entity's variables begin. ADMM: the x-step is closed for each variable,
-    the z-step projects each entity on the capped simplex, u gathers the difference.
+    ADMM with a copy of each variable for either side: the x-step is closed for each variable, each copy is
+    projected on its side's capped simplexes, u gathers the differences. It ends when copies and variables agree
+    to ``close``. ``part`` numbers the parts of the problem that share no variable; each is scaled on its own.
     """
-    owner = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(plus))))
-    scale = np.maximum(np.maximum.reduceat(plus + minus, start), 1e-9)[owner] if len(start) else plus
+    if not len(plus):
+        return np.zeros(0)
+    most = np.zeros(part.max() + 1)
+    np.maximum.at(most, part, plus + minus)
+    scale = np.maximum(most, 1e-9)[part]
     a, b = plus / scale, minus / scale
-    z, u = np.zeros(len(plus)), np.zeros(len(plus))
+    sides = [(np.argsort(g, kind="stable"), g) for g in (left, right)]
+    sides = [(order, g[order], np.flatnonzero(np.append(True, np.diff(g[order]) != 0))) for order, g in sides]
+    alone = a / np.maximum(a + b, 1e-9)
+    z, u = [alone.copy(), alone.copy()], [np.zeros(len(a)), np.zeros(len(a))]
     for _ in range(rounds):
-        x = (2 * a + rho * (z - u)) / (2 * a + 2 * b + rho)
-        z = _simplex(x + u, owner, start)
-        u += x - z
-    return z
+        x = (2 * a + rho * (z[0] - u[0] + z[1] - u[1])) / (2 * a + 2 * b + 2 * rho)
+        gap = 0.0
+        for k, (order, group, start) in enumerate(sides):
+            old = z[k]
+            z[k] = np.empty(len(a))
+            z[k][order] = _simplex((x + u[k])[order], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(group)))), start)
+            u[k] += x - z[k]
+            gap = max(gap, np.abs(x - z[k]).max(), rho * np.abs(z[k] - old).max())
+        if gap < close:
+            break
+    return np.clip(x, 0.0, 1.0)
 
 
 def _simplex(v: np.ndarray, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -236,34 +251,91 @@ def _simplex(v: np.ndarray, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.where(over[owner], np.maximum(v - cut[last][owner], 0.0), z)
 
 
+#: Variables of one connected part of the problem that one task solves; larger parts are solved by rounds over the cluster.
+LOCAL = 50_000
+
+
+def match_values(summed: DataFrame, local: int = LOCAL) -> DataFrame:
+    """``_entity``, ``record_id``, ``value`` for every pair with evidence (``plus``, ``minus``).
+
+    Entities and records that are linked by pairs form parts. A part of at most ``local`` pairs is solved where it is
+    brought together, many parts in step; any larger one by the same steps as joins and aggregations, so that no
+    list of a hot song is ever held by one task.
+    """
+    pairs = durable(summed)
+    edges = pairs.select(F.concat(F.lit("e"), "_entity").alias("a"), F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("b"))
+    # what is alone with its partner needs no search for its part
+    degree = pairs.select("*", F.count("*").over(Window.partitionBy("_entity")).alias("_n")).select("*", F.count("*").over(Window.partitionBy("record_id")).alias("_m"))
+    alone = degree.filter("_n = 1 and _m = 1").select("_entity", "record_id", (F.col("plus") / F.greatest(F.col("plus") + F.col("minus"), F.lit(1e-9))).alias("value"))
+    tied = degree.filter("_n > 1 or _m > 1").drop("_n", "_m")
+    parts = components(edges.join(tied.select(F.concat(F.lit("e"), "_entity").alias("a")).distinct(), "a", "left_semi").unionByName(edges.join(tied.select(F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("b")).distinct(), "b", "left_semi")))
+    placed = durable(tied.withColumn("node", F.concat(F.lit("e"), "_entity")).join(parts, "node").drop("node"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("_size"))
+    small = placed.join(sizes.filter(F.col("_size") <= local).select("root"), "root", "left_semi")
+    lists = small.groupBy("root").agg(F.collect_list(F.struct("_entity", "record_id", "plus", "minus")).alias("_all"))
+    key = dict(pairs.dtypes)["record_id"]
+
+    @F.pandas_udf("array<double>")
+    def values(entity: pd.Series, record: pd.Series, plus: pd.Series, minus: pd.Series) -> pd.Series:
+        sizes = [len(p) for p in plus]
+        if not sizes:
+            return pd.Series([], dtype=object)
+        part = np.repeat(np.arange(len(sizes)), sizes)
+        number = lambda c: pd.factorize(pd.Series([(k, x) for k, xs in enumerate(c) for x in xs]))[0]
+        x = solve(np.concatenate(plus.tolist()), np.concatenate(minus.tolist()), number(entity), number(record), part)
+        return pd.Series(np.split(x, np.cumsum(sizes)[:-1]), dtype=object)
+
+    solved = lists.withColumn("_x", values(F.col("_all._entity"), F.col("_all.record_id"), F.col("_all.plus"), F.col("_all.minus")))
+    solved = solved.select(F.explode(F.arrays_zip("_all", "_x")).alias("_z")).select("_z._all._entity", F.col("_z._all.record_id").cast(key).alias("record_id"), F.col("_z._x").alias("value"))
+    large = placed.join(sizes.filter(F.col("_size") > local).select("root"), "root", "left_semi")
+    if not large.isEmpty():
+        solved = solved.unionByName(solve_large(large))
+    return alone.unionByName(solved)
+
+
+def solve_large(pairs: DataFrame, close: float = 1e-3, rounds: int = 1000, rho: float = 0.5) -> DataFrame:
+    """The steps of :func:`solve` as aggregations: ``_entity``, ``record_id``, ``value`` of pairs with their ``root``.
+
+    A side's projection takes one number (``c``) off all its variables; each round makes one Newton step towards it
+    from the last round's, by a sum and a count of the variables above it. No list is made.
+    """
+    scaled = pairs.join(pairs.groupBy("root").agg(F.max(F.col("plus") + F.col("minus")).alias("_s")), "root")
+    a, b = F.col("plus") / F.col("_s"), F.col("minus") / F.col("_s")
+    start, zero = a / F.greatest(a + b, F.lit(1e-9)), F.lit(0.0)
+    sides = ("_entity", "record_id")
+    now = durable(scaled.select(*sides, a.alias("a"), b.alias("b"), *[x.alias(f"{n}{k}") for k in (0, 1) for n, x in (("z", start), ("u", zero), ("c", zero))]))
+    for _ in range(rounds):
+        x = (2 * F.col("a") + rho * (F.col("z0") - F.col("u0") + F.col("z1") - F.col("u1"))) / (2 * F.col("a") + 2 * F.col("b") + 2 * rho)
+        stepped = now.withColumn("x", x)
+        moved, gaps = stepped, []
+        for k, side in enumerate(sides):
+            v, old = F.col("x") + F.col(f"u{k}"), F.col(f"c{k}")
+            above = stepped.groupBy(side).agg(F.sum(F.when(v > old, v)).alias("_t"), F.count_if(v > old).alias("_c"))
+            step = above.select(side, F.when(F.col("_c") > 0, F.greatest((F.col("_t") - 1) / F.col("_c"), zero)).otherwise(zero).alias(f"d{k}"))
+            moved = moved.join(step, side)
+            w = F.greatest(v - F.col(f"d{k}"), zero)
+            gaps += [F.abs(F.col("x") - w), rho * F.abs(w - F.col(f"z{k}")), F.abs(F.col(f"d{k}") - old)]
+            moved = moved.withColumn(f"w{k}", w)
+        moved = moved.withColumn("_gap", F.greatest(*gaps))
+        moved = moved.select(*sides, "a", "b", "x", "_gap", *[c for k in (0, 1) for c in (F.col(f"w{k}").alias(f"z{k}"), (F.col(f"u{k}") + F.col("x") - F.col(f"w{k}")).alias(f"u{k}"), F.col(f"d{k}").alias(f"c{k}"))])
+        now = durable(moved)
+        if now.agg(F.max("_gap")).first()[0] < close:
+            break
+    return now.select(*sides, F.greatest(F.least("x", F.lit(1.0)), zero).alias("value"))
+
+
 def matched(left: DataFrame, right: DataFrame, groups: DataFrame, nicknames: DataFrame, least: float = 0.5) -> DataFrame:
     """``folder``, ``record_id``, ``confidence``: each folder's partner, where one reaches ``least``.
 
     Folders of one group have the same partner. Equal values fall to the smaller record. Rows without an artist
-    or title, and null keys, have no partner; repeated rows of a key are one. Only partners whose evidence is
-    at least half of the entity's best keep a variable: any other has the value 0 or less than ``least`` in the
-    optimum, which is what bounds an entity's list.
+    or title, and null keys, have no partner; repeated rows of a key are one. Every pair with evidence keeps its variable.
     """
     found = candidates(_read(left, "folder"), _read(right, "record_id"), nicknames)
     member = groups.select("folder", F.concat(F.lit("g"), F.col("group_id").cast("string")).alias("_group")).filter("folder is not null and _group is not null").groupBy("folder").agg(F.min("_group").alias("_group"))
     evidence = found.groupBy("folder", "record_id").agg(F.max("plus").alias("plus"), F.max("minus").alias("minus"))
     named = evidence.join(member, "folder", "left").withColumn("_entity", F.coalesce("_group", F.concat(F.lit("f"), "folder")))
     summed = named.groupBy("_entity", "record_id").agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus"))
-    best = summed.groupBy("_entity").agg(F.max(F.col("plus") - F.col("minus") / 2).alias("_best"))
-    summed = summed.join(best, "_entity").filter((F.col("plus") - F.col("minus") / 2) >= F.col("_best") - F.abs(F.col("_best")) / 2)
-    lists = summed.groupBy("_entity").agg(F.array_sort(F.collect_list(F.struct("record_id", "plus", "minus"))).alias("_all"))
-
-    @F.pandas_udf("struct<at:int,value:double>")
-    def decide(plus: pd.Series, minus: pd.Series) -> pd.DataFrame:
-        sizes = np.array([len(p) for p in plus], np.int64)
-        if not len(sizes):
-            return pd.DataFrame({"at": [], "value": []})
-        start = np.append(0, np.cumsum(sizes)[:-1])
-        z = solve(np.concatenate(plus.tolist()), np.concatenate(minus.tolist()), start)
-        at = [int(np.argmax(np.round(z[s : s + n], 6))) for s, n in zip(start, sizes, strict=True)]
-        return pd.DataFrame({"at": at, "value": [float(z[s + k]) for s, k in zip(start, at, strict=True)]})
-
-    chosen = lists.withColumn("_d", decide(F.col("_all.plus"), F.col("_all.minus"))).filter(F.col("_d.value") >= least)
-    chosen = chosen.select("_entity", F.expr("_all[_d.at].record_id").alias("record_id"), F.round("_d.value", 4).alias("confidence"))
+    best = match_values(summed).groupBy("_entity").agg(F.max_by("record_id", F.struct(F.round("value", 4), -F.col("record_id"))).alias("record_id"), F.round(F.max("value"), 4).alias("confidence"))
+    chosen = best.filter(F.col("confidence") >= least)
     folders = left.select("folder").filter("folder is not null").distinct().join(member, "folder", "left")
     return folders.withColumn("_entity", F.coalesce("_group", F.concat(F.lit("f"), "folder"))).join(chosen, "_entity").select("folder", "record_id", "confidence")

@@ -146,20 +146,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps, which keep the number of edges and halve long chains;
     the edges of each round are kept in the checkpoint folder and none of them reach the driver.
     """
+    same = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = same(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # both stars see a node's neighbours in one place: its least one goes to each of them, and lists are never made
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("_m"))
-        small = down.join(least, "a")
-        new = small.select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(small.select("a", F.col("_m").alias("b"))).filter("a <> b").distinct()
-        new = durable(new)
-        same = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if same(new) == same(now):
+        small = down.join(down.groupBy("a").agg(F.min("b").alias("_m")), "a")
+        now = durable(small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("_m").alias("b")), F.struct("a", F.col("_m").alias("b")))).alias("_e")).select("_e.*").filter("a <> b").distinct())
+        last, mark = mark, same(now)
+        if mark == last:
             break
-        now = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
