@@ -1,16 +1,23 @@
 """Radius joins of short texts in metric space, and connected components of their links.
 
-The metric is the Damerau-Levenshtein distance (insertions, deletions, substitutions, swaps of neighbours,
-without the restriction that breaks the triangle inequality). Names are assigned to the nearest of a few
-pivots; a name is also put into each cell whose pivot is at most two radii farther than its nearest, as the
-triangle inequality lets no partner of a cell's own names be farther. Inside a cell the join is exact.
+The metric is the Damerau-Levenshtein distance (insertions, deletions, substitutions, swaps of neighbours). The
+pivots are runs of one letter, one for each letter there is, longer than any text: the distance of a text to such a
+pivot is the run's length less the number of times that the text has the letter, so that all these distances are
+read off a text without computing one. By the triangle inequality texts at distance 1 differ by at most 1 in any of
+them, and no slip changes more than two: a substitution moves two letters' counts, an insertion or deletion one, a swap none.
+
+Pivots fall into four groups, and a cell of the metric space is a set of texts with equal distances to all pivots of
+two groups. A text lies in six cells, one for each two groups; as one slip touches two groups at most, texts at
+distance 1 share a cell, and no cell's border has to be crossed. Inside a cell the join is exact; a cell of many
+texts is split by forms that two of its texts at distance 1 can't both miss.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import combinations
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,49 +25,6 @@ from quaver.llm.acts import one_slip
 from quaver.session import durable
 
 
-def distances(texts: list[str], pivot: str) -> np.ndarray:
-    """Damerau-Levenshtein distances of many texts to one pivot, all texts in step."""
-    n, m = len(texts), len(pivot)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    longest = int(lengths.max()) if n else 0
-    x = np.zeros((longest, n), np.int32)
-    for k, t in enumerate(texts):
-        x[: len(t), k] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-    far = np.int16(longest + m + 1)
-    h = np.full((longest + 2, m + 2, n), far, np.int16)
-    h[1:, 1] = np.arange(longest + 1, dtype=np.int16)[:, None]
-    h[1, 1:] = np.arange(m + 1, dtype=np.int16)[:, None]
-    every = np.arange(n)
-    seen = {c: np.zeros(n, np.int64) for c in map(ord, pivot)}
-    for i in range(1, longest + 1):
-        last = np.zeros(n, np.int64)
-        equal = {c: x[i - 1] == c for c in seen}
-        for j, c in enumerate(map(ord, pivot), 1):
-            k, here = seen[c], equal[c]
-            swap = h[k, last, every] + (i - k) + (j - last) - 1
-            best = np.minimum(h[i, j] + ~here, np.minimum(h[i + 1, j], h[i, j + 1]) + 1)
-            h[i + 1, j + 1] = np.minimum(best, swap)
-            last = np.where(here, j, last)
-        for c, here in equal.items():
-            seen[c] = np.where(here, i, seen[c])
-    return h[lengths + 1, m + 1, every].astype(np.int64)
-
-
-def cells(text: Column, pivots: list[str], radius: int = 1) -> Column:
-    """Struct of a text's ``home`` cell and of all ``cells`` that its partners may call home."""
-
-    @F.pandas_udf("struct<home:int,cells:array<int>>")
-    def assign(column: pd.Series) -> pd.DataFrame:
-        texts = column.tolist()
-        if not texts:
-            return pd.DataFrame({"home": [], "cells": []})
-        d = np.concatenate([np.stack([distances(texts[k : k + 4096], p) for p in pivots], 1) for k in range(0, len(texts), 4096)])
-        near = d <= d.min(axis=1)[:, None] + 2 * radius
-        return pd.DataFrame({"home": d.argmin(axis=1), "cells": [np.flatnonzero(r).tolist() for r in near]})
-
-    return assign(text)
-
-
 def within_one(a: Column, b: Column) -> Column:
     """Whether the Damerau-Levenshtein distance is 1 at most."""
     close = F.levenshtein(a, b, 2)
@@ -99,45 +63,37 @@ def slip_keys(text: Column, own: bool, longest: int = 96) -> Column:
     return F.array_distinct(F.concat(F.when(n <= longest, forms).otherwise(none), F.when(n >= longest, thirds).otherwise(none)))
 
 
-def long_pairs(rows: DataFrame, within: list[str], longest: int) -> DataFrame:
-    """Pairs ``_a`` < ``_b`` at distance 1 of texts ``_t`` of which one is longer than ``longest``.
+#: Groups of pivots, and the groups that one cell looks at.
+GROUPS = 4
+LOOKED_AT = tuple(combinations(range(GROUPS), 2))
 
-    One slip touches two neighbouring thirds of a text at most, so that one third stands in the other text where
-    it was, moved by at most one: a few keys a text, however long it is.
-    """
-    n = F.length("_t")
-    own = rows.filter(n > longest).select(*within, F.col("_t").alias("_x"), F.explode(F.array(*_thirds(F.col("_t"), n))).alias("_form"))
-    other = F.array_distinct(F.concat(*[F.array(*_thirds(F.col("_t"), n + more)) for more in (-1, 0, 1)]))
-    near = rows.filter(n >= longest).select(*within, F.col("_t").alias("_y"), F.explode(other).alias("_form"))
-    met = own.join(near, [*within, "_form"]).filter("_x <> _y and abs(length(_x) - length(_y)) <= 1")
-    pairs = met.select(*within, F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
-    return pairs.filter(one_slip_of("_a", "_b"))
+
+def cells(text: Column, *within: Column) -> Column:
+    """The six cells of a text: hashes of its letters in two groups of pivots, in order of letters, and of ``within``."""
+    letters = F.array_sort(F.split(text, ""))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(GROUPS))
+    key = lambda two: F.xxhash64(F.lit(f"{two}"), *within, F.array_join(F.filter(letters, lambda c: of(c).isin(*two)), ""))
+    return F.array_distinct(F.array(*[key(two) for two in LOOKED_AT]))
 
 
-def radius_pairs(names: DataFrame, text: str, within: list[str], pivots: int = 16, longest: int = 96) -> DataFrame:
+def radius_pairs(names: DataFrame, text: str, within: list[str], crowd: int = 64, longest: int = 96) -> DataFrame:
     """Pairs of different rows with equal ``within`` columns and texts at a distance of 1: ``text_a`` < ``text_b``.
 
-    ``names`` has one row for each text and ``within``. The pivots are names of least hash, a sample of the
-    bounded, documented size ``pivots`` that only shapes the cells; every name is joined. Inside a cell texts
-    meet over their forms with at most one character taken out, which no pair at distance 1 can miss, and the
-    metric then decides. Texts longer than ``longest`` meet over their thirds instead, which is exact too and
-    doesn't grow with the square of the length. Nothing is collected but the pivots.
+    ``names`` has one row for each text and ``within``. All pairs of a cell of at most ``crowd`` texts are compared;
+    the texts of a larger one meet over their forms with at most one character taken out (of texts longer than
+    ``longest`` over their thirds, see :func:`slip_keys`), so that no cell is compared as a whole however many
+    texts share it. The metric then decides. Nothing is collected.
     """
-    every = names.select(*within, F.col(text).alias("_t"))
-    rows = every.filter(F.length("_t") <= longest)
-    chosen = [r[0] for r in rows.select("_t").distinct().orderBy(F.xxhash64("_t"), "_t").limit(pivots).collect()]
-    if not chosen:
-        return long_pairs(every, within, longest).select(*within, F.col("_a").alias(f"{text}_a"), F.col("_b").alias(f"{text}_b"))
-    placed = rows.withColumn("_cell", cells(F.col("_t"), chosen)).select("*", "_cell.home", "_cell.cells").drop("_cell")
-    placed = durable(placed)
-    shorter = F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.concat(F.substr(F.col("_t"), F.lit(1), i - 1), F.substr(F.col("_t"), i + 1)))
-    forms = F.explode(F.array_distinct(F.transform(F.concat(F.array("_t"), shorter), lambda s: F.xxhash64(s))))
-    own = placed.select(*within, F.col("_t").alias("_x"), F.col("home").alias("_at"), forms.alias("_form"))
-    near = placed.select(*within, "_t", F.explode("cells").alias("_at")).select(*within, F.col("_t").alias("_y"), "_at", forms.alias("_form"))
-    met = own.join(near, [*within, "_at", "_form"]).filter("_x <> _y")
-    pairs = met.select(*within, F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
-    both = pairs.filter(within_one(F.col("_a"), F.col("_b"))).unionByName(long_pairs(every, within, longest))
-    return both.select(*within, F.col("_a").alias(f"{text}_a"), F.col("_b").alias(f"{text}_b"))
+    rows = names.select(*within, F.col(text).alias("_t"))
+    placed = rows.select("*", F.explode(cells(F.col("_t"), *[F.col(w) for w in within])).alias("_cell"))
+    held = durable(placed.withColumn("_n", F.count("*").over(Window.partitionBy("_cell"))).filter("_n > 1"))
+    whole = F.array(F.lit(0).cast("long"))
+    side = lambda t, own: held.select(*within, F.col("_t").alias(t), "_cell", F.explode(F.when(F.col("_n") <= crowd, whole).otherwise(slip_keys(F.col("_t"), own, longest))).alias("_form"))
+    met = side("_a", True).join(side("_b", False), [*within, "_cell", "_form"])
+    # the shape of a pair is looked at before its metric; a pair may come from several cells
+    near = met.filter("_a <> _b and abs(length(_a) - length(_b)) <= 1").select(*within, F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    close = near.filter(F.when(F.greatest(F.length("_a"), F.length("_b")) <= longest, within_one(F.col("_a"), F.col("_b"))).otherwise(one_slip_of("_a", "_b")))
+    return close.select(*within, F.col("_a").alias(f"{text}_a"), F.col("_b").alias(f"{text}_b"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -20,8 +20,9 @@ from quaver.session import durable
 
 PARTS = T.StructType([T.StructField(c, T.IntegerType() if c == "words" else T.StringType()) for c in Act._fields])
 
-#: Letters that a name must have before a slip of one letter is taken for the same name.
-SHORTEST = 8
+#: Letters that the longer of two names must have before two neighbours in the wrong order, or any slip of one letter, are taken for the same name:
+#: of names as short as these a letter more or less, or another, is most often another act.
+SWAPPED, SHORTEST = 4, 6
 
 
 @F.pandas_udf(PARTS)
@@ -56,7 +57,7 @@ def acts_only(df: DataFrame, key: str, artist: str, title: str) -> DataFrame:
     rows = rows.select("_key", "_artist", "_title", F.array_distinct(words(F.col("_fa"))).alias("_wa"), F.array_distinct(words(F.col("_ft"))).alias("_wt"))
     rows = rows.withColumn("_wt", F.coalesce("_wt", F.array().cast("array<string>")))
     side = lambda c, s: F.transform(F.col(c), lambda w: F.struct(w.alias("word"), F.lit(s).alias("side")))
-    rows = durable(rows.withColumn("_row", F.xxhash64("_key", "_artist", "_title")))
+    rows = durable(rows.withColumn("_row", F.unhex(F.md5(F.concat_ws("\u001f", F.coalesce(F.col("_key").cast("string"), F.lit("")), "_artist", F.coalesce("_title", F.lit("\u001e")))))))
     seen = rows.select("_row", F.explode(F.concat(side("_wa", 1), side("_wt", -1))).alias("_x")).select("_row", "_x.word", "_x.side")
     counts = seen.groupBy("word").agg(F.sum(F.when(F.col("side") > 0, 1).otherwise(0)).alias("_a"), F.sum(F.when(F.col("side") < 0, 1).otherwise(0)).alias("_t"))
     # a row's own word counts half for either side, so that a word seen once says nothing
@@ -96,11 +97,13 @@ def spelling_classes(names: DataFrame, name: str, nicknames: DataFrame, rows: st
     # slips: one letter, between names whose given names aren't two different ones of the reference list
     formal_core = F.when(F.col("_full").isNotNull() & ~F.col("_known").eqNullSafe(True), F.concat("_full", "surname"))
     cores = read.filter(~F.col("_initial")).select("kind", F.explode(F.array_compact(F.array("core", formal_core))).alias("core"), "given", "_known")
-    full = cores.filter(F.length("core") >= SHORTEST).groupBy("kind", "core").agg(F.min(F.when(F.col("_known"), F.col("given"))).alias("_given"))
+    full = cores.filter(F.length("core") >= SWAPPED).groupBy("kind", "core").agg(F.min(F.when(F.col("_known"), F.col("given"))).alias("_given"))
     close = radius_pairs(full.select("kind", "core"), "core", ["kind"])
     side = lambda s: full.select("kind", F.col("core").alias(f"core_{s}"), F.col("_given").alias(f"_g{s}"))
     close = close.join(side("a"), ["kind", "core_a"]).join(side("b"), ["kind", "core_b"])
-    close = close.filter("not coalesce(_ga <> _gb, false)")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    sure = (F.greatest(F.length("core_a"), F.length("core_b")) >= SHORTEST) | (letters("core_a") == letters("core_b"))
+    close = close.filter("not coalesce(_ga <> _gb, false)").filter(sure)
     slips = close.select(tag("kind", "core_a").alias("a"), tag("kind", "core_b").alias("b"))
     found = components(shared.unionByName(slips).filter("a <> b"))
     placed = read.join(found.withColumnRenamed("node", "_core"), "_core", "left").withColumn("root", F.coalesce("root", "_core"))

@@ -7,6 +7,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quaver.llm import metric
 from quaver.llm import queries as own
 from tests.oracle import connection, rows
@@ -35,11 +37,28 @@ def damerau(a: str, b: str) -> int:
     return d[len(a), len(b)]
 
 
-def test_distances():
+def test_distances_to_pivots():
+    """The distance to a long run of one letter is its length less the letter's count; a slip moves two of them at most, by one."""
     r = random.Random(0)
-    texts = ["".join(r.choice("abc") for _ in range(r.randint(0, 8))) for _ in range(200)]
-    for pivot in texts[:15]:
-        assert metric.distances(texts, pivot).tolist() == [damerau(t, pivot) for t in texts]
+    texts = ["".join(r.choice("abc") for _ in range(r.randint(0, 6))) for _ in range(60)]
+    for c in "abc":
+        assert all(damerau(t, c * 12) == 12 - t.count(c) for t in texts)
+    for a in texts:
+        for b in texts:
+            if damerau(a, b) == 1:
+                moved = [abs(a.count(c) - b.count(c)) for c in "abc"]
+                assert max(moved) <= 1 and sum(moved) <= 2
+
+
+def test_texts_at_distance_one_share_a_cell(spark):
+    r = random.Random(2)
+    pairs = []
+    for _ in range(400):
+        a = "".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(1, 12)))
+        k = r.randrange(len(a))
+        pairs += [(a, a[:k] + a[k + 1 :]), (a, a[:k] + "é" + a[k + 1 :]), (a, a[:k] + "z" + a[k:]), (a, a[:k] + a[k : k + 2][::-1] + a[k + 2 :])]
+    df = spark.createDataFrame(pairs, "a string, b string").select(F.size(F.array_intersect(metric.cells(F.col("a")), metric.cells(F.col("b")))).alias("n"))
+    assert df.filter("n = 0").count() == 0
 
 
 def test_radius_pairs(spark):
@@ -50,11 +69,13 @@ def test_radius_pairs(spark):
         k = r.randrange(7)
         texts |= {t[:k] + t[k + 1 :], t[:k] + t[k + 1] + t[k] + t[k + 2 :], t[:k] + "z" + t[k + 1 :]}
     df = spark.createDataFrame([(t, "k") for t in sorted(texts)], "name string, kind string")
-    got = {(x["name_a"], x["name_b"]) for x in metric.radius_pairs(df, "name", ["kind"], pivots=5).collect()}
+    got = {(x["name_a"], x["name_b"]) for x in metric.radius_pairs(df, "name", ["kind"]).collect()}
     assert got == {(a, b) for a in texts for b in texts if a < b and damerau(a, b) == 1}
     assert metric.radius_pairs(df.limit(0), "name", ["kind"]).count() == 0
     mixed = {(x["name_a"], x["name_b"]) for x in metric.radius_pairs(df, "name", ["kind"], longest=7).collect()}
     assert mixed == got
+    split = {(x["name_a"], x["name_b"]) for x in metric.radius_pairs(df, "name", ["kind"], crowd=1).collect()}
+    assert split == got
 
 
 def test_components(spark):
