@@ -65,6 +65,50 @@ def acquisition(df: DataFrame) -> DataFrame:
     return df.withColumn("step", step)
 
 
+def offset_after(df: DataFrame) -> DataFrame:
+    """The offset that goes with the URL a download used: a measured one only if that URL is the one it was measured on.
+
+    ``used_id``, ``measured_id``, ``measured_ms``, ``pooled_id`` and ``pooled_ms`` say what is known; ``offset_ms`` and ``source`` come
+    out, a guess where neither fits. A still picture (``verdict`` static) takes the song's video away: ``outcome``.
+    """
+    of = lambda name: F.coalesce((F.col(f"{name}_id") == F.col("used_id")) & F.col(f"{name}_ms").isNotNull(), F.lit(False))
+    source = F.when(of("measured"), "measured").when(of("pooled"), "community").otherwise("guess")
+    ms = F.when(of("measured"), F.col("measured_ms")).when(of("pooled"), F.col("pooled_ms")).otherwise(-3000)
+    outcome = F.when(F.col("used_id").isNull(), "none").when(F.col("verdict") == "static", "still_picture").otherwise("video")
+    return df.withColumn("source", source).withColumn("offset_ms", ms).withColumn("outcome", outcome)
+
+
+def resynced(df: DataFrame) -> DataFrame:
+    """What a new synchronisation does for each song: ``action`` and the ``new_ms`` that it writes, null where it leaves the timing.
+
+    Nothing where it isn't ready or the song has only a picture; an offset set by hand is left alone. Then the local video's
+    own sound is tried, if it has any, then the known source; a search only reports whether another upload would fit.
+    """
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    action = (
+        F.when(~true("ready") | true("converted"), "none")
+        .when(F.col("stored") == "manual", "skipped")
+        .when(true("has_sound") & F.col("local_ms").isNotNull(), "from_local")
+        .when(F.col("source_id").isNotNull() & F.col("source_ms").isNotNull(), "from_source")
+        .when(true("other_fits"), "mismatch_reported")
+        .otherwise("unchanged")
+    )
+    return df.withColumn("action", action).withColumn("new_ms", F.when(action == "from_local", F.col("local_ms")).when(action == "from_source", F.col("source_ms")))
+
+
+def dumped(df: DataFrame) -> DataFrame:
+    """What throwing away a song's video does: ``status``, the ``rejected`` list after it, and the files that go (``removes``).
+
+    The source is rejected before anything is removed. A song without video or picture mark has nothing to dump; settings that
+    can't be written to leave all as it was (failed). A source that isn't known can't be rejected.
+    """
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    status = F.when(~true("has_video") & ~true("converted"), "nothing_to_dump").when(~true("writable"), "failed").otherwise("dumped")
+    listed = F.when((status == "dumped") & F.col("source_id").isNotNull(), rejected_with(F.col("rejected"), F.col("source_id"))).otherwise(F.coalesce("rejected", F.lit("")))
+    removes = F.array_join(F.array_compact(F.array(F.when(true("has_video"), "video.mp4"), F.when(true("converted") & true("has_art"), "album.png"))), ",")
+    return df.withColumn("status", status).withColumn("rejected", listed).withColumn("removes", F.when(status == "dumped", removes).otherwise(""))
+
+
 def used_titles(used: DataFrame, candidates: DataFrame) -> DataFrame:
     """``used`` with the title of its URL in the first place of the candidate list; ``-`` where it isn't listed."""
     first = candidates.groupBy("song_id", "video_id").agg(F.min_by("title", "idx").alias("title"))

@@ -22,10 +22,28 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 
 def song_fields(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the quoted or bare Name, Artist and Charter of the chart's first section."""
-    for field in ("Name", "Artist", "Charter"):
-        found = F.regexp_extract(text, rf'(?m)^[ \t]*{field}[ \t]*=[ \t]*"?([^"\r\n]*?)"?[ \t\r]*$', 1)
-        df = df.withColumn(f"chart_{field.lower()}", F.nullif(found, F.lit("")))
+    """``df`` with the quoted name, artist and charter of a chart: the first line of each anywhere in the text, in any case.
+
+    A field that no line states is null, one stated as ``""`` is empty.
+    """
+    for field in ("name", "artist", "charter"):
+        found = F.regexp_extract_all(text, F.lit(rf'(?im)^\s*{field}\s*=\s*"([^"]*)"'), F.lit(1))
+        df = df.withColumn(f"chart_{field}", F.try_element_at(found, F.lit(1)))
+    return df
+
+
+def song_block(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``block_artist`` and ``block_title`` of the first [Song] block, quoted or bare; of repeated lines the last counts.
+
+    The block ends where a line begins with a bracket. Blank values are null; a text without the block has neither.
+    """
+    body = F.regexp_extract(text, r"(?is)\[Song\](.*?)(?:\n\s*\[|\z)", 1)
+    for field, name in (("artist", "block_artist"), ("name", "block_title")):
+        said = F.regexp_extract_all(body, F.lit(rf"(?im)^[^\S\n]*{field}[^\S\n]*=([^\r\n]*)"), F.lit(1))
+        # blanks, then quotes, then blanks again
+        value = F.regexp_replace(F.try_element_at(said, F.lit(-1)), r'^\s+|\s+$', "")
+        value = F.regexp_replace(F.regexp_replace(value, r'^"+|"+$', ""), r"^\s+|\s+$", "")
+        df = df.withColumn(name, F.nullif(value, F.lit("")))
     return df
 
 

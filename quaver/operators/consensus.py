@@ -31,20 +31,30 @@ def current_votes(votes: DataFrame) -> DataFrame:
 
 
 def tallies(votes: DataFrame) -> DataFrame:
-    """For each chart and video the number of different sources and the median start over all votes.
+    """For each chart and video the number of different sources, the median start over all votes, and the last vote's ``last_seq``.
 
     The median of an even number of votes is cut towards zero.
     """
-    return current_votes(votes).groupBy("chart_hash", "video_id").agg(F.countDistinct("source").alias("sources"), F.expr("cast(median(start_ms) as bigint)").alias("start_ms"))
+    counted = current_votes(votes).groupBy("chart_hash", "video_id")
+    return counted.agg(F.countDistinct("source").alias("sources"), F.expr("cast(median(start_ms) as bigint)").alias("start_ms"), F.max("seq").alias("last_seq"))
 
 
 def with_status(counts: DataFrame, mappings: DataFrame, quorum: int = QUORUM) -> DataFrame:
-    """Tallies with the status that they lead to: a locked row keeps its own, a locked approved sibling blocks others."""
+    """Tallies with the status that they lead to: a locked row keeps its own, a locked approved sibling blocks others.
+
+    One video of a chart at most is approved by votes: each vote makes its video's status anew, and a video that is
+    approved sends the others back to pending, so that of those with a quorum the one voted for last stays.
+    """
     held = latest_rows(mappings, ["chart_hash", "video_id"], ["last_seen", "votes", "status", "locked"]).select("chart_hash", "video_id", F.col("status").alias("_was"), F.coalesce("locked", F.lit(0)).alias("locked"))
     locks = held.filter("locked = 1 and _was = 'approved'").groupBy("chart_hash").agg(F.count("*").alias("_n"), F.min("video_id").alias("_v"))
     both = counts.join(held, ["chart_hash", "video_id"], "left").join(locks, "chart_hash", "left")
     sibling = (F.col("_n") > 1) | (F.col("_v") != F.col("video_id"))
-    status = F.when(F.col("locked") == 1, F.col("_was")).when((F.col("sources") >= quorum) & ~F.coalesce(sibling, F.lit(False)), "approved").otherwise("pending")
+    both = both.withColumn("_may", (F.coalesce("locked", F.lit(0)) != 1) & (F.col("sources") >= quorum) & ~F.coalesce(sibling, F.lit(False)))
+    # one row for each video by now, so that a hot chart is small
+    last = both.filter("_may").groupBy("chart_hash").agg(F.max_by("video_id", F.struct(F.col("last_seq").isNotNull(), F.col("last_seq"), F.col("video_id"))).alias("_last"))
+    both = both.join(last, "chart_hash", "left")
+    stays = F.col("_may") & (F.col("video_id") == F.col("_last"))
+    status = F.when(F.col("locked") == 1, F.col("_was")).when(stays, "approved").otherwise("pending")
     return both.select("chart_hash", "video_id", "sources", "start_ms", status.alias("status"), F.coalesce("locked", F.lit(0)).alias("locked"))
 
 

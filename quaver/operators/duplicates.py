@@ -43,7 +43,7 @@ def name_keys(folders: DataFrame, ord: str, name: str) -> DataFrame:
     return keys.withColumn("bucket", F.floor(F.length("title") / WIDTH).cast("int"))
 
 
-def _may_reach(a: str, b: str, least: float) -> Column:
+def may_reach(a: str, b: str, least: float) -> Column:
     """Whether two texts can reach a similarity at all, by their lengths: an exact upper bound."""
     la, lb = F.length(a), F.length(b)
     return (la + lb == 0) | (200.0 * F.least(la, lb) >= least * (la + lb))
@@ -91,7 +91,7 @@ def similar_texts(df: DataFrame, text: str, least: float) -> DataFrame:
     texts = df.select(F.col(text).alias("t")).filter("t is not null").distinct()
     own = texts.select(F.col("t").alias("a"), F.explode(keys(_own_keys)("t")).alias("_k"))
     other = texts.select(F.col("t").alias("b"), F.explode(keys(_other_keys)("t")).alias("_k"))
-    met = own.join(other, "_k").filter((F.col("a") != F.col("b")) & _may_reach("a", "b", least)).select("a", "b").distinct()
+    met = own.join(other, "_k").filter((F.col("a") != F.col("b")) & may_reach("a", "b", least)).select("a", "b").distinct()
     rated = met.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
     return rated.unionByName(texts.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(100.0).alias("ratio")))
 
@@ -113,7 +113,7 @@ def blocked_pairs(keys: DataFrame, exact_bound: bool = False) -> DataFrame:
     left = keys.select(F.col("ord").alias("i"), "_tag", F.col("artist").alias("a"), F.col("title").alias("t1"), F.explode(near).alias("_b")).join(acts, "a")
     right = keys.select(F.col("ord").alias("j"), "_tag", F.col("artist").alias("b"), F.col("title").alias("t2"), F.col("bucket").alias("_b"))
     met = left.join(right, ["b", "_tag", "_b"]).filter("i < j")
-    return met.filter(_may_reach("t1", "t2", TITLE_LEAST)).select("i", "j", "_tag", "t1", "t2", "artist_ratio")
+    return met.filter(may_reach("t1", "t2", TITLE_LEAST)).select("i", "j", "_tag", "t1", "t2", "artist_ratio")
 
 
 def similar_pairs(keys: DataFrame, exact_bound: bool = False) -> DataFrame:
@@ -186,6 +186,31 @@ def confirmed(members: DataFrame, prints: DataFrame, least: float = 0.95) -> Dat
     return both.withColumn("similarity", share).filter(F.col("similarity") >= least).select("leader", "member", "similarity")
 
 
+def report(copies: DataFrame, prints: DataFrame, least: float = 0.95) -> DataFrame:
+    """One row for each copy of a candidate group: ``group_id``, ``folder``, ``action``, ``score``, ``keeper``, ``borrow``.
+
+    ``copies`` has ``group_id``, ``ord``, ``folder``, ``score``, ``eligible`` and ``has``; ``prints`` has ``folder`` and
+    ``bits``. A copy is confirmed by its print; groups with fewer than two confirmed copies stay as they are
+    (``not_confirmed``), as do those of which no confirmed copy is eligible (``none_eligible``). In the others the best copy
+    is the ``keeper``, other confirmed ones go (``move``), with what the keeper could borrow from them.
+    """
+    held = copies.join(prints, "folder").select(F.col("group_id").alias("leader"), F.struct("ord", "folder").alias("member"), "bits")
+    same = confirmed(held.select("leader", "member"), held.select("member", "bits"), least)
+    several = same.groupBy("leader").agg(F.count("*").alias("_n")).filter("_n > 1").select("leader")
+    sure = same.join(several, "leader", "left_semi").select(F.col("leader").alias("group_id"), F.col("member.folder").alias("folder"), F.lit(True).alias("_sure"))
+    taking_part = copies.join(sure, ["group_id", "folder"])
+    kept = keepers(taking_part)
+    rows = copies.select("group_id", "folder", "score").join(sure, ["group_id", "folder"], "left").join(kept.select("group_id", "keeper"), "group_id", "left")
+    rows = rows.join(borrowable(taking_part, kept), ["group_id", "folder"], "left")
+    action = (
+        F.when(F.col("_sure").isNull(), "not_confirmed")
+        .when(F.col("keeper").isNull(), "none_eligible")
+        .when(F.col("keeper") == F.col("folder"), "keeper")
+        .otherwise("move")
+    )
+    return rows.select("group_id", "folder", action.alias("action"), "score", F.when(F.col("_sure"), F.col("keeper")).alias("keeper"), F.coalesce("borrow", F.lit("")).alias("borrow"))
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by an order."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")

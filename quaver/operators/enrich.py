@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.functions.text import blank, normalize_lookup, safe_value, strip_title_noise
-from quaver.operators.duplicates import ratio
+from quaver.operators import charts
+from quaver.operators.duplicates import may_reach, ratio
 
 FIELDS = ("year", "genre", "charter", "album")
+MATCHED = ("name", "artist", "album", "genre", "year", "charter")
+FLAGS = ("has_lyrics", "has_solos", "has_open_notes", "has_2x_kick", "has_roll_lanes")
+
+
+def stamp(at: Column) -> Column:
+    """A time as an ISO stamp in UTC, to the second."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.to_timestamp(at), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
 
 
 def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -25,18 +33,66 @@ def with_scores(rows: DataFrame, scores: DataFrame, key: str) -> DataFrame:
 def records_by_name(folders: DataFrame, records: DataFrame, least: float = 70.0) -> DataFrame:
     """The most similar record of each folder: ``folder``, ``record_id``, ``confidence``.
 
-    Folders and records meet over the normalised title without notes and are compared by artist and name; the
-    confidence is the lesser similarity. The smaller id wins among equals.
+    Folders and records meet over the normalised title without notes, over a word of the artist, its beginning or its end with a
+    word of the title, and over a word of the artist with the beginning of the title; they are compared by artist and name.
+    The confidence is the lesser similarity. The smaller id wins among equals.
     """
     key = lambda c: normalize_lookup(strip_title_noise(F.col(c)))
-    left = folders.select("folder", F.col("artist").alias("a1"), F.col("name").alias("n1"), key("name").alias("_k")).filter("_k <> ''")
-    right = records.select("record_id", F.col("artist").alias("a2"), F.col("name").alias("n2"), key("name").alias("_k"))
-    met = left.join(right, "_k")
-    same = lambda a, b: ratio(normalize_lookup(F.col(a)), normalize_lookup(F.col(b)))
-    rated = met.withColumn("confidence", F.least(same("a1", "a2"), same("n1", "n2"))).filter(F.col("confidence") >= least)
+    act = normalize_lookup(F.col("artist"))
+    word = lambda text: F.filter(F.split(text, " "), lambda w: F.length(w) >= 3)
+    at = lambda place, text: F.concat(F.lit(place), text)
+    words = word(normalize_lookup(F.col("name")))
+    with_each = lambda place, part: F.transform(words, lambda w: F.concat(F.lit(place), part, F.lit("|"), w))
+    crossed = F.flatten(F.transform(word(act), lambda part: F.transform(words, lambda w: F.concat(F.lit("w|"), part, F.lit("|"), w))))
+    keys = F.array_distinct(F.concat(F.filter(F.array(at("t|", key("name"))), lambda k: k != "t|"), with_each("b|", F.substring(act, 1, 3)), with_each("e|", F.substring(act, -3, 3)), crossed, F.transform(word(act), lambda part: F.concat(F.lit("f|"), part, F.lit("|"), F.substring(normalize_lookup(F.col("name")), 1, 4)))))
+    stated = lambda d: d.filter("artist is not null and name is not null")
+    # texts are compared once, however many rows hold them
+    texts = lambda d, n: stated(d).select("artist", "name").distinct().select(F.col("artist").alias(f"a{n}"), F.col("name").alias(f"n{n}"), F.explode(keys).alias("_k"))
+    met = texts(folders, 1).join(texts(records, 2), "_k").select("a1", "n1", "a2", "n2").distinct()
+    plain = lambda c: normalize_lookup(F.col(c))
+    met = met.select("*", plain("a1").alias("_a1"), plain("a2").alias("_a2"), plain("n1").alias("_n1"), plain("n2").alias("_n2"))
+    met = met.filter(may_reach("_a1", "_a2", least) & may_reach("_n1", "_n2", least))
+    rated = met.withColumn("confidence", F.least(ratio("_a1", "_a2"), ratio("_n1", "_n2"))).filter(F.col("confidence") >= least).select("a1", "n1", "a2", "n2", "confidence")
+    rated = folders.select("folder", F.col("artist").alias("a1"), F.col("name").alias("n1")).join(rated, ["a1", "n1"]).join(records.select("record_id", F.col("artist").alias("a2"), F.col("name").alias("n2")), ["a2", "n2"])
     return rated.groupBy("folder").agg(F.max_by("record_id", F.struct("confidence", -F.col("record_id"))).alias("record_id"), F.round(F.max("confidence"), 6).alias("confidence"))
 
 
+def library_rows(songs: DataFrame, files: DataFrame, scores: DataFrame, found: DataFrame, at: Column) -> DataFrame:
+    """The whole description of each song: what its chart holds, its files, its best score, the record found for it, and problems.
+
+    ``songs`` has ``folder`` (unique), ``chart_hash``, ``mid_md5``, the chart's ``text`` (null without a chart), ``has_ini``, and
+    ``song_length`` as written; ``files`` has ``parent`` and ``name``; ``found`` one row for each folder that a record was found
+    for. Songs without a hash can't be told apart and give no row. Everything joins on the folder; the chart's facts come from one
+    reading of its text.
+    """
+    known = songs.filter("chart_hash is not null")
+    texts = known.filter("text is not null").select("folder", "text")
+    held = charts.instruments(texts, "folder").groupBy("folder").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("instrument", "present")))).alias("instruments"))
+    facts = held.join(charts.feature_flags(texts, "folder").select("folder", F.struct(*FLAGS).alias("features")), "folder").join(charts.density(texts, "folder").withColumnRenamed("nps", "avg_nps"), "folder")
+    name = F.lower("name")
+    listed = files.groupBy(F.col("parent").alias("folder")).agg(
+        F.array_sort(F.collect_list(F.when(name.rlike(r"\.(ogg|mp3|wav|opus)$"), F.col("name")))).alias("stems"),
+        (F.count_if(name.rlike(r"^album.*\.(png|jpg|jpeg)$")) > 0).alias("has_album_art"),
+    )
+    rows = with_scores(known.drop("text"), scores, "mid_md5").join(facts, "folder", "left").join(listed, "folder", "left")
+    rows = rows.join(found.select("folder", F.struct(*[c for c in MATCHED if c in found.columns]).alias("chorus_match")), "folder", "left")
+    length = F.col("song_length").try_cast("long")
+    none = F.map_from_arrays(F.array(*[F.lit(i) for i in charts.INSTRUMENTS]), F.array(*[F.lit(-1)] * len(charts.INSTRUMENTS)))
+    problems = F.array_compact(
+        F.array(
+            F.when(F.col("has_ini") & ~blank(F.col("song_length")) & length.isNull(), F.concat(F.lit("song.ini song_length '"), "song_length", F.lit("' is not numeric"))),
+            F.when(~F.col("has_ini"), F.lit("no song.ini found")),
+            F.when(F.col("features").isNull(), F.lit("no notes.chart found -- instrument/NPS/feature data unavailable")),
+        )
+    )
+    return rows.select(
+        "chart_hash", "folder", F.col("mid_md5").alias("notes_mid_md5"), F.when(F.col("has_ini"), length).alias("song_length_ms"),
+        F.coalesce("instruments", none).alias("instruments"), "note_count", "avg_nps", F.coalesce("features", F.struct(*[F.lit(False).alias(f) for f in FLAGS])).alias("features"),
+        F.coalesce("stems", F.array().cast("array<string>")).alias("stems"), F.coalesce("has_album_art", F.lit(False)).alias("has_album_art"), "high_score",
+        problems.alias("problems"), "chorus_match", stamp(at).alias("last_updated"), F.lit("success").alias("status"),
+    )
+
+
 def filled(rows: DataFrame, values: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``rows`` whose blank fields take the safe value of ``values``; ``filled`` names the fields that did."""
     other = values.select(key, *[safe_value(F.col(f)).alias(f"_{f}") for f in fields])

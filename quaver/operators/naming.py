@@ -10,8 +10,11 @@ from quaver.functions.text import stem_role
 # File names and extensions by what they mean, better ones first
 AUDIO = ("ogg", "opus", "mp3", "wav")
 VIDEO = ("video.mp4", "video.avi", "video.webm", "video.ogv")
-ART = ("album.png", "album.jpg")
-REVIEW = ("needs review", "duplicates review", "_needs_review", "_duplicates_review")
+ART = ("album.png", "album.jpg", "album.jpeg")
+REVIEW = ("_needs_review", "_duplicates_review", "_needsreview", "_duplicatesreview")
+REVIEW_ENDS = ("_needs_review", "_duplicates_review")
+SOUND = ("ogg", "opus", "mp3", "wav", "m4a", "flac")
+LEFT_OUT = ("preview", "crowd")
 TOLERANCE = 2000
 
 
@@ -24,9 +27,9 @@ def _place(value: Column, words: tuple[str, ...]) -> Column:
 
 
 def in_review(path: Column) -> Column:
-    """Whether any folder of a path is a review folder, by its whole name or its ending."""
+    """Whether any folder of a path is a review folder, by its whole name or one of two endings; other names with "review" aren't."""
     parts = F.split(F.lower(path), "/")
-    return F.exists(parts, lambda p: p.isin(*REVIEW) | p.endswith(" review"))
+    return F.exists(parts, lambda p: p.isin(*REVIEW) | p.endswith(REVIEW_ENDS[0]) | p.endswith(REVIEW_ENDS[1]))
 
 
 def song_folders(files: DataFrame) -> DataFrame:
@@ -88,6 +91,48 @@ def stem_states(files: DataFrame) -> DataFrame:
     return roles.groupBy("parent").agg(F.when(F.max("n") > 1, "needs_review").when(F.max("numbered"), "rename_candidate").otherwise("ok").alias("status"), F.count("*").alias("roles"))
 
 
+def mixed_stems(files: DataFrame) -> DataFrame:
+    """For each folder the audio files that are mixed into the whole song, in order: no previews or crowd noise, nor the file ``probe``."""
+    base = F.lower(F.regexp_extract("name", r"^(.*?)(?:\.[^.]*)?$", 1))
+    kept = _ext(F.col("name")).isin(*SOUND) & ~base.isin(*LEFT_OUT)
+    if "probe" in files.columns:
+        kept &= ~F.coalesce(F.col("name") == F.col("probe"), F.lit(False))
+    return files.groupBy("parent").agg(F.array_sort(F.collect_list(F.when(kept, F.col("name")))).alias("stems"))
+
+
+def art_states(files: DataFrame) -> DataFrame:
+    """State of each folder's cover: ok with one literal name or none, rename_candidate with one numbered name, needs_review with several."""
+    art = F.lower("name").rlike(r"^album(_[0-9]+)?\.(png|jpg|jpeg)$")
+    literal = F.lower("name").rlike(r"^album\.(png|jpg|jpeg)$")
+    row = files.groupBy("parent").agg(F.count_if(art).alias("n"), F.count_if(literal).alias("_literal"))
+    state = F.when(F.col("n") > 1, "needs_review").when((F.col("n") == 1) & (F.col("_literal") == 0), "rename_candidate").otherwise("ok")
+    return row.select("parent", state.alias("status"), F.col("n").alias("covers"))
+
+
+def audited(files: DataFrame, settled: DataFrame | None = None, verified: DataFrame | None = None) -> DataFrame:
+    """``parent``, ``status``, ``detail`` of the whole audit of names: charts, stems and covers.
+
+    skipped_sng where the song is an archive, skipped_settled where ``settled`` says confirmed_ok; needs_review where
+    one of the three is in doubt, ``detail`` naming which; else confirmed_ok. Numbered chart names and stems are
+    confirmed where ``verified`` (``parent``, ``ok``) says that what they hold is the song.
+    """
+    archive = files.groupBy("parent").agg((F.count_if(F.lower("name").endswith(".sng")) > 0).alias("_sng"))
+    rows = archive.join(chart_name_state(files).withColumnRenamed("status", "_names"), "parent", "left")
+    rows = rows.join(stem_states(files).select("parent", F.col("status").alias("_stems")), "parent", "left").join(art_states(files).select("parent", F.col("status").alias("_art")), "parent", "left")
+    for other, name, column in ((settled, "_was", "status"), (verified, "_ok", "ok")):
+        rows = rows.withColumn(name, F.lit(None)) if other is None else rows.join(other.select("parent", F.col(column).alias(name)), "parent", "left")
+    sure = F.coalesce(F.col("_ok").cast("boolean"), F.lit(False))
+    doubts = F.array_compact(
+        F.array(
+            F.when(~(F.col("_names").isin("ok") | ((F.col("_names") == "id_suffixed") & sure)), F.concat(F.lit("names: "), F.col("_names"))),
+            F.when((F.col("_stems") == "needs_review") | ((F.col("_stems") == "rename_candidate") & ~sure), F.concat(F.lit("stems: "), F.col("_stems"))),
+            F.when(F.col("_art") == "needs_review", F.lit("art: needs_review")),
+        )
+    )
+    status = F.when(F.col("_sng"), "skipped_sng").when(F.col("_was") == "confirmed_ok", "skipped_settled").when(F.size(doubts) > 0, "needs_review").otherwise("confirmed_ok")
+    return rows.select("parent", status.alias("status"), F.when(status == "needs_review", F.array_join(doubts, "; ")).otherwise("").alias("detail"))
+
+
 def duration_state(rows: DataFrame) -> DataFrame:
     """Whether a measured length fits the stated one; without a stated length a MIDI chart fails and the song stem passes."""
     fits = F.abs(F.col("actual_ms") - F.col("expected_ms")) <= TOLERANCE

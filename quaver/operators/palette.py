@@ -18,6 +18,12 @@ def rgb_to_hls(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([colorsys.rgb_to_hls(x / 255, y / 255, z / 255) for x, y, z in zip(r, g, b, strict=True)], columns=list("hls"))
 
 
+@F.pandas_udf(T.StringType())
+def hls_to_hex(h: pd.Series, l: pd.Series, s: pd.Series) -> pd.Series:  # noqa: E741
+    """The colour of a hue, lightness and saturation in 0..1 as ``#rrggbb``; parts are rounded half to even."""
+    return pd.Series(["#" + "".join(f"{round(c * 255):02x}" for c in colorsys.hls_to_rgb(*x)) for x in zip(h, l, s, strict=True)])
+
+
 def census(pixels: DataFrame, image: str) -> DataFrame:
     """Colours of each image with their weight: pixels times 0.05 plus 0.95 of the saturation."""
     counts = pixels.groupBy(image, "r", "g", "b").agg(F.count("*").alias("n")).withColumn("_c", rgb_to_hls("r", "g", "b"))

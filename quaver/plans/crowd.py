@@ -33,7 +33,7 @@ def mappings(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "vote_latest_per_key": lambda s, d: op.current_votes(votes(s, d)).select("chart_hash", "video_id", "client_id", "seq", "start_ms"),
-    "vote_quorum": lambda s, d: op.tallies(votes(s, d)).withColumn("quorum", F.col("sources") >= op.QUORUM),
+    "vote_quorum": lambda s, d: op.tallies(votes(s, d)).drop("last_seq").withColumn("quorum", F.col("sources") >= op.QUORUM),
     "mapping_recompute": lambda s, d: op.with_status(op.tallies(votes(s, d)), mappings(s, d)),
     "consensus_replay_winner": lambda s, d: op.replay_winner(votes(s, d)),
     "resolve_best": lambda s, d: op.resolve_best(mappings(s, d)),
@@ -55,12 +55,13 @@ ORACLES = {
     "vote_quorum": f"""WITH {CURRENT} SELECT chart_hash, video_id, count(DISTINCT source) AS sources, CAST(trunc(median(start_ms)) AS BIGINT) AS start_ms,
         count(DISTINCT source) >= 3 AS quorum FROM current GROUP BY ALL""",
     "mapping_recompute": f"""WITH {CURRENT}, {HELD},
-        t AS (SELECT chart_hash, video_id, count(DISTINCT source) AS sources, CAST(trunc(median(start_ms)) AS BIGINT) AS start_ms FROM current GROUP BY ALL)
-        SELECT t.chart_hash, t.video_id, t.sources, t.start_ms,
-            CASE WHEN h.locked = 1 THEN h.status
-                 WHEN t.sources >= 3 AND NOT EXISTS (SELECT 1 FROM held o WHERE o.chart_hash = t.chart_hash AND o.video_id <> t.video_id AND o.locked = 1 AND o.status = 'approved') THEN 'approved'
-                 ELSE 'pending' END AS status, CAST(coalesce(h.locked, 0) AS INTEGER) AS locked
-        FROM t LEFT JOIN held h ON h.chart_hash = t.chart_hash AND h.video_id = t.video_id""",
+        t AS (SELECT chart_hash, video_id, count(DISTINCT source) AS sources, CAST(trunc(median(start_ms)) AS BIGINT) AS start_ms, max(seq) AS last_seq FROM current GROUP BY ALL),
+        j AS (SELECT t.*, h.status, coalesce(h.locked, 0) AS locked, coalesce(h.locked, 0) <> 1 AND t.sources >= 3
+                AND NOT EXISTS (SELECT 1 FROM held o WHERE o.chart_hash = t.chart_hash AND o.video_id <> t.video_id AND o.locked = 1 AND o.status = 'approved') AS may
+              FROM t LEFT JOIN held h ON h.chart_hash = t.chart_hash AND h.video_id = t.video_id)
+        SELECT chart_hash, video_id, sources, start_ms, CAST(locked AS INTEGER) AS locked, CASE WHEN locked = 1 THEN status
+            WHEN may AND NOT EXISTS (SELECT 1 FROM j o WHERE o.chart_hash = j.chart_hash AND o.may AND (o.last_seq, o.video_id) > (j.last_seq, j.video_id)) THEN 'approved' ELSE 'pending' END AS status
+        FROM j""",
     # an independent route: every vote's running number of sources, then the last vote that leaves a quorum
     "consensus_replay_winner": f"""WITH v AS (SELECT *, {SOURCE} AS source FROM (SELECT DISTINCT * FROM votes WHERE seq IS NOT NULL)),
         f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY chart_hash, video_id, source ORDER BY seq) = 1 THEN 1 ELSE 0 END AS new FROM v),

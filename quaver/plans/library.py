@@ -273,6 +273,9 @@ QUERIES = {
     "palette_swatches": lambda s, d: palette.swatches(palette.census(colours(s, d), "image"), "image"),
 }
 
+INI_LINES = r"""every AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line, unnest(range(len(string_split(replace(text, chr(13), ''), chr(10))))) AS pos FROM documents WHERE source = 'ini_file' AND text IS NOT NULL),
+    l AS (SELECT doc_id, pos, lower(trim(string_split(line, '=')[1])) AS name, trim(substr(line, position('=' IN line) + 1)) AS value FROM every WHERE contains(line, '=') AND NOT regexp_matches(string_split(line, '=')[1], '[\[\];#]') AND trim(string_split(line, '=')[1]) <> '')"""
+
 ORACLES = {
     "library_view": f"WITH {SONGS} SELECT * FROM songs WHERE has_video AND contains(lower(label), 'the')",
     "library_search": f"WITH {SONGS} SELECT * FROM songs WHERE contains(lower(concat_ws(' ', label, folder)), 'lib0001')",
@@ -303,7 +306,19 @@ ORACLES = {
         span AS (SELECT doc_id, max(seconds) - min(seconds) AS s, count(*) = count(seconds) AS ok FROM sec GROUP BY 1)
         SELECT c.doc_id, note_count, round(CASE WHEN s > 0 AND ok THEN (two.n - 1) / s END, 6) AS nps FROM c LEFT JOIN best USING (doc_id) LEFT JOIN two USING (doc_id) LEFT JOIN span USING (doc_id)""",
     "tempo_asof_seconds": f"""WITH {NOTES}, {TEMPO}, q AS (SELECT DISTINCT n.doc_id, tick, {RES} AS res FROM n JOIN c USING (doc_id) WHERE section LIKE 'Expert%'), {SECONDS} SELECT doc_id, tick, round(seconds, 6) AS seconds FROM sec""",
-    "dedupe_blocking": None,
+    "metadata_fallback": f"""SELECT folder, CASE WHEN {sql_strip('name')} <> '' THEN nullif({sql_strip('artist')}, '') END AS artist, CASE WHEN {sql_strip('name')} <> '' THEN {sql_strip('name')} ELSE regexp_extract(folder, '([^/]+)$', 1) END AS title,
+        CASE WHEN {sql_strip('name')} <> '' THEN 'settings' ELSE 'folder' END AS said_by FROM ini_fields""",
+    "ini_first_wins": f"WITH {INI_LINES} SELECT doc_id, name, arg_min(value, pos) AS value FROM l GROUP BY ALL",
+    "duration_state": f"""WITH {INI_LINES}, v AS (SELECT doc_id, TRY_CAST(arg_min(value, pos) AS BIGINT) AS e FROM l WHERE name = 'song_length' GROUP BY 1)
+        SELECT doc_id, CASE WHEN e IS NULL THEN false ELSE doc_id % 4000 <= 2000 END AS ok FROM v""",
+    "pacing_fold": f"""WITH {STOPS}, l AS (SELECT client_id, list_prepend({{'p': 1.0::DOUBLE, 's': 0, 'o': ''}}, list({{'p': 0.0::DOUBLE, 's': 0, 'o': outcome}} ORDER BY seq)) AS x FROM o GROUP BY 1)
+        SELECT client_id, round(list_reduce(x, lambda a, b: CASE b.o WHEN 'throttled' THEN {{'p': least(a.p * 2, 6.0::DOUBLE), 's': 0, 'o': ''}} WHEN 'hit' THEN CASE WHEN a.s >= 7 THEN {{'p': greatest(a.p * 0.7::DOUBLE, 0.5::DOUBLE), 's': 0, 'o': ''}} ELSE {{'p': a.p, 's': a.s + 1, 'o': ''}} END ELSE a END).p, 9) AS pace FROM l""",
+    # an independent route: the k-th free number is found by counting the taken ones below it
+    "free_names": r"""WITH m AS (SELECT folder AS source, name, row_number() OVER (PARTITION BY name ORDER BY folder) AS k FROM ini_fields WHERE name IS NOT NULL),
+        h AS (SELECT DISTINCT regexp_replace(name, ' \[dup\d+\]$', '') AS base, coalesce(TRY_CAST(nullif(regexp_extract(name, ' \[dup(\d+)\]$', 1), '') AS INTEGER), 1) AS n FROM records WHERE name IS NOT NULL),
+        c AS (SELECT m.*, unnest(range(1, m.k + 2 + (SELECT count(*) FROM h WHERE h.base = m.name))) AS n FROM m),
+        f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n) AS place FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.base = c.name AND h.n = c.n))
+        SELECT source, CASE WHEN n = 1 THEN name ELSE name || ' [dup' || n || ']' END AS target FROM f WHERE place = k""",
     "keeper_select": f"WITH {COPIES} SELECT group_id, arg_max(folder, (score, -ord)) AS keeper, max(score) AS score FROM copies WHERE eligible GROUP BY 1",
     "borrow_flags": f"""WITH {COPIES}, kept AS (SELECT group_id, arg_max(folder, (score, -ord)) AS keeper FROM copies WHERE eligible GROUP BY 1)
         SELECT c.group_id, c.folder, array_to_string(list_sort(list_filter(c.has, lambda x: NOT list_contains(k.has, x))), ',') AS borrow FROM kept JOIN copies k ON k.group_id = kept.group_id AND k.folder = keeper
@@ -346,4 +361,3 @@ ORACLES = {
     "chosen_files": f"""WITH {FILES} SELECT parent, arg_min(name, (name <> 'song.ini', name)) FILTER (name LIKE '%.ini') AS ini, 'song.ogg' AS audio, max(name) FILTER (name = 'video.mp4') AS video, max(name) FILTER (name = 'album.jpg') AS art, 'song.ogg' AS stem,
         count(*) AS files, CAST(sum(length(name) * 100) AS BIGINT) AS size FROM files GROUP BY parent""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -30,16 +30,29 @@ def build_session(app: str = "quaver", master: str | None = None, **conf: str) -
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only where that is unset, as in tests, a
-    temporary folder of this machine is used.
+    The folder is the one that :func:`shared_folder` gives.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"quaver-checkpoints-{os.getuid()}"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as ``spark.checkpoint.dir`` names it.
+
+    Only where that is unset and all runs in one process, as in tests, a temporary folder of this machine is used;
+    a cluster without the setting is an error.
+    """
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), f"quaver-checkpoints-{os.getuid()}")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions; salts follow it, so that they grow with the cluster."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

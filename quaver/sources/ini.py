@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaver.functions.text import blank, folder_parts, strip
+from quaver.functions.text import blank, strip
 
 LINE = r"(?m)^[ \t]*([^=\[\];#\r\n]+?)[ \t]*=[ \t]*([^\r\n]*?)[ \t\r]*$"
 
@@ -49,9 +49,17 @@ def section_values(df: DataFrame, key: str, text: str = "text", section: str = "
 
 
 def with_names(folders: DataFrame) -> DataFrame:
-    """Artist and title of each folder: from its settings if they state a title, else from the folder's name."""
-    leaf = folder_parts(F.regexp_extract("folder", r"([^/]+)$", 1))
-    rows = folders.withColumn("_p", leaf).withColumn("_said", ~blank(F.col("name")))
-    artist = F.when(F.col("_said"), F.nullif(strip(F.col("artist")), F.lit(""))).otherwise(F.nullif(F.col("_p.artist"), F.lit("")))
-    title = F.when(F.col("_said"), strip(F.col("name"))).otherwise(F.col("_p.title"))
-    return rows.select("folder", artist.alias("artist"), title.alias("title"), F.when(F.col("_said"), "settings").otherwise("folder").alias("said_by"))
+    """Artist and title of each folder: from its settings if they state a title, else from its chart if that does, else the folder's name.
+
+    ``folders`` may have ``block_artist`` and ``block_title`` (see ``charts.song_block``). A folder's name is taken as it
+    is, without an artist. A blank artist is null.
+    """
+    rows = folders
+    for c in ("block_artist", "block_title"):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+    said = F.when(~blank(F.col("name")), "settings").when(~blank(F.col("block_title")), "chart").otherwise("folder")
+    rows = rows.withColumn("said_by", said)
+    by = lambda settings, chart, folder: F.when(F.col("said_by") == "settings", settings).when(F.col("said_by") == "chart", chart).otherwise(folder)
+    artist = by(F.nullif(strip(F.col("artist")), F.lit("")), F.col("block_artist"), F.lit(None).cast("string"))
+    title = by(strip(F.col("name")), F.col("block_title"), F.regexp_extract("folder", r"([^/]+)$", 1))
+    return rows.select("folder", artist.alias("artist"), title.alias("title"), "said_by")

@@ -6,7 +6,7 @@ result as a table, which is how the batch forms are compared with them.
 
 from __future__ import annotations
 
-import os
+import statistics
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quaver.functions.numeric import source_key
+from quaver.session import shared_folder
 
 QUORUM = 3
 
@@ -40,8 +41,7 @@ def finish(df: DataFrame, mode: str = "append") -> DataFrame:
     replaces itself.
     """
     spark = df.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/quaver-streams-{os.getuid()}"
-    base = f"{base}/streams/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number if mode == 'append' else 0}")
@@ -78,6 +78,74 @@ class Consensus(StatefulProcessor):
         pass
 
 
+class Curated(StatefulProcessor):
+    """All videos of one chart as votes and curators' decisions arrive: sources, median start, status and lock of each.
+
+    The state holds the vote that stands of each client for each video, the last vote's number of each video, and the last
+    decision on it. Rows may come in any order and more than once: what has the greater number stands.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.votes = handle.getMapState("votes", "video string, client string", "seq long, source string, start_ms long")
+        self.last = handle.getMapState("last", "video string", "seq long")
+        self.decided = handle.getMapState("decided", "video string", "seq long, status string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            chunk = chunk.sort_values("seq")
+            told = chunk[chunk["decision"].notna()]
+            for r in told.itertuples(index=False):
+                held = self.decided.getValue((r.video_id,)) if self.decided.containsKey((r.video_id,)) else None
+                if held is None or r.seq > held[0]:
+                    self.decided.updateValue((r.video_id,), (int(r.seq), r.decision))
+            cast = chunk[chunk["decision"].isna()].drop_duplicates(["video_id", "client_id"], keep="last")
+            for r in cast.itertuples(index=False):
+                at = (r.video_id, r.client_id or "")
+                if not self.votes.containsKey(at) or r.seq > self.votes.getValue(at)[0]:
+                    self.votes.updateValue(at, (int(r.seq), r.source, None if pd.isna(r.start_ms) else int(r.start_ms)))
+                if not self.last.containsKey((r.video_id,)) or r.seq > self.last.getValue((r.video_id,))[0]:
+                    self.last.updateValue((r.video_id,), (int(r.seq),))
+        yield self._told(key[0])
+
+    def _told(self, chart: str) -> pd.DataFrame:
+        sources: dict[str, set] = {}
+        starts: dict[str, list] = {}
+        for (video, _), (_, source, start) in self.votes.iterator():
+            sources.setdefault(video, set()).add(source)
+            starts.setdefault(video, []).extend([] if start is None else [start])
+        last = {video: seq for (video,), (seq,) in self.last.iterator()}
+        decided = {video: (seq, status) for (video,), (seq, status) in self.decided.iterator()}
+        # a later approval by hand takes the lock of an earlier one
+        by_hand = max((v for v, (_, s) in decided.items() if s == "approved"), key=lambda v: (decided[v][0], v), default=None)
+        locked = {v: s for v, (_, s) in decided.items() if s != "approved" or v == by_hand}
+        open_ = [v for v, s in sources.items() if v not in locked and len(s) >= QUORUM] if by_hand is None else []
+        winner = max(open_, key=lambda v: (last[v], v), default=None)
+        out = []
+        for video in sorted({*sources, *decided}):
+            status = locked.get(video) or ("approved" if video == winner else "pending")
+            middle = int(statistics.median(starts[video])) if starts.get(video) else None
+            out.append((chart, video, len(sources.get(video, ())), middle, status, int(video in locked), max(last.get(video, -1), -1)))
+        return pd.DataFrame(out, columns=["chart_hash", "video_id", "sources", "start_ms", "status", "locked", "last_seq"]).astype({"start_ms": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+CURATED = "chart_hash string, video_id string, sources int, start_ms long, status string, locked int, last_seq long"
+
+
+def curated(votes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Every video of a chart each time that votes or decisions for it arrived: ``CURATED`` columns.
+
+    ``decisions`` has ``chart_hash``, ``video_id``, ``seq`` and ``decision`` (approved, rejected or pending, which lock a video).
+    A decision stands before all votes: a locked video keeps its status, an approved one keeps all others pending.
+    """
+    cast = votes.filter("seq is not null").select("chart_hash", "video_id", "client_id", F.col("seq").cast("long").alias("seq"), source_key(F.col("ip"), F.col("client_id")).alias("source"), F.col("start_ms").cast("long").alias("start_ms"), F.lit(None).cast("string").alias("decision"))
+    none = F.lit(None).cast("string")
+    told = decisions.select("chart_hash", "video_id", none.alias("client_id"), F.col("seq").cast("long").alias("seq"), none.alias("source"), F.lit(None).cast("long").alias("start_ms"), "decision")
+    return cast.unionByName(told).groupBy("chart_hash").transformWithStateInPandas(Curated(), CURATED, "Update", "None")
+
+
 def consensus(votes: DataFrame) -> DataFrame:
     """``chart_hash``, ``video_id``, ``last_seq``: the winner of a chart each time that votes for it arrived."""
     rows = votes.filter("seq is not null").select("chart_hash", "video_id", "seq", source_key(F.col("ip"), F.col("client_id")).alias("source"))
