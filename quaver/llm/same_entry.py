@@ -51,14 +51,16 @@ def canonical_entries(df: DataFrame, key: str, first: str, second: str, digest:
 def same_entry_pairs(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
     """All pairs of rows of one entry: ``hash_a`` < ``hash_b``, the keys of the two rows.
 
-    The result is quadratic in the copies of an entry by its definition. The join is an equi-join on 128 bits
+    Keys are those of one row; rows repeated as a whole count once, and keys whose rows stand for several entries give a
+    pair for each entry that they share. The result is quadratic in the copies of an entry by its definition. The join is an equi-join on 128 bits
     that adaptive execution splits where an entry is hot; entries of one row are dropped by their count first,
     so that only duplicates are shuffled for it, and the text is compared after the hash.
     """
     # kept once, as both sides of the join and the counts read it
-    rows = durable(keyed(df, key, first, second).select("_key", "_text", "_hash").filter("_key is not null"))
+    # repeated rows of a key go before the join, which makes pairs, not after it
+    rows = durable(keyed(df, key, first, second).select("_key", "_text", "_hash").filter("_key is not null").dropDuplicates(["_key", "_text"]))
     several = rows.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("_hash")
     held = rows.join(several, "_hash", "left_semi")
     other = held.select(F.col("_key").alias("hash_b"), F.col("_text").alias("_other"), "_hash")
     pairs = held.withColumnRenamed("_key", "hash_a").join(other, "_hash").filter("hash_a < hash_b and _text = _other")
-    return pairs.select("hash_a", "hash_b").distinct()
+    return pairs.select("hash_a", "hash_b")
