@@ -31,14 +31,18 @@ from quaver.session import durable
 
 # Words that make a take another recording
 TAKES = ("live", "acoustic", "remix", "demo", "instrumental", "extended", "unplugged", "karaoke")
+# Words that a title may lack
+LITTLE = frozenset(("the", "a", "an", "and", "n"))
 #: Notes behind a name that leave the recording the same, without blanks and punctuation.
 NOTE = re.compile(r"(feat|ft|featuring|with)\w*|.*remaster(ed)?.*|explicit|clean|.*edit|(album|single|original|full)version|.*basspedal\w*|fullband|h[dq]|deluxe\w*|officialvideo|officialaudio|lyrics?video|[ck]oop|expertplus")
 TAIL = re.compile(r"(?:\s+(?:album version|single version|radio edit|explicit|2x bass pedal|full band|hd|hq|(?:\S+\s+)?remaster(?:ed)?|(?:feat|ft)\s+\S+))+$")
-TITLE = T.StructType([T.StructField(c, T.StringType()) for c in ("core", "take", "numbers")])
+TITLE = T.StructType([T.StructField(c, T.StringType()) for c in ("core", "short", "take", "numbers")])
 
 # Weights of the rules. Speaking for: target 1; against: target 0. The order of their sizes follows how much
 # more often an agreement or difference was seen among pairs of equal albums than among pairs of different ones.
 PRIOR, SIMILAR = 0.5, 1.5
+#: Likeness of an artist that one side doesn't state; such pairs have the album in common.
+NAMELESS = 0.5
 YEAR_SAME, YEAR_NEAR, YEAR_DECADE, YEAR_APART = 1.5, 1.2, 0.6, 2.5
 ALBUM_SAME, ALBUM_APART = 2.5, 2.0
 CHARTER_SAME, CHARTER_APART = 1.5, 0.9
@@ -46,8 +50,8 @@ GENRE_SAME, GENRE_APART = 0.1, 0.1
 
 
 @lru_cache(maxsize=100_000)
-def read_title(text: str) -> tuple[str, str, str]:
-    """Letters of a title without notes, the take it names (or empty), and its numbers in order."""
+def read_title(text: str) -> tuple[str, str, str, str]:
+    """Letters of a title without notes, those without articles too, the take it names (or empty), and its numbers in order."""
     plain = without_accents(plain_form(text).casefold()).replace("_", " ")
     take = ""
 
@@ -74,14 +78,16 @@ def read_title(text: str) -> tuple[str, str, str]:
         if cut == words or not cut:
             break
         words = cut
+    # articles and "and" are left out by some who type a title; a title of nothing else keeps them
+    short = "".join(w for w in words.split() if w not in LITTLE) or words.replace(" ", "")
     numbers = [w if w.isdigit() else {"ii": "2", "iii": "3", "iv": "4", "vi": "6"}.get(w, "") for w in re.findall(r"\d+|[^\W\d]+", words)]
-    return words.replace(" ", ""), take, " ".join(n for n in numbers if n)
+    return words.replace(" ", ""), short, take, " ".join(n for n in numbers if n)
 
 
 @F.pandas_udf(TITLE)
 def title_of(column: pd.Series) -> pd.DataFrame:
     """Arrow form of :func:`read_title`; null reads as an empty title."""
-    return pd.DataFrame([read_title(t or "") for t in column], columns=["core", "take", "numbers"])
+    return pd.DataFrame([read_title(t or "") for t in column], columns=["core", "short", "take", "numbers"])
 
 
 @F.pandas_udf(T.StringType())
@@ -111,13 +117,13 @@ def _read(df: DataFrame, key: str) -> DataFrame:
     stated = lambda c: F.when(states(F.col(c)), F.col(c))
     return df.select(
         F.col(key).alias("key"),
-        parts_of("artist").alias("a"),
+        parts_of(stated("artist")).alias("a"),
         title_of("name").alias("t"),
         year_of(F.when(states(F.col("year")), F.col("year"))).alias("year"),
         plain_of(stated("album")).alias("album"),
         plain_of(stated("charter")).alias("charter"),
         plain_of(stated("genre")).alias("genre"),
-    ).filter("key is not null and t.core <> '' and a.core <> ''")
+    ).filter("key is not null and t.core <> ''")
 
 
 def _near(left: DataFrame, right: DataFrame, left_texts: Column, right_texts: Column, of: str) -> DataFrame:
@@ -155,11 +161,17 @@ def candidates(left: DataFrame, right: DataFrame, nicknames: DataFrame) -> DataF
     # numbers only propose: if two texts had the same one, the rules would still part them
     number = lambda d: d.withColumn("act", F.xxhash64("a", "formal")).withColumn("song", F.xxhash64("t"))
     left, right = durable(number(full(left))), durable(number(full(right)))
-    artists = _near(left, right, _names("a.core", "a.swapped", "a.flat", "formal", initials="l", all_of="r"), _names("a.core", "a.flat", "formal", initials="r", all_of="l"), "act")
-    title_text = F.array(F.struct(F.concat_ws("|", "t.take", "t.numbers").alias("place"), F.col("t.core").alias("text")))
+    artists = _near(left.filter("a.core <> ''"), right.filter("a.core <> ''"), _names("a.core", "a.swapped", "a.flat", "formal", initials="l", all_of="r"), _names("a.core", "a.flat", "formal", initials="r", all_of="l"), "act")
+    title_text = F.array(*[F.struct(F.concat_ws("|", F.lit(form), "t.take", "t.numbers").alias("place"), F.col(f"t.{form}").alias("text")) for form in ("core", "short")])
     titles = _near(left, right, title_text, title_text, "song")
     near = left.select(F.col("key").alias("lk"), F.col("act").alias("lact"), F.col("song").alias("lsong")).join(artists, "lact").join(titles, "lsong")
-    met = near.join(right.select(F.col("key").alias("rk"), F.col("act").alias("ract"), F.col("song").alias("rsong")), ["ract", "rsong"]).select("lk", "rk").distinct()
+    met = near.join(right.select(F.col("key").alias("rk"), F.col("act").alias("ract"), F.col("song").alias("rsong")), ["ract", "rsong"]).select("lk", "rk")
+    # where a side states no artist, the album stands for it
+    place = lambda d, n: d.filter("album <> ''").select(F.col("key").alias(f"{n}k"), F.col("song").alias(f"{n}song"), F.col("album").alias("_album"), (F.col("a.core") == "").alias(f"_{n}"))
+    nameless = (place(left.filter("a.core = ''"), "l"), place(right, "r")), (place(left.filter("a.core <> ''"), "l"), place(right.filter("a.core = ''"), "r"))
+    for one, other in nameless:
+        met = met.unionByName(one.join(titles, "lsong").join(other, ["rsong", "_album"]).select("lk", "rk"))
+    met = met.distinct()
     pairs = met.join(left.select(F.col("key").alias("lk"), F.struct("a", "t", "year", "album", "charter", "genre", "formal").alias("l")), "lk")
     pairs = pairs.join(right.select(F.col("key").alias("rk"), F.struct("a", "t", "year", "album", "charter", "genre", "formal").alias("r")), "rk")
     la, ra = F.col("l.a"), F.col("r.a")
@@ -173,8 +185,10 @@ def candidates(left: DataFrame, right: DataFrame, nicknames: DataFrame) -> DataF
     )
     kinds = (la["kind"] == ra["kind"]) | (la["words"] == 1) | (ra["words"] == 1) | (la["flat"] == ra["flat"])
     lt, rt = F.col("l.t"), F.col("r.t")
-    title = F.when(lt["core"] == rt["core"], 1.0).when(within_one(lt["core"], rt["core"]) & (F.length(lt["core"]) >= 4), 0.9).otherwise(0.0)
-    pairs = pairs.withColumn("artist", F.when(kinds, artist).otherwise(0.0)).withColumn("title", title)
+    slipped = lambda form: within_one(lt[form], rt[form]) & (F.length(lt[form]) >= 4)
+    title = F.when((lt["core"] == rt["core"]) | (lt["short"] == rt["short"]), 1.0).when(slipped("core") | slipped("short"), 0.9).otherwise(0.0)
+    unknown = (la["core"] == "") | (ra["core"] == "")
+    pairs = pairs.withColumn("artist", F.when(unknown, NAMELESS).when(kinds, artist).otherwise(0.0)).withColumn("title", title)
     pairs = pairs.filter((F.col("artist") > 0) & (F.col("title") > 0) & (lt["take"] == rt["take"]) & (lt["numbers"] == rt["numbers"]))
     gap = F.abs(F.col("l.year") - F.col("r.year"))
     both = lambda c: (F.length(F.col(f"l.{c}")) > 0) & (F.length(F.col(f"r.{c}")) > 0)
@@ -327,8 +341,8 @@ def solve_large(pairs: DataFrame, close: float = 1e-3, rounds: int = 1000, rho:
 def matched(left: DataFrame, right: DataFrame, groups: DataFrame, nicknames: DataFrame, least: float = 0.5) -> DataFrame:
     """``folder``, ``record_id``, ``confidence``: each folder's partner, where one reaches ``least``.
 
-    Folders of one group have the same partner. Equal values fall to the smaller record. Rows without an artist
-    or title, and null keys, have no partner; repeated rows of a key are one. Every pair with evidence keeps its variable.
+    Folders of one group have the same partner. Equal values fall to the smaller record. Rows without
+    a title, and null keys, have no partner; those that state no artist have one only where the album is the same; repeated rows of a key are one. Every pair with evidence keeps its variable.
     """
     found = candidates(_read(left, "folder"), _read(right, "record_id"), nicknames)
     member = groups.select("folder", F.concat(F.lit("g"), F.col("group_id").cast("string")).alias("_group")).filter("folder is not null and _group is not null").groupBy("folder").agg(F.min("_group").alias("_group"))

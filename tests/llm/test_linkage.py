@@ -85,3 +85,10 @@ def test_a_record_has_one_partner(spark):
     folders = [("a", "Song", "The Act", "1999", "Rock", "x", "First"), ("b", "Song", "The Act", None, "Rock", None, None)]
     records = [(1, "Song", "The Act", "1999", "Rock", "x", "First")]
     assert match(spark, folders, records) == {"a": 1}
+
+
+def test_missing_articles_and_artists(spark):
+    """Articles may be missing from a title; where no artist is stated the album stands for it, and never the title alone."""
+    folders = [("a", "Through Copper Carousel", "The Act", "1999", None, None, None), ("b", "Harbor and Bridge", None, "2001", None, "x", "Big Album"), ("c", "Lonely", "Unknown Artist", "2001", None, None, None)]
+    records = [(1, "Through the Copper Carousel", "The Act", "1999", None, None, None), (2, "Harbor & Bridge", "Other Act", "2001", None, "x", "Big Album"), (3, "Lonely", "Third Act", "2001", None, None, None)]
+    assert match(spark, folders, records) == {"a": 1, "b": 2}
