@@ -47,11 +47,15 @@ def peaks_of(df: DataFrame, key: str, pcm: str) -> DataFrame:
 def landmarks(peaks: DataFrame, key: str, span: int = SPAN, fan: int = FAN) -> DataFrame:
     """``key``, ``hash``, ``t``: each peak with the next ``fan`` peaks that come 1 to ``span`` frames later.
 
-    The range frame of a window gathers what a band self-join would, without pairing peaks that are far apart.
+    Peaks of one frame are one row, so that the next ``fan`` rows hold the next ``fan`` peaks: a frame never looks at
+    more than those, however wide ``span`` is.
     """
-    ahead = Window.partitionBy(key).orderBy("t").rangeBetween(1, span)
-    rows = peaks.withColumn("_later", F.collect_list(F.struct("t", "f")).over(ahead))
-    pairs = rows.select(key, "t", "f", F.explode(F.slice(F.array_sort("_later"), 1, fan)).alias("_n"))
+    at_once = peaks.groupBy(key, "t").agg(F.sort_array(F.collect_list("f")).alias("_fs"))
+    first = F.struct("t", F.slice("_fs", 1, fan).alias("fs"))
+    ahead = F.collect_list(first).over(Window.partitionBy(key).orderBy("t").rowsBetween(1, fan))
+    rows = at_once.withColumn("_ahead", ahead)
+    later = F.flatten(F.transform(F.filter("_ahead", lambda x: x["t"] <= F.col("t") + span), lambda x: F.transform(x["fs"], lambda f: F.struct(x["t"].alias("t"), f.alias("f")))))
+    pairs = rows.select(key, "t", "_fs", F.slice(later, 1, fan).alias("_later")).select(key, "t", F.explode("_fs").alias("f"), "_later").select(key, "t", "f", F.explode("_later").alias("_n"))
     return pairs.select(key, landmark(F.col("f"), F.col("_n.f"), F.col("_n.t") - F.col("t")).alias("hash"), "t")
 
 

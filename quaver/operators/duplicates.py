@@ -81,7 +81,7 @@ def similar_texts(df: DataFrame, text: str, least: float) -> DataFrame:
     """``a``, ``b``, ``ratio`` of all ordered pairs of different texts of that similarity, and of each text with itself.
 
     Complete: a text is cut into more pieces than similar texts can differ by characters, so one piece stands in
-    the other text near its place, where both meet by an equi-join. Texts are compared once, however many rows
+    the other text near its place, where both meet by an equi-join of 64-bit hashes, of which equal ones only propose. Texts are compared once, however many rows
     hold them.
     """
 
@@ -89,8 +89,8 @@ def similar_texts(df: DataFrame, text: str, least: float) -> DataFrame:
         return F.pandas_udf(lambda column: pd.Series([of(t, least) for t in column], dtype=object), T.ArrayType(T.StringType()))
 
     texts = df.select(F.col(text).alias("t")).filter("t is not null").distinct()
-    own = texts.select(F.col("t").alias("a"), F.explode(keys(_own_keys)("t")).alias("_k"))
-    other = texts.select(F.col("t").alias("b"), F.explode(keys(_other_keys)("t")).alias("_k"))
+    own = texts.select(F.col("t").alias("a"), F.explode(keys(_own_keys)("t")).alias("_k")).select("a", F.xxhash64("_k").alias("_k"))
+    other = texts.select(F.col("t").alias("b"), F.explode(keys(_other_keys)("t")).alias("_k")).select("b", F.xxhash64("_k").alias("_k"))
     met = own.join(other, "_k").filter((F.col("a") != F.col("b")) & may_reach("a", "b", least)).select("a", "b").distinct()
     rated = met.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
     return rated.unionByName(texts.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(100.0).alias("ratio")))

@@ -149,9 +149,9 @@ def free_names(moves: DataFrame, taken: DataFrame) -> DataFrame:
     held = taken.select(F.regexp_replace("name", r" \[dup\d+\]$", "").alias("_base"), F.coalesce(F.nullif(F.regexp_extract("name", r" \[dup(\d+)\]$", 1), F.lit("")).cast("int"), F.lit(1)).alias("_n"))
     used = held.groupBy("_base").agg(F.collect_set("_n").alias("_used"))
     rows = moves.withColumn("_k", F.row_number().over(order)).join(used, F.col("name") == F.col("_base"), "left")
-    gone = F.coalesce("_used", F.array().cast("array<int>"))
-    free = F.filter(F.sequence(F.lit(1), F.col("_k") + F.size(gone)), lambda n: ~F.array_contains(gone, n))
-    at = F.element_at(free, F.col("_k"))
+    gone = F.array_sort(F.coalesce("_used", F.array().cast("array<int>")))
+    # each taken number that isn't greater pushes the place on by one: a walk over the taken ones, whatever the place
+    at = F.aggregate(gone, F.col("_k"), lambda n, taken: F.when(taken <= n, n + 1).otherwise(n))
     return rows.select("source", F.when(at == 1, F.col("name")).otherwise(F.concat("name", F.lit(" [dup"), at, F.lit("]"))).alias("target"))
 
 

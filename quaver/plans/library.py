@@ -9,7 +9,7 @@ from quaver.functions import numeric
 from quaver.functions import text as fx
 from quaver.operators import align, backoff, candidates, catalog, charts, duplicates, enrich, frames, naming, palette
 from quaver.plans.book import KIND, sql_strip
-from quaver.session import table
+from quaver.session import durable, table
 from quaver.sources import files, ini
 
 
@@ -78,7 +78,8 @@ MARKS = f"""{PEAKS}, pairs AS (SELECT a.audio_id, a.t, a.f, b.t AS t2, b.f AS f2
 
 def shifted(s: SparkSession, d: str) -> DataFrame:
     """Matches of each stream with itself, moved by a hundred frames."""
-    m = align.landmarks(peaks(s, d), "audio_id")
+    # both sides of the join are the same landmarks, made once
+    m = durable(align.landmarks(peaks(s, d), "audio_id"))
     return align.matches(m.withColumn("t", F.col("t") + 100), m, "audio_id")
 
 

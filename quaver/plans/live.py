@@ -36,7 +36,7 @@ def stream_curated(spark: SparkSession, folder: str) -> DataFrame:
     decisions = op.stream(spark, folder, "mappings").filter("locked = 1 and status is not null").select("chart_hash", "video_id", F.coalesce("last_seen", F.lit(-1)).alias("seq"), F.col("status").alias("decision"))
     with rocks(spark):
         told = op.finish(op.curated(op.stream(spark, folder, "votes"), decisions), "update")
-    return told.select("chart_hash", "video_id", "sources", "start_ms", "status", "locked")
+    return op.last_updates(told, ["chart_hash", "video_id"]).select("chart_hash", "video_id", "sources", "start_ms", "status", "locked")
 
 
 def stream_consensus(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,8 +53,8 @@ QUERIES = {
     "stream_consensus": stream_consensus,
     "stream_curated": stream_curated,
     "stream_pings": lambda s, d: activity_windows(op.finish(op.latest_pings(op.stream(s, d, "pings")), "complete"), AS_OF),
-    "stream_write_days": lambda s, d: epoch(op.finish(op.daily_writes(op.stream(s, d, "votes")), "complete"), "day"),
-    "stream_event_windows": lambda s, d: epoch(op.finish(op.event_windows(op.stream(s, d, "events")), "complete"), "start"),
+    "stream_write_days": lambda s, d: epoch(op.last_updates(op.finish(op.daily_writes(op.stream(s, d, "votes")), "update"), ["ip", "day"]), "day"),
+    "stream_event_windows": lambda s, d: epoch(op.last_updates(op.finish(op.event_windows(op.stream(s, d, "events")), "update"), ["event_type", "start"]), "start"),
     "stream_sessions": lambda s, d: epoch(op.finish(op.user_sessions(op.stream(s, d, "events")), "complete"), "start"),
     "stream_enrich": lambda s, d: op.finish(op.first_contents(op.stream(s, d, "documents"))),
 }

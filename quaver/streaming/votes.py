@@ -35,7 +35,7 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def finish(df: DataFrame, mode: str = "append") -> DataFrame:
-    """The result of a stream over all that is there now: all rows appended, or the last complete result.
+    """The result of a stream over all that is there now: all rows appended, the last complete result, or all updates by ``batch``.
 
     Batches are written to the shared checkpoint folder by their number, so that a batch that is done again
     replaces itself.
@@ -44,10 +44,12 @@ def finish(df: DataFrame, mode: str = "append") -> DataFrame:
     base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else number}")
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
+    if mode == "update":
+        return spark.read.schema(df.schema.add("batch", "long")).parquet(f"{base}/out")
     return spark.read.schema(df.schema).parquet(f"{base}/out").select(*df.columns)
 
 
@@ -164,6 +166,12 @@ def daily_writes(votes: DataFrame, late: str = "3650 days") -> DataFrame:
     return rows.groupBy("ip", F.window("at", "1 day")).agg(F.count("*").alias("writes")).select("ip", F.col("window.start").alias("day"), "writes")
 
 
+def last_updates(told: DataFrame, keys: list[str]) -> DataFrame:
+    """The last update of each key of what :func:`finish` gives of a stream in update mode."""
+    rest = [c for c in told.columns if c not in (*keys, "batch")]
+    return told.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
+
+
 def event_windows(events: DataFrame, late: str = "60 days") -> DataFrame:
     """Events by type in sliding windows of an hour, every half hour."""
     rows = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
