@@ -32,10 +32,10 @@ OFFICIAL = ("music video", "promovideo", "promo video", "officialvideo")
 OFFICIAL_PHRASE = r"official\s+(?:\w+\s+){0,2}(?:video|clip)"
 KIND_ORDER = ("official", "unknown", "audio_only", "lyric", "gameplay")
 
-# Reserved roles of audio stems, longer ones before those they begin with
+# Reserved roles of audio stems
 ROLES = (
-    "vocals_explicit_1", "vocals_explicit_2", "vocals_explicit", "vocals_1", "vocals_2", "vocals", "drums_1", "drums_2", "drums_3",
-    "drums_4", "drums", "preview", "song", "guitar", "rhythm", "bass", "keys", "crowd",
+    "preview", "song", "guitar", "rhythm", "bass", "keys", "crowd", "drums", "drums_1", "drums_2", "drums_3", "drums_4",
+    "vocals", "vocals_1", "vocals_2", "vocals_explicit", "vocals_explicit_1", "vocals_explicit_2",
 )
 
 

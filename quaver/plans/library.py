@@ -132,14 +132,22 @@ def stems(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "ini_fields").select(F.col("folder").alias("parent"), name).withColumn("length", F.length("name").cast("long") * 100)
 
 
+SQL_ROLES = ("song", "guitar", "bass", "rhythm", "keys", "preview", "crowd", "drums", "drums_1", "drums_2", "drums_3", "drums_4", "vocals", "vocals_1", "vocals_2", "vocals_explicit", "vocals_explicit_1", "vocals_explicit_2")
 FILES = """files AS (SELECT folder AS parent, unnest(list_filter(['song.ogg', CASE WHEN n % 2 = 0 THEN 'guitar.ogg' END, CASE WHEN n % 3 = 0 THEN 'guitar_12.ogg' END, CASE WHEN n % 5 = 0 THEN 'drums_1.mp3' END,
     CASE WHEN n % 7 = 0 THEN 'vocals_77.opus' END, CASE WHEN n % 4 <> 0 THEN 'song.ini' END, CASE WHEN n % 9 = 0 THEN 'song_2.ini' END, CASE WHEN n % 3 <> 1 THEN 'notes.chart' END, CASE WHEN n % 11 = 0 THEN 'notes_4.mid' END,
     CASE WHEN n % 6 = 0 THEN 'video.mp4' END, CASE WHEN n % 8 = 0 THEN 'album.jpg' END], lambda x: x IS NOT NULL)) AS name FROM (SELECT folder, length(folder) AS n FROM ini_fields))"""
 
+# what the SQL looks for, written out once more so that it doesn't share a slip with the operators
+SQL_SECTION = r"(?s)\[([0-9A-Za-z_]+)\]\s*\{([^}]*)\}"
+SQL_NOTE = r"(?m)^[ \t]*([0-9]+)[ \t]*=[ \t]*N[ \t]+([0-9]+)[ \t]+([0-9]+)[ \t\r]*$"
+SQL_TEMPO = r"(?m)^[ \t]*([0-9]+)[ \t]*=[ \t]*B[ \t]+([0-9]+)[ \t\r]*$"
+SQL_PRIORITY = ("ExpertSingle", "ExpertDoubleBass", "ExpertDrums", "ExpertDoubleRhythm", "ExpertKeyboard", "ExpertGHLGuitar")
+SQL_FIVE_FRET = r"(Keyboard|DoubleRhythm|DoubleBass|DoubleGuitar|Single)$"
+
 TEXTS = "c AS (SELECT doc_id, text FROM documents WHERE source = 'chart_file' AND text IS NOT NULL)"
-SECTIONS = rf"""{TEXTS}, z AS (SELECT doc_id, unnest(regexp_extract_all(text, '{charts.SECTION}', 1)) AS section, unnest(regexp_extract_all(text, '{charts.SECTION}', 2)) AS body, unnest(range(len(regexp_extract_all(text, '{charts.SECTION}', 1)))) AS pos FROM c)"""
-NOTES = rf"""{SECTIONS}, n AS (SELECT doc_id, pos, section, TRY_CAST(unnest(regexp_extract_all(body, '{charts.NOTE}', 1)) AS BIGINT) AS tick, TRY_CAST(unnest(regexp_extract_all(body, '{charts.NOTE}', 2)) AS INTEGER) AS type, TRY_CAST(unnest(regexp_extract_all(body, '{charts.NOTE}', 3)) AS BIGINT) AS length FROM z)"""
-TEMPO = rf"""traw AS (SELECT doc_id, TRY_CAST(unnest(regexp_extract_all(text, '{charts.TEMPO}', 1)) AS BIGINT) AS tick, TRY_CAST(unnest(regexp_extract_all(text, '{charts.TEMPO}', 2)) AS BIGINT) / 1000.0 AS bpm, unnest(range(len(regexp_extract_all(text, '{charts.TEMPO}', 1)))) AS line FROM c),
+SECTIONS = rf"""{TEXTS}, z AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_SECTION}', 1)) AS section, unnest(regexp_extract_all(text, '{SQL_SECTION}', 2)) AS body, unnest(range(len(regexp_extract_all(text, '{SQL_SECTION}', 1)))) AS pos FROM c)"""
+NOTES = rf"""{SECTIONS}, n AS (SELECT doc_id, pos, section, TRY_CAST(unnest(regexp_extract_all(body, '{SQL_NOTE}', 1)) AS BIGINT) AS tick, TRY_CAST(unnest(regexp_extract_all(body, '{SQL_NOTE}', 2)) AS INTEGER) AS type, TRY_CAST(unnest(regexp_extract_all(body, '{SQL_NOTE}', 3)) AS BIGINT) AS length FROM z)"""
+TEMPO = rf"""traw AS (SELECT doc_id, TRY_CAST(unnest(regexp_extract_all(text, '{SQL_TEMPO}', 1)) AS BIGINT) AS tick, TRY_CAST(unnest(regexp_extract_all(text, '{SQL_TEMPO}', 2)) AS BIGINT) / 1000.0 AS bpm, unnest(range(len(regexp_extract_all(text, '{SQL_TEMPO}', 1)))) AS line FROM c),
     tsaid AS (SELECT doc_id, tick, max_by(bpm, line) AS bpm FROM traw WHERE tick IS NOT NULL GROUP BY ALL),
     tempo AS (SELECT doc_id, tick, CAST(nullif(bpm, 0) AS DOUBLE) AS bpm FROM (SELECT * FROM tsaid UNION ALL SELECT doc_id, 0, 120.0 FROM c WHERE doc_id NOT IN (SELECT doc_id FROM tsaid WHERE tick = 0)))"""
 # an independent route to seconds: every tempo segment's part before the tick, summed
@@ -296,12 +304,12 @@ ORACLES = {
         i AS (SELECT doc_id, CASE s WHEN 'Single' THEN 'guitar' WHEN 'DoubleBass' THEN 'bass' WHEN 'DoubleRhythm' THEN 'rhythm' WHEN 'Drums' THEN 'drums' WHEN 'Keyboard' THEN 'keys' WHEN 'GHLGuitar' THEN 'guitarghl' END AS instrument FROM h)
         SELECT c.doc_id, a.instrument, CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.doc_id = c.doc_id AND i.instrument = a.instrument) THEN 1 ELSE -1 END AS present
         FROM c CROSS JOIN (VALUES ('guitar'), ('bass'), ('drums'), ('keys'), ('vocals'), ('rhythm'), ('guitarghl')) a(instrument)""",
-    "chart_features": rf"""WITH {SECTIONS}, g AS (SELECT doc_id, bool_or(regexp_matches(section, '{charts.FIVE_FRET}') AND regexp_matches(body, '(?m)^[ \t]*\d+[ \t]*=[ \t]*N[ \t]+7[ \t]+\d+')) AS o,
+    "chart_features": rf"""WITH {SECTIONS}, g AS (SELECT doc_id, bool_or(regexp_matches(section, '{SQL_FIVE_FRET}') AND regexp_matches(body, '(?m)^[ \t]*\d+[ \t]*=[ \t]*N[ \t]+7[ \t]+\d+')) AS o,
         bool_or(section LIKE '%Drums' AND regexp_matches(body, '(?m)^[ \t]*\d+[ \t]*=[ \t]*N[ \t]+32[ \t]+\d+')) AS k, bool_or(section LIKE '%Drums' AND regexp_matches(body, '(?m)^[ \t]*\d+[ \t]*=[ \t]*S[ \t]+6[56][ \t]+\d+')) AS r FROM z GROUP BY 1)
         SELECT c.doc_id, regexp_matches(text, '(?m)^[ \t]*\d+[ \t]*=[ \t]*E[ \t]+"?lyric[ \t]') AS has_lyrics, regexp_matches(text, '(?m)^[ \t]*\d+[ \t]*=[ \t]*E[ \t]+"?solo"?[ \t\r]*$') AS has_solos,
         coalesce(o, false) AS has_open_notes, coalesce(k, false) AS has_2x_kick, coalesce(r, false) AS has_roll_lanes FROM c LEFT JOIN g USING (doc_id)""",
     "note_count_nps": f"""WITH {NOTES}, {TEMPO}, lastpos AS (SELECT doc_id, section, max(pos) AS pos FROM z GROUP BY ALL), e AS (SELECT n.doc_id, n.section, count(*) AS n, min(tick) AS lo, max(tick) AS hi FROM n JOIN lastpos USING (doc_id, section, pos) GROUP BY ALL),
-        pri AS (SELECT *, list_position({list(charts.PRIORITY)!r}, section) AS k FROM e), best AS (SELECT doc_id, arg_min(n, k) AS note_count FROM pri WHERE k > 0 GROUP BY 1),
+        pri AS (SELECT *, list_position({list(SQL_PRIORITY)!r}, section) AS k FROM e), best AS (SELECT doc_id, arg_min(n, k) AS note_count FROM pri WHERE k > 0 GROUP BY 1),
         two AS (SELECT doc_id, arg_min(n, k) AS n, arg_min(lo, k) AS lo, arg_min(hi, k) AS hi FROM pri WHERE k > 0 AND n >= 2 GROUP BY 1),
         q AS (SELECT DISTINCT doc_id, unnest([lo, hi]) AS tick, {RES} AS res FROM two JOIN c USING (doc_id)), {SECONDS},
         span AS (SELECT doc_id, max(seconds) - min(seconds) AS s, count(*) = count(seconds) AS ok FROM sec GROUP BY 1)
@@ -353,9 +361,9 @@ ORACLES = {
     "blank_fill": "SELECT r.folder, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {blank_sql(f)} AND ({safe_sql(f)}) IS NOT NULL THEN '{f}' END" for f in enrich.FIELDS) + "], lambda x: x IS NOT NULL), ',') AS filled, "
     + ", ".join(f"CASE WHEN {blank_sql(f)} THEN coalesce({safe_sql(f)}, r.{f}) ELSE r.{f} END AS {f}" for f in enrich.FIELDS)
     + " FROM (SELECT group_id, ord, i.* FROM dupgroups JOIN ini_fields i USING (folder)) r LEFT JOIN (SELECT group_id, ord, i.* FROM dupgroups JOIN ini_fields i USING (folder)) a ON a.group_id = r.group_id AND a.ord = 0 WHERE r.ord > 0",
-    "stem_roles": f"""WITH {FILES}, s AS (SELECT parent, lower(regexp_extract(name, '^(.*)\\.[^.]+$', 1)) AS stem FROM files), r AS (SELECT parent, CASE WHEN stem IN {fx.ROLES} THEN stem ELSE nullif(regexp_extract(stem, '^({'|'.join(fx.ROLES)})_([0-9]+)$', 1), '') END AS role, stem NOT IN {fx.ROLES} AS numbered FROM s)
+    "stem_roles": f"""WITH {FILES}, s AS (SELECT parent, lower(regexp_extract(name, '^(.*)\\.[^.]+$', 1)) AS stem FROM files), r AS (SELECT parent, CASE WHEN stem IN {SQL_ROLES} THEN stem ELSE nullif(regexp_extract(stem, '^({'|'.join(SQL_ROLES)})_([0-9]+)$', 1), '') END AS role, stem NOT IN {SQL_ROLES} AS numbered FROM s)
         SELECT parent, role, count(*) AS files, bool_or(numbered) AS numbered FROM r WHERE role IS NOT NULL GROUP BY ALL""",
-    "stem_states": f"""WITH {FILES}, s AS (SELECT parent, lower(regexp_extract(name, '^(.*)\\.[^.]+$', 1)) AS stem FROM files WHERE regexp_matches(name, '\\.(ogg|opus|mp3|wav)$')), r AS (SELECT parent, CASE WHEN stem IN {fx.ROLES} THEN stem ELSE nullif(regexp_extract(stem, '^({'|'.join(fx.ROLES)})_([0-9]+)$', 1), '') END AS role, stem NOT IN {fx.ROLES} AS numbered FROM s),
+    "stem_states": f"""WITH {FILES}, s AS (SELECT parent, lower(regexp_extract(name, '^(.*)\\.[^.]+$', 1)) AS stem FROM files WHERE regexp_matches(name, '\\.(ogg|opus|mp3|wav)$')), r AS (SELECT parent, CASE WHEN stem IN {SQL_ROLES} THEN stem ELSE nullif(regexp_extract(stem, '^({'|'.join(SQL_ROLES)})_([0-9]+)$', 1), '') END AS role, stem NOT IN {SQL_ROLES} AS numbered FROM s),
         g AS (SELECT parent, role, count(*) AS n, bool_or(numbered) AS numbered FROM r WHERE role IS NOT NULL GROUP BY ALL) SELECT parent, CASE WHEN max(n) > 1 THEN 'needs_review' WHEN bool_or(numbered) THEN 'rename_candidate' ELSE 'ok' END AS status, count(*) AS roles FROM g GROUP BY 1""",
     "chart_name_state": f"""WITH {FILES}, g AS (SELECT parent, count(*) FILTER (name LIKE '%.ini') AS i, count(*) FILTER (name LIKE 'notes%') AS c, count(*) FILTER (name = 'song.ini') AS io, count(*) FILTER (name IN ('notes.chart', 'notes.mid')) AS co FROM files GROUP BY 1)
         SELECT parent, CASE WHEN i = 0 THEN 'no_ini' WHEN i > 1 OR c > 1 THEN 'ambiguous' WHEN c = 0 THEN 'no_chart_file' WHEN io = 0 OR co = 0 THEN 'id_suffixed' ELSE 'ok' END AS status FROM g""",
