@@ -50,7 +50,7 @@ GIVEN = frozenset(
 # Words of several languages after which a person is named, without accents
 TITLES = "mr mrs ms miss dr prof sir herr frau sr sra senor senora monsieur madame mme signor signora"
 GREETINGS = "hi hello hey dear hallo liebe lieber hola querido querida estimado bonjour salut cher chere ciao caro olá привет здравствуйте"
-CLOSINGS = "regards sincerely yours cheers best thanks again signed grusse gruss grussen saludo saludos abrazo cordialement amicalement bisous saluti уважением"
+CLOSINGS = "regards sincerely yours cheers best thanks again signed gruße gruß grußen grusse gruss grussen saludo saludos abrazo cordialement amicalement bisous saluti уважением"
 ROLES = "name user owner holder contact organiser organizer drummer guitarist singer bassist driver landlord author witness witnesses attn recipient sender from reply mods admin note dad mom mum mother father brother sister wife husband son daughter friend neighbour neighbor colleague teacher boss"
 VERBS = "ask asked call phone text meet met meeting tell told visit invite with see heiße heisse bin llamo soy appelle suis зовут спросите according laut selon segun preguntad pregunta demandez rückfragen ruckfragen"
 LINKS = frozenset(f"{TITLES} {GREETINGS} {CLOSINGS} {ROLES} {VERBS}".split()) - {"user"}
