@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
-from itertools import pairwise
+from functools import lru_cache
+from itertools import combinations, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,12 @@ from quaver.session import durable
 
 WIDTH = 4
 ARTIST_LEAST, TITLE_LEAST = 90.0, 85.0
+#: Characters from the most to the least frequent one; all others share their places with these.
+LETTERS = " etaoinshrdlcumwfgypbvkjxqz0123456789"
+#: Bits of a character's count, and longs that hold those of all characters.
+LEVELS, LONGS = 6, 4
+#: Slips up to which texts meet by their letters; more slips would part the letters into groups of hardly any.
+FEW = 12
 
 # The difficulty fields of parts, and the fields that describe a song
 PARTS = (
@@ -35,6 +42,54 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 ratio = ratio.asNondeterministic()
 
 
+@lru_cache(maxsize=100_000)
+def letter_bits(text: str) -> int:
+    """Counts of a text's characters, each as a run of that many bits (at most ``LEVELS``): texts differ in as many characters as these differ in bits, or more."""
+    counts: dict[int, int] = {}
+    for c in text:
+        at = _place(c)
+        counts[at] = counts.get(at, 0) + 1
+    return sum(((1 << min(n, LEVELS)) - 1) << at * LEVELS for at, n in counts.items())
+
+
+def _place(c: str) -> int:
+    at = LETTERS.find(c)
+    return at if at >= 0 else ord(c) % len(LETTERS)
+
+
+def _signed(bits: int) -> list[int]:
+    return [(x := bits >> 64 * k & 0xFFFFFFFFFFFFFFFF) - (x >> 63 << 64) for k in range(LONGS)]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def letters(column: pd.Series) -> pd.Series:
+    """:func:`letter_bits` in ``LONGS`` longs; null reads as an empty text."""
+    return pd.Series([_signed(letter_bits(t or "")) for t in column], dtype=object)
+
+
+letters = letters.asNondeterministic()
+
+
+def may_share(a: str, b: str, bits_a: str, bits_b: str, least: float) -> Column:
+    """Whether two texts can reach a similarity at all, by their :func:`letters`: an exact upper bound."""
+    both = F.length(a) + F.length(b)
+    apart = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(LONGS)), F.lit(0))
+    return 100.0 * (both - apart) >= least * both
+
+
+def ratio_from(least: float) -> Callable:
+    """:func:`ratio` where it reaches ``least``; 0 for texts whose letters already rule that out, which saves comparing them."""
+
+    def one(x: str, y: str) -> float:
+        both = len(x) + len(y)
+        if 100.0 * (both - (letter_bits(x) ^ letter_bits(y)).bit_count()) < least * both:
+            return 0.0
+        return SequenceMatcher(None, x, y).ratio() * 100.0
+
+    # the planner may not compare once for a filter and once more for the column
+    return F.pandas_udf(lambda a, b: pd.Series([100.0 if x == y else one(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float), T.DoubleType()).asNondeterministic()
+
+
 def name_keys(folders: DataFrame, ord: str, name: str) -> DataFrame:
     """``ord``, version tag, normalised artist and title, and the title's length bucket of each folder name."""
     cleaned = folders.select(F.col(ord).alias("ord"), clean_folder(F.col(name)).alias("_c"))
@@ -63,36 +118,59 @@ def _cuts(n: int, least: float) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in pairwise(ends)]
 
 
+def _partners(n: int, least: float) -> list[tuple[int, int]]:
+    """Lengths that a text similar to one of length ``n`` may have, with the most characters by which the two then differ."""
+    loss = 1 - least / 100
+    lengths = range(int(n * (1 - loss) / (1 + loss)), int(n * (1 + loss) / (1 - loss)) + 2)
+    return [(m, int(loss * (n + m) + 1e-9)) for m in lengths]
+
+
+def _cells(text: str, least: float) -> list[str]:
+    """Letters of a text in any two of two more groups of letters than it may have slips: a slip changes one group, so two stay as they are."""
+    out = []
+    for slips in sorted({d for _, d in _partners(len(text), least) if 0 < d <= FEW}):
+        groups = [""] * (slips + 2)
+        for c in sorted(text):
+            turn, at = divmod(_place(c), slips + 2)
+            groups[at if turn % 2 == 0 else slips + 1 - at] += c
+        out += [f"{slips}/{i}/{j}/{groups[i]}/{groups[j]}" for i, j in combinations(range(slips + 2), 2)]
+    return out
+
+
 def _own_keys(text: str, least: float) -> list[str]:
-    return [f"{len(text)}|{i}|{text[s : s + m]}" for i, (s, m) in enumerate(_cuts(len(text), least))]
+    pieces = [f"{len(text)}|{i}|{text[s : s + m]}" for i, (s, m) in enumerate(_cuts(len(text), least))]
+    return _cells(text, least) + (pieces if _slips(len(text), least) > FEW else [])
 
 
 def _other_keys(text: str, least: float) -> list[str]:
-    loss, out = 1 - least / 100, set()
-    for n in range(int(len(text) * (1 - loss) / (1 + loss)), int(len(text) * (1 + loss) / (1 - loss)) + 2):
+    out = set()
+    for n, slips in _partners(len(text), least):
+        if slips <= FEW:
+            continue
         for i, (s, m) in enumerate(_cuts(n, least)):
             # slips before a piece move it, and there are at most as many as it has pieces before it if it is the first whole one
             for at in range(max(0, s - i), min(len(text) - m, s + i) + 1):
                 out.add(f"{n}|{i}|{text[at : at + m]}")
-    return sorted(out)
+    return _cells(text, least) + sorted(out)
 
 
 def similar_texts(df: DataFrame, text: str, least: float) -> DataFrame:
     """``a``, ``b``, ``ratio`` of all ordered pairs of different texts of that similarity, and of each text with itself.
 
-    Complete: a text is cut into more pieces than similar texts can differ by characters, so one piece stands in
-    the other text near its place, where both meet by an equi-join of 64-bit hashes, of which equal ones only propose. Texts are compared once, however many rows
-    hold them.
+    Complete: the letters fall into two more groups than similar texts can differ by characters, so that such texts
+    have the same letters in two groups at least. Texts of many slips are cut into more pieces than these, so one
+    piece stands in the other text near its place. Both meet by an equi-join of 64-bit hashes, of which equal ones
+    only propose; what the counts of all letters rule out goes no further. Texts are compared once, however many rows hold them.
     """
 
     def keys(of: Callable[[str, float], list[str]]) -> Callable:
         return F.pandas_udf(lambda column: pd.Series([of(t, least) for t in column], dtype=object), T.ArrayType(T.StringType()))
 
     texts = df.select(F.col(text).alias("t")).filter("t is not null").distinct()
-    own = texts.select(F.col("t").alias("a"), F.explode(keys(_own_keys)("t")).alias("_k")).select("a", F.xxhash64("_k").alias("_k"))
-    other = texts.select(F.col("t").alias("b"), F.explode(keys(_other_keys)("t")).alias("_k")).select("b", F.xxhash64("_k").alias("_k"))
-    met = own.join(other, "_k").filter((F.col("a") != F.col("b")) & may_reach("a", "b", least)).select("a", "b").distinct()
-    rated = met.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
+    side = lambda n, of: texts.select(F.col("t").alias(n), letters("t").alias(f"_{n}"), F.explode(keys(of)("t")).alias("_k")).select(n, f"_{n}", F.xxhash64("_k").alias("_k"))
+    met = side("a", _own_keys).join(side("b", _other_keys), "_k").filter((F.col("a") < F.col("b")) & may_reach("a", "b", least) & may_share("a", "b", "_a", "_b", least)).select("a", "b").distinct()
+    both = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_x")).select("_x.a", "_x.b")
+    rated = both.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
     return rated.unionByName(texts.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(100.0).alias("ratio")))
 
 
@@ -118,7 +196,7 @@ def blocked_pairs(keys: DataFrame, exact_bound: bool = False) -> DataFrame:
 
 def similar_pairs(keys: DataFrame, exact_bound: bool = False) -> DataFrame:
     """Blocked pairs whose titles are similar enough too: ``i``, ``j``, tag, and both ratios."""
-    pairs = blocked_pairs(keys, exact_bound).withColumn("title_ratio", ratio("t1", "t2")).filter(F.col("title_ratio") >= TITLE_LEAST)
+    pairs = blocked_pairs(keys, exact_bound).withColumn("title_ratio", ratio_from(TITLE_LEAST)("t1", "t2")).filter(F.col("title_ratio") >= TITLE_LEAST)
     return pairs.select("i", "j", F.col("_tag").alias("tag"), "artist_ratio", "title_ratio")
 
 

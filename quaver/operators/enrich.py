@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions.text import blank, normalize_lookup, safe_value, strip_title_noise
 from quaver.operators import charts
-from quaver.operators.duplicates import may_reach, ratio
+from quaver.operators.duplicates import letters, may_reach, may_share, ratio_from
 
 FIELDS = ("year", "genre", "charter", "album")
 MATCHED = ("name", "artist", "album", "genre", "year", "charter")
@@ -37,24 +37,29 @@ def records_by_name(folders: DataFrame, records: DataFrame, least: float = 70.0)
     word of the title, and over a word of the artist with the beginning of the title; they are compared by artist and name.
     The confidence is the lesser similarity. The smaller id wins among equals.
     """
-    key = lambda c: normalize_lookup(strip_title_noise(F.col(c)))
-    act = normalize_lookup(F.col("artist"))
     word = lambda text: F.filter(F.split(text, " "), lambda w: F.length(w) >= 3)
     at = lambda place, text: F.concat(F.lit(place), text)
-    words = word(normalize_lookup(F.col("name")))
+    act, words = F.col("a"), word(F.col("n"))
     with_each = lambda place, part: F.transform(words, lambda w: F.concat(F.lit(place), part, F.lit("|"), w))
     crossed = F.flatten(F.transform(word(act), lambda part: F.transform(words, lambda w: F.concat(F.lit("w|"), part, F.lit("|"), w))))
-    keys = F.array_distinct(F.concat(F.filter(F.array(at("t|", key("name"))), lambda k: k != "t|"), with_each("b|", F.substring(act, 1, 3)), with_each("e|", F.substring(act, -3, 3)), crossed, F.transform(word(act), lambda part: F.concat(F.lit("f|"), part, F.lit("|"), F.substring(normalize_lookup(F.col("name")), 1, 4)))))
-    stated = lambda d: d.filter("artist is not null and name is not null")
-    # texts are compared once, however many rows hold them
-    texts = lambda d, n: stated(d).select("artist", "name").distinct().select(F.col("artist").alias(f"a{n}"), F.col("name").alias(f"n{n}"), F.explode(keys).alias("_k"))
-    met = texts(folders, 1).join(texts(records, 2), "_k").select("a1", "n1", "a2", "n2").distinct()
-    plain = lambda c: normalize_lookup(F.col(c))
-    met = met.select("*", plain("a1").alias("_a1"), plain("a2").alias("_a2"), plain("n1").alias("_n1"), plain("n2").alias("_n2"))
-    met = met.filter(may_reach("_a1", "_a2", least) & may_reach("_n1", "_n2", least))
-    rated = met.withColumn("confidence", F.least(ratio("_a1", "_a2"), ratio("_n1", "_n2"))).filter(F.col("confidence") >= least).select("a1", "n1", "a2", "n2", "confidence")
-    rated = folders.select("folder", F.col("artist").alias("a1"), F.col("name").alias("n1")).join(rated, ["a1", "n1"]).join(records.select("record_id", F.col("artist").alias("a2"), F.col("name").alias("n2")), ["a2", "n2"])
-    return rated.groupBy("folder").agg(F.max_by("record_id", F.struct("confidence", -F.col("record_id"))).alias("record_id"), F.round(F.max("confidence"), 6).alias("confidence"))
+    keys = F.array_distinct(F.concat(F.filter(F.array(at("t|", F.col("t"))), lambda k: k != "t|"), with_each("b|", F.substring(act, 1, 3)), with_each("e|", F.substring(act, -3, 3)), crossed, F.transform(word(act), lambda part: F.concat(F.lit("f|"), part, F.lit("|"), F.substring("n", 1, 4)))))
+    read = lambda d, key: d.filter("artist is not null and name is not null").select(key, normalize_lookup(F.col("artist")).alias("a"), normalize_lookup(F.col("name")).alias("n"), normalize_lookup(strip_title_noise(F.col("name"))).alias("t"))
+    left, right = read(folders, "folder").filter(F.size(keys) > 0), read(records, "record_id").filter(F.size(keys) > 0)
+    # texts that read the same are compared once, however many rows hold them; none is more similar than an equal one, whose folders need no search
+    ids = right.groupBy("a", "n").agg(F.min("record_id").alias("record_id"))
+    whole = left.select("a", "n").distinct().join(ids, ["a", "n"]).withColumn("confidence", F.lit(100.0))
+    texts = lambda d, k: d.select("a", "n", "t").distinct().select(F.col("a").alias(f"a{k}"), F.col("n").alias(f"n{k}"), letters("a").alias(f"_a{k}"), letters("n").alias(f"_n{k}"), F.explode(keys).alias("_k"))
+    met = texts(left.join(ids, ["a", "n"], "left_anti"), 1).join(texts(right, 2), "_k")
+    for c in ("a", "n"):
+        # looked at where rows meet, before they are sent on
+        met = met.filter(may_reach(f"{c}1", f"{c}2", least) & may_share(f"{c}1", f"{c}2", f"_{c}1", f"_{c}2", least))
+    met = met.select("a1", "n1", "a2", "n2").distinct()
+    rated = met.withColumn("_r", ratio_from(least)("a1", "a2")).filter(F.col("_r") >= least)
+    rated = rated.withColumn("confidence", F.least("_r", ratio_from(least)("n1", "n2"))).filter(F.col("confidence") >= least)
+    rated = rated.join(ids.select(F.col("a").alias("a2"), F.col("n").alias("n2"), "record_id"), ["a2", "n2"]).select(F.col("a1").alias("a"), F.col("n1").alias("n"), "record_id", "confidence")
+    best = lambda d, *by: d.groupBy(*by).agg(F.max_by("record_id", F.struct("confidence", -F.col("record_id"))).alias("record_id"), F.max("confidence").alias("confidence"))
+    found = left.select("folder", "a", "n").join(best(rated, "a", "n").unionByName(whole), ["a", "n"])
+    return best(found, "folder").select("folder", "record_id", F.round("confidence", 6).alias("confidence"))
 
 
 def library_rows(songs: DataFrame, files: DataFrame, scores: DataFrame, found: DataFrame, at: Column) -> DataFrame:
