@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
-from quaver.operators import duplicates, enrich
+import numpy as np
+from pyspark.sql import functions as F
+
+from quaver.operators import align, duplicates, enrich
 
 
 def names(n: int) -> list[str]:
@@ -50,3 +54,24 @@ def test_records_of_equal_texts_need_no_comparison(spark, monkeypatch):
     got = enrich.records_by_name(spark.createDataFrame(folders, "folder string, name string, artist string"), spark.createDataFrame(records, "record_id long, name string, artist string"))
     assert {(r.folder, r.record_id, r.confidence) for r in got.collect()} == {("a", 2, 100.0), ("b", 2, round(SequenceMatcher(None, "blue windaw", "blue window").ratio() * 100, 6))}
     assert seen == [("a1", "a2"), ("n1", "n2")]
+
+
+def test_matches_are_counted_without_rows(spark):
+    """Lists give the same gates as matches row by row, with a drift and with times far apart; no plan joins landmarks with landmarks."""
+    r = random.Random(11)
+    marks = [(f"p{k}", r.randrange(60), r.randrange(3000)) for k in range(3) for _ in range(900)] + [("p0", 5, 40_000_000), ("q", 1, 7), ("x", 2, -5)]
+    other = [(p, h, t - (13 if p != "p2" or t < 1500 else 40)) for p, h, t in marks if p != "x"]
+    probe, reference = (spark.createDataFrame(rows, "id string, hash int, t int") for rows in (marks, other))
+    lists = align.times(probe, "id").select(F.col("id").alias("pair"), "hash", F.col("ts").alias("tp")).join(align.times(reference, "id").select(F.col("id").alias("pair"), "hash", F.col("ts").alias("tr")), ["pair", "hash"])
+    votes = align.matches(probe, reference, "id")
+    for gates in ((1, 0.0, 0.0), (40, 2.0, 0.001)):
+        want, got = ({tuple(x) for x in d.collect()} for d in (align.aligned(votes, *gates), align.aligned_lists(lists, *gates)))
+        assert got == want
+    assert {x[0] for x in align.aligned(votes, 40, 2.0, 0.001).collect()} == {"p0", "p1"}
+    tps, trs = [np.array(x) for x in ([1, 5, 5, 9], [], [3], range(200))], [np.array(x) for x in ([0, 4], [1], [], range(300))]
+    want = Counter(int(p - t) for a, b in zip(tps, trs, strict=True) for p in a for t in b if p < 150)
+    for most, long in ((2, 10_000), (1 << 21, 10_000), (100, 5), (1 << 21, 1 << 30)):
+        got = Counter()
+        for d, n in align.differences(tps, trs, 150, most, long):
+            got.update(dict(zip(d.tolist(), n.tolist(), strict=True)))
+        assert got == want
