@@ -27,7 +27,7 @@ from quaver.llm.best_copy import states
 from quaver.llm.lookalike import plain_form
 from quaver.llm.metric import components, slip_keys, within_one
 from quaver.llm.spellings import parts_of
-from quaver.session import durable
+from quaver.session import durable, spread
 
 # Words that make a take another recording
 TAKES = ("live", "acoustic", "remix", "demo", "instrumental", "extended", "unplugged", "karaoke")
@@ -133,7 +133,7 @@ def _near(left: DataFrame, right: DataFrame, left_texts: Column, right_texts: Co
         each = side.select(F.col(of).alias(number), F.explode(texts).alias("_x")).select(number, "_x.place", "_x.text").distinct()
         return each.select(number, F.explode(slip_keys(F.col("text"), own)).alias("_h"), "place").select(number, F.xxhash64("place", "_h").alias("_h"))
 
-    return keyed(left, left_texts, f"l{of}", True).join(keyed(right, right_texts, f"r{of}", False), "_h").select(f"l{of}", f"r{of}").distinct()
+    return keyed(left, left_texts, f"l{of}", True).join(spread(keyed(right, right_texts, f"r{of}", False)), "_h").select(f"l{of}", f"r{of}").distinct()
 
 
 def _names(*forms: str, initials: str, all_of: str) -> Column:
@@ -164,16 +164,16 @@ def candidates(left: DataFrame, right: DataFrame, nicknames: DataFrame) -> DataF
     artists = _near(left.filter("a.core <> ''"), right.filter("a.core <> ''"), _names("a.core", "a.swapped", "a.flat", "formal", initials="l", all_of="r"), _names("a.core", "a.flat", "formal", initials="r", all_of="l"), "act")
     title_text = F.array(*[F.struct(F.concat_ws("|", F.lit(form), "t.take", "t.numbers").alias("place"), F.col(f"t.{form}").alias("text")) for form in ("core", "short")])
     titles = _near(left, right, title_text, title_text, "song")
-    near = left.select(F.col("key").alias("lk"), F.col("act").alias("lact"), F.col("song").alias("lsong")).join(artists, "lact").join(titles, "lsong")
-    met = near.join(right.select(F.col("key").alias("rk"), F.col("act").alias("ract"), F.col("song").alias("rsong")), ["ract", "rsong"]).select("lk", "rk")
+    near = left.select(F.col("key").alias("lk"), F.col("act").alias("lact"), F.col("song").alias("lsong")).join(spread(artists), "lact").join(spread(titles), "lsong")
+    met = near.join(spread(right.select(F.col("key").alias("rk"), F.col("act").alias("ract"), F.col("song").alias("rsong"))), ["ract", "rsong"]).select("lk", "rk")
     # where a side states no artist, the album stands for it
     place = lambda d, n: d.filter("album <> ''").select(F.col("key").alias(f"{n}k"), F.col("song").alias(f"{n}song"), F.col("album").alias("_album"), (F.col("a.core") == "").alias(f"_{n}"))
     nameless = (place(left.filter("a.core = ''"), "l"), place(right, "r")), (place(left.filter("a.core <> ''"), "l"), place(right.filter("a.core = ''"), "r"))
     for one, other in nameless:
-        met = met.unionByName(one.join(titles, "lsong").join(other, ["rsong", "_album"]).select("lk", "rk"))
+        met = met.unionByName(one.join(spread(titles), "lsong").join(spread(other), ["rsong", "_album"]).select("lk", "rk"))
     met = met.distinct()
-    pairs = met.join(left.select(F.col("key").alias("lk"), F.struct("a", "t", "year", "album", "charter", "genre", "formal").alias("l")), "lk")
-    pairs = pairs.join(right.select(F.col("key").alias("rk"), F.struct("a", "t", "year", "album", "charter", "genre", "formal").alias("r")), "rk")
+    pairs = met.join(spread(left.select(F.col("key").alias("lk"), F.struct("a", "t", "year", "album", "charter", "genre", "formal").alias("l"))), "lk")
+    pairs = pairs.join(spread(right.select(F.col("key").alias("rk"), F.struct("a", "t", "year", "album", "charter", "genre", "formal").alias("r"))), "rk")
     la, ra = F.col("l.a"), F.col("r.a")
     initial = lambda x, y: (F.length(x["given"]) == 1) & (x["given"] == F.substring(y["given"], 1, 1)) & within_one(x["surname"], y["surname"])
     artist = (
@@ -282,10 +282,10 @@ def match_values(summed: DataFrame, local: int = LOCAL) -> DataFrame:
     degree = pairs.select("*", F.count("*").over(Window.partitionBy("_entity")).alias("_n")).select("*", F.count("*").over(Window.partitionBy("record_id")).alias("_m"))
     alone = degree.filter("_n = 1 and _m = 1").select("_entity", "record_id", (F.col("plus") / F.greatest(F.col("plus") + F.col("minus"), F.lit(1e-9))).alias("value"))
     tied = degree.filter("_n > 1 or _m > 1").drop("_n", "_m")
-    parts = components(edges.join(tied.select(F.concat(F.lit("e"), "_entity").alias("a")).distinct(), "a", "left_semi").unionByName(edges.join(tied.select(F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("b")).distinct(), "b", "left_semi")))
-    placed = durable(tied.withColumn("node", F.concat(F.lit("e"), "_entity")).join(parts, "node").drop("node"))
+    parts = components(edges.join(spread(tied.select(F.concat(F.lit("e"), "_entity").alias("a")).distinct()), "a", "left_semi").unionByName(edges.join(spread(tied.select(F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("b")).distinct()), "b", "left_semi")))
+    placed = durable(tied.withColumn("node", F.concat(F.lit("e"), "_entity")).join(spread(parts), "node").drop("node"))
     sizes = placed.groupBy("root").agg(F.count("*").alias("_size"))
-    small = placed.join(sizes.filter(F.col("_size") <= local).select("root"), "root", "left_semi")
+    small = placed.join(spread(sizes.filter(F.col("_size") <= local).select("root")), "root", "left_semi")
     lists = small.groupBy("root").agg(F.collect_list(F.struct("_entity", "record_id", "plus", "minus")).alias("_all"))
     key = dict(pairs.dtypes)["record_id"]
 
@@ -347,9 +347,9 @@ def matched(left: DataFrame, right: DataFrame, groups: DataFrame, nicknames: Dat
     found = candidates(_read(left, "folder"), _read(right, "record_id"), nicknames)
     member = groups.select("folder", F.concat(F.lit("g"), F.col("group_id").cast("string")).alias("_group")).filter("folder is not null and _group is not null").groupBy("folder").agg(F.min("_group").alias("_group"))
     evidence = found.groupBy("folder", "record_id").agg(F.max("plus").alias("plus"), F.max("minus").alias("minus"))
-    named = evidence.join(member, "folder", "left").withColumn("_entity", F.coalesce("_group", F.concat(F.lit("f"), "folder")))
+    named = evidence.join(spread(member), "folder", "left").withColumn("_entity", F.coalesce("_group", F.concat(F.lit("f"), "folder")))
     summed = named.groupBy("_entity", "record_id").agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus"))
     best = match_values(summed).groupBy("_entity").agg(F.max_by("record_id", F.struct(F.round("value", 4), -F.col("record_id"))).alias("record_id"), F.round(F.max("value"), 4).alias("confidence"))
     chosen = best.filter(F.col("confidence") >= least)
-    folders = left.select("folder").filter("folder is not null").distinct().join(member, "folder", "left")
-    return folders.withColumn("_entity", F.coalesce("_group", F.concat(F.lit("f"), "folder"))).join(chosen, "_entity").select("folder", "record_id", "confidence")
+    folders = left.select("folder").filter("folder is not null").distinct().join(spread(member), "folder", "left")
+    return folders.withColumn("_entity", F.coalesce("_group", F.concat(F.lit("f"), "folder"))).join(spread(chosen), "_entity").select("folder", "record_id", "confidence")

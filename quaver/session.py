@@ -38,6 +38,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast, whatever the planner takes its size for.
+
+    Sizes are guessed from files and from what was shuffled; the rows that ``explode`` adds to them are left out. A side
+    that grows with the tables would pass through the driver's memory as a whole.
+    """
+    return df.hint("merge")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share, as ``spark.checkpoint.dir`` names it.
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quaver.llm import linkage
+from quaver.session import table
 
 
 def loss(x, plus, minus):
@@ -92,3 +93,22 @@ def test_missing_articles_and_artists(spark):
     folders = [("a", "Through Copper Carousel", "The Act", "1999", None, None, None), ("b", "Harbor and Bridge", None, "2001", None, "x", "Big Album"), ("c", "Lonely", "Unknown Artist", "2001", None, None, None)]
     records = [(1, "Through the Copper Carousel", "The Act", "1999", None, None, None), (2, "Harbor & Bridge", "Other Act", "2001", None, "x", "Big Album"), (3, "Lonely", "Third Act", "2001", None, None, None)]
     assert match(spark, folders, records) == {"a": 1, "b": 2}
+
+
+def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
+    """Keys, texts and rows of both tables meet by shuffles; only the list of nicknames passes through the driver."""
+    plans = []
+    real = linkage.durable
+
+    def seen(df):
+        out = real(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(linkage, "durable", seen)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    left, right, groups, nicknames = (table(spark, "/root/testdata/sf0.001", t) for t in ("ini_fields", "records", "dupgroups", "nicknames"))
+    found = linkage.candidates(linkage._read(left, "folder"), linkage._read(right, "record_id"), nicknames)
+    seen(found)
+    merged, sent = ([p.split("== Initial Plan ==")[0].count(f"{kind}Join") for p in plans] for kind in ("SortMerge", "BroadcastHash"))
+    assert sent == [1, 1, 0] and merged[-1] >= 6
