@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaver.functions.text import clean_folder, folder_parts, is_charted, normalize_lookup, version_tag
-from quaver.session import durable
+from quaver.session import durable, spread
 
 WIDTH = 4
 ARTIST_LEAST, TITLE_LEAST = 90.0, 85.0
@@ -168,7 +168,7 @@ def similar_texts(df: DataFrame, text: str, least: float) -> DataFrame:
 
     texts = df.select(F.col(text).alias("t")).filter("t is not null").distinct()
     side = lambda n, of: texts.select(F.col("t").alias(n), letters("t").alias(f"_{n}"), F.explode(keys(of)("t")).alias("_k")).select(n, f"_{n}", F.xxhash64("_k").alias("_k"))
-    met = side("a", _own_keys).join(side("b", _other_keys), "_k").filter((F.col("a") < F.col("b")) & may_reach("a", "b", least) & may_share("a", "b", "_a", "_b", least)).select("a", "b").distinct()
+    met = side("a", _own_keys).join(spread(side("b", _other_keys)), "_k").filter((F.col("a") < F.col("b")) & may_reach("a", "b", least) & may_share("a", "b", "_a", "_b", least)).select("a", "b").distinct()
     both = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_x")).select("_x.a", "_x.b")
     rated = both.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
     return rated.unionByName(texts.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(100.0).alias("ratio")))
@@ -188,9 +188,9 @@ def blocked_pairs(keys: DataFrame, exact_bound: bool = False) -> DataFrame:
     )
     keys = keys.withColumn("_tag", F.coalesce("tag", F.lit("")))
     acts = durable(similar_texts(keys, "artist", ARTIST_LEAST)).withColumnRenamed("ratio", "artist_ratio")
-    left = keys.select(F.col("ord").alias("i"), "_tag", F.col("artist").alias("a"), F.col("title").alias("t1"), F.explode(near).alias("_b")).join(acts, "a")
+    left = keys.select(F.col("ord").alias("i"), "_tag", F.col("artist").alias("a"), F.col("title").alias("t1"), F.explode(near).alias("_b")).join(spread(acts), "a")
     right = keys.select(F.col("ord").alias("j"), "_tag", F.col("artist").alias("b"), F.col("title").alias("t2"), F.col("bucket").alias("_b"))
-    met = left.join(right, ["b", "_tag", "_b"]).filter("i < j")
+    met = left.join(spread(right), ["b", "_tag", "_b"]).filter("i < j")
     return met.filter(may_reach("t1", "t2", TITLE_LEAST)).select("i", "j", "_tag", "t1", "t2", "artist_ratio")
 
 

@@ -75,3 +75,20 @@ def test_matches_are_counted_without_rows(spark):
         for d, n in align.differences(tps, trs, 150, most, long):
             got.update(dict(zip(d.tolist(), n.tolist(), strict=True)))
         assert got == want
+
+
+def test_no_side_of_the_search_is_broadcast(spark, monkeypatch):
+    """Keys and rows of the library meet by shuffles, also where they look small to the planner."""
+    plans = []
+    real = duplicates.durable
+
+    def seen(df):
+        out = real(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(duplicates, "durable", seen)
+    rows = spark.createDataFrame([(k, f"{t} - {t}") for k, t in enumerate(names(20))], "ord int, name string")
+    seen(duplicates.similar_pairs(duplicates.name_keys(rows, "ord", "name")))
+    merged, sent = ([p.split("== Initial Plan ==")[0].count(f"{kind}Join") for p in plans] for kind in ("SortMerge", "BroadcastHash"))
+    assert merged == [1, 2] and sent == [0, 0]
