@@ -209,18 +209,18 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
     """
     edges = durable(pairs.select("i", "j").distinct())
     nodes = edges.select(F.col("i").alias("n")).unionByName(edges.select(F.col("j").alias("n"))).distinct()
-    state = nodes.join(edges.select(F.col("j").alias("n")).distinct(), "n", "left_anti").select("n", F.lit(True).alias("lead"))
+    state = nodes.join(spread(edges.select(F.col("j").alias("n")).distinct()), "n", "left_anti").select("n", F.lit(True).alias("lead"))
     total = nodes.count()
     state = durable(state)
     while state.count() < total:
-        open_ = nodes.join(state.select("n"), "n", "left_anti")
-        seen = edges.join(open_.select(F.col("n").alias("j")), "j", "left_semi").join(state.withColumnRenamed("n", "i"), "i", "left")
+        open_ = nodes.join(spread(state.select("n")), "n", "left_anti")
+        seen = edges.join(spread(open_.select(F.col("n").alias("j"))), "j", "left_semi").join(spread(state.withColumnRenamed("n", "i")), "i", "left")
         # absorbed as soon as one smaller neighbour leads; a leader once all smaller ones are known not to
         told = seen.groupBy(F.col("j").alias("n")).agg(F.max(F.coalesce("lead", F.lit(False))).alias("_hit"), F.count_if(F.col("lead").isNull()).alias("_unknown"))
         now = told.filter("_hit or _unknown = 0").select("n", (~F.col("_hit")).alias("lead"))
         state = durable(state.unionByName(now))
     leaders = state.filter("lead").select(F.col("n").alias("leader"))
-    taken = edges.join(leaders.withColumnRenamed("leader", "i"), "i", "left_semi").join(leaders.withColumnRenamed("leader", "j"), "j", "left_anti")
+    taken = edges.join(spread(leaders.withColumnRenamed("leader", "i")), "i", "left_semi").join(spread(leaders.withColumnRenamed("leader", "j")), "j", "left_anti")
     members = taken.groupBy(F.col("j").alias("member")).agg(F.min("i").alias("leader"))
     heads = members.select("leader").distinct().select("leader", F.col("leader").alias("member"))
     return members.select("leader", "member").unionByName(heads)

@@ -92,3 +92,20 @@ def test_no_side_of_the_search_is_broadcast(spark, monkeypatch):
     seen(duplicates.similar_pairs(duplicates.name_keys(rows, "ord", "name")))
     merged, sent = ([p.split("== Initial Plan ==")[0].count(f"{kind}Join") for p in plans] for kind in ("SortMerge", "BroadcastHash"))
     assert merged == [1, 2] and sent == [0, 0]
+
+
+def test_no_side_of_the_groups_is_broadcast(spark, monkeypatch):
+    """Links and what is known of each folder meet by shuffles in every round; the groups stay the same."""
+    plans = []
+    real = duplicates.durable
+
+    def seen(df):
+        out = real(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(duplicates, "durable", seen)
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 6)] + [(10, 11), (10, 12), (11, 12)], "i long, j long")
+    got = seen(duplicates.greedy_groups(pairs))
+    assert {(r.leader, r.member) for r in got.collect()} == {(1, 1), (1, 2), (3, 3), (3, 4), (5, 5), (5, 6), (10, 10), (10, 11), (10, 12)}
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
