@@ -2,9 +2,11 @@
 
 The stated values of a group are put in order of trust and aligned token by token, one after the other
 (progressive alignment). Tokens vote in each column with their copy's weight, and the existing value closest
-to the consensus is emitted. Where the best copy is asked for (:func:`by_trust`), weights fall by a factor of three
-from value to value, so that the most trusted outweighs all others together and the consensus must follow it.
-Where agreement is asked for (:func:`by_copies`), each copy has one vote and the tokens decide.
+to the consensus is emitted: each copy has one vote (:func:`by_copies`) and the tokens decide. With weights that fall
+by a factor of three from value to value (:func:`by_trust`) the most trusted outweighs all others together.
+
+Where the best copy is asked for (:func:`best_fields`), no vote can change what it states, so none is held: its
+value is taken by one aggregation.
 
 Groups of any size are reduced in rounds: a group is cut into blocks of bounded size, each block yields its
 representative, and the representatives meet in the next round. No task ever holds a whole group.
@@ -148,9 +150,11 @@ def best_fields(groups: DataFrame, copies: DataFrame, fields: tuple[str, ...] =
     """``group_id``, ``field``, ``value``: what each group's best copy states, exactly as written there.
 
     Copies with status confirmed_ok come first, then the later ``modified_at`` (null last), then the smaller
-    ``ord``. A group whose folders are unknown or state nothing in a field gives no row for it.
+    ``ord``, then the smaller value. A group whose folders are unknown or state nothing in a field gives no row for it.
     """
-    return representatives(_stated(groups, copies, fields), ["group_id", "field"], "value", _trust()).select("group_id", "field", "value")
+    confirmed, modified, first = _trust()
+    order = F.struct(-confirmed, modified.isNull(), -F.unix_micros(modified), first.isNull(), -first, "value")
+    return _stated(groups, copies, fields).groupBy("group_id", "field").agg(F.min_by("value", order).alias("value"))
 
 
 def agreed_fields(groups: DataFrame, copies: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:

@@ -71,3 +71,13 @@ def test_ties_and_repeats(spark):
     got = sorted((r.place, r.i) for r in top_items.top_items(df, "g", "i", [F.col("s")], 3).collect())
     assert got == [(1, "a"), (2, "a"), (3, "b")]
     assert top_items.top_items(df.limit(0), "g", "i", [F.col("s")], 3).count() == 0
+
+
+def test_best_copy_holds_no_vote(spark):
+    """Where the most trusted copy decides, nothing is aligned or listed: one aggregation takes it, also from nulls and ties."""
+    ini = spark.createDataFrame([("a", "1", None, None), ("b", "2", None, None), ("c", "3", None, "2024-01-01"), ("d", "9", "confirmed_ok", None), ("e", "8", "confirmed_ok", None)], "folder string, year string, status string, at string").withColumn("modified_at", F.to_timestamp("at"))
+    groups = spark.createDataFrame([(1, 1, "a"), (1, 0, "b"), (2, 0, "a"), (2, 5, "c"), (3, 0, "c"), (3, 2, "d"), (3, 2, "e"), (4, None, "a"), (4, 7, "b")], "group_id long, ord long, folder string")
+    got = best_copy.best_fields(groups, ini, ("year",))
+    assert {r.group_id: r.value for r in got.collect()} == {1: "2", 2: "3", 3: "8", 4: "2"}
+    plan = queries()["p3_found"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "collect_list" not in plan
