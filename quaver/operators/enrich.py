@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaver.functions.text import blank, normalize_lookup, safe_value, strip_title_noise
 from quaver.operators import charts
 from quaver.operators.duplicates import letters, may_reach, may_share, ratio_from
+from quaver.session import spread
 
 FIELDS = ("year", "genre", "charter", "album")
 MATCHED = ("name", "artist", "album", "genre", "year", "charter")
@@ -47,18 +48,18 @@ def records_by_name(folders: DataFrame, records: DataFrame, least: float = 70.0)
     left, right = read(folders, "folder").filter(F.size(keys) > 0), read(records, "record_id").filter(F.size(keys) > 0)
     # texts that read the same are compared once, however many rows hold them; none is more similar than an equal one, whose folders need no search
     ids = right.groupBy("a", "n").agg(F.min("record_id").alias("record_id"))
-    whole = left.select("a", "n").distinct().join(ids, ["a", "n"]).withColumn("confidence", F.lit(100.0))
-    texts = lambda d, k: d.select("a", "n", "t").distinct().select(F.col("a").alias(f"a{k}"), F.col("n").alias(f"n{k}"), letters("a").alias(f"_a{k}"), letters("n").alias(f"_n{k}"), F.explode(keys).alias("_k"))
-    met = texts(left.join(ids, ["a", "n"], "left_anti"), 1).join(texts(right, 2), "_k")
+    whole = left.select("a", "n").distinct().join(spread(ids), ["a", "n"]).withColumn("confidence", F.lit(100.0))
+    texts = lambda d, k: d.select("a", "n", "t").distinct().select(F.col("a").alias(f"a{k}"), F.col("n").alias(f"n{k}"), letters("a").alias(f"_a{k}"), letters("n").alias(f"_n{k}"), F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("_k"))
+    met = texts(left.join(spread(ids), ["a", "n"], "left_anti"), 1).join(spread(texts(right, 2)), "_k")
     for c in ("a", "n"):
         # looked at where rows meet, before they are sent on
         met = met.filter(may_reach(f"{c}1", f"{c}2", least) & may_share(f"{c}1", f"{c}2", f"_{c}1", f"_{c}2", least))
     met = met.select("a1", "n1", "a2", "n2").distinct()
     rated = met.withColumn("_r", ratio_from(least)("a1", "a2")).filter(F.col("_r") >= least)
     rated = rated.withColumn("confidence", F.least("_r", ratio_from(least)("n1", "n2"))).filter(F.col("confidence") >= least)
-    rated = rated.join(ids.select(F.col("a").alias("a2"), F.col("n").alias("n2"), "record_id"), ["a2", "n2"]).select(F.col("a1").alias("a"), F.col("n1").alias("n"), "record_id", "confidence")
+    rated = rated.join(spread(ids.select(F.col("a").alias("a2"), F.col("n").alias("n2"), "record_id")), ["a2", "n2"]).select(F.col("a1").alias("a"), F.col("n1").alias("n"), "record_id", "confidence")
     best = lambda d, *by: d.groupBy(*by).agg(F.max_by("record_id", F.struct("confidence", -F.col("record_id"))).alias("record_id"), F.max("confidence").alias("confidence"))
-    found = left.select("folder", "a", "n").join(best(rated, "a", "n").unionByName(whole), ["a", "n"])
+    found = left.select("folder", "a", "n").join(spread(best(rated, "a", "n").unionByName(whole)), ["a", "n"])
     return best(found, "folder").select("folder", "record_id", F.round("confidence", 6).alias("confidence"))
 
 
@@ -101,7 +102,7 @@ def library_rows(songs: DataFrame, files: DataFrame, scores: DataFrame, found: D
 def filled(rows: DataFrame, values: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``rows`` whose blank fields take the safe value of ``values``; ``filled`` names the fields that did."""
     other = values.select(key, *[safe_value(F.col(f)).alias(f"_{f}") for f in fields])
-    both = rows.join(other, key, "left")
+    both = rows.join(spread(other), key, "left")
     names = F.array_compact(F.array(*[F.when(blank(F.col(f)) & F.col(f"_{f}").isNotNull(), F.lit(f)) for f in fields]))
     both = both.withColumn("filled", F.array_join(names, ","))
     for f in fields:
